@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.sources.schema import SCHEMAS
-from panelscope.sources.tables import Tables, load_tables, scratch_path, write_tables
+from panelscope.sources.tables import Tables, load_catalog, scratch_path, write_tables
 
 # Fixed values of the binding.
 FIRST_YEAR = 1995  # round 1; rounds are consecutive order years
@@ -200,17 +200,20 @@ _store: dict[tuple[str, str], Tables] = {}
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     """The canonical tables for ``sf_dir``, materialised once per Spark application.
 
-    The derived tables are written with ``write_tables`` (fact partitioned by round,
-    sorted by settlement) under the cluster's shared checkpoint folder and read back, so
-    every report scans Parquet with real file statistics (broadcast decisions, partition
-    pruning, pushed filters) and the derivation is not recomputed per report. Written
-    files survive executor loss; nothing is held only in executor memory.
+    The derived tables are written with ``write_tables`` under the cluster's shared
+    checkpoint folder as catalog tables (fact partitioned by round; fact and settlements
+    bucketed on settlement_id, one bucket per shuffle partition) and read back, so every
+    report scans Parquet with real file statistics (broadcast decisions, partition
+    pruning, pushed filters), per-settlement work needs no exchange, and the derivation
+    is not recomputed per report. Written files survive executor loss.
     """
     app = spark.sparkContext.applicationId
     key = (app, sf_dir.rstrip("/"))
     with _lock:
         if key not in _store:
             path = scratch_path(spark, "panel")
-            write_tables(derive(spark, sf_dir), path)
-            _store[key] = load_tables(spark, path)
+            database = "panelscope_" + path.rsplit("-", 1)[-1]
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            write_tables(derive(spark, sf_dir), path, buckets=buckets, database=database)
+            _store[key] = load_catalog(spark, database)
         return _store[key]

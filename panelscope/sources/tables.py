@@ -98,8 +98,25 @@ def write_layout(
     writer.parquet(path)
 
 
-def write_tables(tables: Tables, path: str, num_partitions: int | None = None) -> None:
-    """Persist all five tables; the fact table partitioned by round, sorted by unit."""
+def write_tables(
+    tables: Tables,
+    path: str,
+    num_partitions: int | None = None,
+    buckets: int | None = None,
+    database: str | None = None,
+) -> None:
+    """Persist all five tables; the fact table partitioned by round, sorted by unit.
+
+    With ``buckets`` and ``database`` the fact and settlement tables are written as
+    catalog tables bucketed (and sorted) on settlement_id, at ``{path}/{table}``. Scans of
+    bucketed tables report hash partitioning on settlement_id, so per-settlement windows,
+    aggregations by settlement and the fact x settlement join run without an exchange.
+    Each write task holds exactly one bucket (``repartition(buckets, settlement_id)`` uses
+    the bucketing hash), so a table has ``buckets`` files per round directory.
+    """
+    if buckets and database:
+        _write_bucketed(tables, path, buckets, database)
+        return
     for name in TABLE_NAMES:
         if name == "observations":
             write_layout(
@@ -111,6 +128,29 @@ def write_tables(tables: Tables, path: str, num_partitions: int | None = None) -
             tables[name].coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> None:
+    spark = tables.observations.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path}/_db'")
+    for name in TABLE_NAMES:
+        df = tables[name].select(*SCHEMAS[name].fieldNames())
+        writer = None
+        if name in ("observations", "settlements"):
+            df = df.repartition(buckets, "settlement_id")
+            writer = df.write.bucketBy(buckets, "settlement_id").sortBy("settlement_id")
+            if name == "observations":
+                writer = writer.partitionBy("round_id")
+        else:
+            writer = df.coalesce(1).write
+        writer.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
+
+
+def load_catalog(spark: SparkSession, database: str) -> Tables:
+    """The five tables from catalog ``database`` (keeps bucketing information)."""
+    return Tables(
+        **{n: spark.table(f"{database}.{n}").select(*SCHEMAS[n].fieldNames()) for n in TABLE_NAMES}
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``). Only when the
     session has none (local tests) is a fresh folder under /tmp set."""
