@@ -193,6 +193,19 @@ def _observations(customer: DataFrame, orders: DataFrame) -> DataFrame:
     ).select(*SCHEMAS["observations"].fieldNames())
 
 
+BYTES_PER_BUCKET = 64 * 1024 * 1024
+
+
+def bucket_count(spark: SparkSession, source: DataFrame) -> int:
+    """Buckets for the panel tables: one per 64 MB of source (Spark's own size estimate of
+    the scan), at least the default parallelism, at most spark.sql.shuffle.partitions."""
+    raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = int(raw if isinstance(raw, int) else raw.toString())
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
+    return max(1, min(cap, want))
+
+
 _lock = threading.Lock()
 _store: dict[tuple[str, str], Tables] = {}
 
@@ -213,7 +226,7 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
         if key not in _store:
             path = scratch_path(spark, "panel")
             database = "panelscope_" + path.rsplit("-", 1)[-1]
-            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            write_tables(derive(spark, sf_dir), path, buckets=buckets, database=database)
+            tables = derive(spark, sf_dir)
+            write_tables(tables, path, buckets=bucket_count(spark, _read(spark, sf_dir, "orders")), database=database)
             _store[key] = load_catalog(spark, database)
         return _store[key]

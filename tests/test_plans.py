@@ -44,3 +44,11 @@ def test_fact_scan_prunes_columns(spark):
     plan = _plan(E.queries()["q1a_idp_by_round"](spark, SF))
     read = [line for line in plan.splitlines() if "ReadSchema" in line and "idp_arrivals" in line][0]
     assert "host_population" not in read and "conflict_res_1" not in read
+
+
+@pytest.mark.parametrize("key", ["l2_surges", "c1x_deteriorated", "s4_surge_r4_r5", "q1c_persistent_high", "w1_panel_longitudinal"])
+def test_per_settlement_work_needs_no_shuffle(spark, key):
+    # Fact and settlements are bucketed on settlement_id in the materialised panel.
+    plan = _plan(E.queries()[key](spark, SF))
+    assert "Bucketed: true" in plan
+    assert "Exchange hashpartitioning(settlement_id" not in plan, plan
