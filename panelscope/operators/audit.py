@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.expr import count_where, label_levels, pct, round_half_up, safe_div
@@ -53,10 +53,10 @@ def null_audit_by(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
 def distribution(df: DataFrame, col: str, labels: Mapping[int, str], digits: int = 2) -> DataFrame:
     """Frequency of each value of ``col`` (NULL is its own group, with a NULL label) and its
     percentage of all rows. The denominator is the sum of the frequencies, i.e. COUNT(*)
-    of the table, computed as a scalar over the small aggregated frame (no second scan
-    of the table)."""
+    of the table, a window over the aggregated frame (one row per level), so the table is
+    scanned once."""
     freq = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("frequency"))
-    total = freq.agg(F.sum("frequency")).scalar()
+    total = F.sum("frequency").over(Window.partitionBy())
     return freq.select(
         "level",
         label_levels("level", labels).alias("label"),

@@ -25,7 +25,10 @@ def kth_value(
 ) -> DataFrame:
     """One-row frame with column ``out``: the value at 0-based position ``k`` of ``col``
     sorted ascending with NULLs first. ``k`` is a one-row, one-column frame (a scalar);
-    default ``COUNT(*) div 2`` of ``df``. NULL when k lands on a NULL or past the end."""
+    default ``COUNT(*) div 2`` of ``df``. NULL when k lands on a NULL or past the end.
+
+    The statistics row travels as one struct-valued scalar subquery; the block holding
+    position k is a one-row frame joined back on the block number."""
     v = F.col(col)
     stats = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -33,32 +36,35 @@ def kth_value(
         F.min(v).cast("double").alias("lo"),
         F.max(v).cast("double").alias("hi"),
     )
-    # One struct-valued scalar subquery; its references are the same plan, computed once.
-    st = stats.select(
+    k_col = k.scalar() if k is not None else (F.col("n") - F.col("n") % 2) / 2
+    params = stats.select(
         F.struct(
-            "n", "nn", "lo", ((F.col("hi") - F.col("lo")) / F.lit(float(buckets)) + F.lit(1e-9)).alias("width")
-        ).alias("s")
+            F.col("lo").alias("lo"),
+            ((F.col("hi") - F.col("lo")) / F.lit(float(buckets)) + F.lit(1e-9)).alias("width"),
+            (k_col - (F.col("n") - F.col("nn"))).cast("long").alias("kk"),  # position among non-NULL values
+        ).alias("p")
     ).scalar()
-    n, nn, lo, width = st["n"], st["nn"], st["lo"], st["width"]
-    k_col = k.scalar() if k is not None else (n - n % 2) / 2
-    kk = (k_col - (n - nn)).cast("long")  # position among the non-NULL values
 
-    vals = df.where(v.isNotNull()).select(v.alias("_v"))
-    block = F.floor((F.col("_v").cast("double") - lo) / width).cast("long")
-    blocks = vals.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("cnt"))
+    # Block of every non-NULL value (at most ``buckets`` distinct blocks).
+    vb = (
+        df.where(v.isNotNull())
+        .select(v.alias("_v"), params.alias("p"))
+        .select("_v", F.floor((F.col("_v").cast("double") - F.col("p.lo")) / F.col("p.width")).cast("long").alias("_b"), F.col("p.kk").alias("kk"))
+    )
+    blocks = vb.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt"), F.first("kk").alias("kk"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     target = (
         blocks.withColumn("upto", F.sum("cnt").over(wb))
-        .where((F.col("upto") > kk) & (F.col("upto") - F.col("cnt") <= kk))
-        .select(F.struct("_b", (kk - (F.col("upto") - F.col("cnt"))).alias("pos")).alias("t"))
-    ).scalar()
-    in_block = vals.where(block == target["_b"])
-    hist = in_block.groupBy("_v").agg(F.count(F.lit(1)).alias("cnt"))
+        .where((F.col("upto") > F.col("kk")) & (F.col("upto") - F.col("cnt") <= F.col("kk")))
+        .select("_b", (F.col("kk") - (F.col("upto") - F.col("cnt"))).alias("pos"))
+    )
+    # Distinct values of that block only (an equi-join on the block number with the one
+    # target row), and the value at the remaining position.
+    hist = vb.select("_v", "_b").join(F.broadcast(target), "_b").groupBy("_v", "pos").agg(F.count(F.lit(1)).alias("cnt"))
     wv = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = target["pos"]
     hit = (
         hist.withColumn("upto", F.sum("cnt").over(wv))
-        .where((F.col("upto") > pos) & (F.col("upto") - F.col("cnt") <= pos))
+        .where((F.col("upto") > F.col("pos")) & (F.col("upto") - F.col("cnt") <= F.col("pos")))
         .select(F.col("_v").alias(out))
     )
     # Exactly one row, NULL when no value matched.

@@ -29,7 +29,7 @@ from panelscope.functions.expr import (
     yes_no,
 )
 from panelscope.operators import audit
-from panelscope.operators.aggregate import kpis_by, persistent, pivot_periods, share_of_total
+from panelscope.operators.aggregate import kpis_by, persistent, pivot_periods, share_of_total, total_over
 from panelscope.operators.causal import did_estimate
 from panelscope.operators.geo import (
     attach_labels,
@@ -263,19 +263,21 @@ def q1c_persistent_high_t500(t: Tables) -> DataFrame:
 
 
 def q2a_province_burden(t: Tables) -> DataFrame:
-    # Denominator: the national total over ALL observations (also those without geo).
-    national = _obs(t).agg(F.sum("idp_arrivals")).scalar()
-    agg = with_geo(_obs(t), t).groupBy("province_id").agg(
+    # One scan: a LEFT join to the geo keys keeps observations without a full hierarchy in
+    # a NULL-province group, so the national total (the denominator, over ALL
+    # observations) is the sum over the aggregated groups; the NULL group is dropped after.
+    agg = with_geo(_obs(t), t, how="left").groupBy("province_id").agg(
         F.countDistinct("settlement_id").alias("settlements_assessed"),
         F.sum("idp_arrivals").cast("long").alias("total_idp_arrivals"),
         mean_r("idp_arrivals", 1).alias("avg_per_settlement"),
     )
+    agg = agg.withColumn("_national", total_over("total_idp_arrivals")).where(F.col("province_id").isNotNull())
     return agg.join(province_labels(t), "province_id").select(
         "province_name",
         "settlements_assessed",
         "total_idp_arrivals",
         "avg_per_settlement",
-        share_of_total(F.col("total_idp_arrivals"), national, 2).alias("share_of_national_total_pct"),
+        share_of_total(F.col("total_idp_arrivals"), F.col("_national"), 2).alias("share_of_national_total_pct"),
     )
 
 
