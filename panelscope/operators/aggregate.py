@@ -44,9 +44,18 @@ def total_over(col: str) -> Column:
 
 
 def persistent(
-    df: DataFrame, unit: str, period: str, pred: Column, n_periods: int, distinct: bool = False
+    df: DataFrame,
+    unit: str | list[str],
+    period: str,
+    pred: Column,
+    n_periods: int,
+    *aggs: Column,
+    distinct: bool = False,
+    periods: str = "periods",
 ) -> DataFrame:
-    """Units whose rows satisfy ``pred`` in ``n_periods`` periods: COUNT(period) = n (or
-    COUNT(DISTINCT period) with ``distinct``). Returns unit and the count as ``periods``."""
+    """Units whose rows satisfy ``pred`` in ``n_periods`` periods (HAVING COUNT(period) = n,
+    or COUNT(DISTINCT period) with ``distinct``), with optional extra aggregates over the
+    matching rows. ``unit`` may be several columns (a key and its dependent ids)."""
+    keys = [unit] if isinstance(unit, str) else list(unit)
     cnt = F.countDistinct(period) if distinct else F.count(period)
-    return df.where(pred).groupBy(unit).agg(cnt.alias("periods")).where(F.col("periods") == n_periods)
+    return df.where(pred).groupBy(*keys).agg(cnt.alias(periods), *aggs).where(F.col(periods) == n_periods)

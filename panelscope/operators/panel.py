@@ -99,3 +99,11 @@ def top_units(df: DataFrame, unit: str, score: Column, k: int, tiebreak: Sequenc
     agg = df.groupBy(unit).agg(score.alias("_score"))
     order = [F.col("_score").desc_nulls_last(), *(tiebreak or [F.col(unit).asc()])]
     return agg.orderBy(*order).limit(k)
+
+
+def top_trajectories(df: DataFrame, unit: str, score: Column, k: int, score_name: str = "score") -> DataFrame:
+    """All rows of the k units with the highest ``score`` (an aggregate over the unit's
+    rows, ties broken by unit id), with the score attached. The k-row set is bounded, so
+    it is the broadcast side of the join back to the rows."""
+    top = top_units(df, unit, score, k).select(unit, F.col("_score").alias(score_name))
+    return df.join(F.broadcast(top), unit)

@@ -40,7 +40,7 @@ from panelscope.operators.geo import (
     with_geo,
     with_rounds,
 )
-from panelscope.operators.panel import moving_avg, period_compare, period_delta, running_total, surges, top_units
+from panelscope.operators.panel import moving_avg, period_compare, period_delta, running_total, surges, top_trajectories
 from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_rows, top_n_per
 from panelscope.plans import views
 from panelscope.sources.tables import Tables
@@ -232,18 +232,18 @@ def q1b_round_change(t: Tables) -> DataFrame:
 
 
 def q1c_persistent_high(t: Tables, threshold: int = 1000, n_rounds: int = N_ROUNDS, k: int = 20) -> DataFrame:
-    o = with_geo(_obs(t).where(F.col("idp_arrivals") > threshold), t)
-    agg = o.groupBy("settlement_id", "district_id", "province_id").agg(
-        F.count("round_id").alias("rounds_above_threshold"),
+    agg = persistent(
+        with_geo(_obs(t), t),
+        ["settlement_id", "district_id", "province_id"],
+        "round_id",
+        F.col("idp_arrivals") > threshold,
+        n_rounds,
         F.min("idp_arrivals").alias("min_arrivals"),
         F.max("idp_arrivals").alias("max_arrivals"),
         mean_r("idp_arrivals", 0).alias("avg_arrivals"),
+        periods="rounds_above_threshold",
     )
-    top = (
-        agg.where(F.col("rounds_above_threshold") == n_rounds)
-        .orderBy(F.col("avg_arrivals").desc_nulls_last(), F.col("settlement_id"))
-        .limit(k)
-    )
+    top = agg.orderBy(F.col("avg_arrivals").desc_nulls_last(), F.col("settlement_id")).limit(k)
     out = attach_labels(top, t, ("settlement_code", "settlement_name"), district=True, province=True)
     return out.select(
         "settlement_code",
@@ -607,9 +607,9 @@ def did_by_province(t: Tables) -> DataFrame:
 
 
 def l1_top_trajectories(t: Tables, k: int = 10) -> DataFrame:
-    # Top units over ALL observations (no geo join), as in the report's CTE.
-    top = top_units(_obs(t), "settlement_id", mean_r("idp_arrivals", 0), k).select("settlement_id", F.col("_score").alias("avg_idp"))
-    rows = _obs(t).join(F.broadcast(top), "settlement_id")  # bounded by k x rounds
+    # Top units over ALL observations (no geo join), as in the report's CTE; their rows
+    # then go through the geo and round joins.
+    rows = top_trajectories(_obs(t), "settlement_id", mean_r("idp_arrivals", 0), k, "avg_idp")
     rows = with_rounds(with_geo(rows, t), t, "round_label", "round_period")
     out = attach_labels(rows, t, ("settlement_code", "settlement_name"), province=True)
     return out.select(
@@ -682,11 +682,15 @@ def s2_aid_tiers(t: Tables) -> DataFrame:
 
 
 def s3_districts_always_aided(t: Tables, n_rounds: int = N_ROUNDS) -> DataFrame:
-    o = with_geo(_obs(t).where(F.col("humanitarian_aid_delivered") == 1), t)
-    agg = (
-        o.groupBy("district_id")
-        .agg(F.countDistinct("settlement_id").alias("settlements"), F.countDistinct("round_id").alias("rounds_with_full_aid"))
-        .where(F.col("rounds_with_full_aid") == n_rounds)
+    agg = persistent(
+        with_geo(_obs(t), t),
+        "district_id",
+        "round_id",
+        F.col("humanitarian_aid_delivered") == 1,
+        n_rounds,
+        F.countDistinct("settlement_id").alias("settlements"),
+        distinct=True,
+        periods="rounds_with_full_aid",
     )
     return agg.join(district_labels(t), "district_id").select("province_name", "district_name", "settlements", "rounds_with_full_aid")
 

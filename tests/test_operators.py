@@ -115,3 +115,20 @@ def test_top_n_per_plans_window_group_limit(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert out.count() == 6
+
+
+def test_lead_mirrors_lag(spark):
+    df = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (1, 4, 5), (2, 1, 7)], "u long, p int, v long")
+    got = {(r.u, r.p): r.nxt for r in period_delta(df, "v", "p", unit="u", prev="nxt", direction="lead").collect()}
+    assert got == {(1, 1): 20, (1, 2): 5, (1, 4): None, (2, 1): None}
+
+
+def test_persistent_counts_periods(spark):
+    from panelscope.operators.aggregate import persistent
+
+    rows = [(1, r, 5) for r in (1, 2, 3)] + [(2, 1, 5), (2, 2, 0), (2, 3, 5)] + [(3, 1, 5), (3, 1, 5), (3, 2, 5)]
+    df = spark.createDataFrame(rows, "u long, p int, v long")
+    got = sorted(map(tuple, persistent(df, "u", "p", F.col("v") > 1, 3, F.sum("v").alias("s")).collect()))
+    assert got == [(1, 3, 15), (3, 3, 15)]  # COUNT(period) counts rows, as the report does
+    got = sorted(map(tuple, persistent(df, "u", "p", F.col("v") > 1, 3, distinct=True).collect()))
+    assert got == [(1, 3)]
