@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.sources.tables import GEO_BROADCAST_MAX_ROWS, Tables
+from panelscope.sources.tables import GEO_BROADCAST_MAX_ROWS, LABEL_BROADCAST_MAX_ROWS, Tables
 
 
 def geo_keys(t: Tables) -> DataFrame:
@@ -85,9 +85,10 @@ def attach_labels(rows: DataFrame, t: Tables, settlement_cols=(), district=False
     out = rows
     if settlement_cols:
         s = t.settlements.select("settlement_id", *settlement_cols)
-        out = F.broadcast(out).join(s, "settlement_id") if t.rows("settlements") > GEO_BROADCAST_MAX_ROWS else out.join(
-            F.broadcast(s), "settlement_id"
-        )
+        if t.rows("settlements") <= LABEL_BROADCAST_MAX_ROWS:
+            out = out.join(F.broadcast(s), "settlement_id")
+        else:
+            out = F.broadcast(out).join(s, "settlement_id")
     if district:
         out = out.join(F.broadcast(t.districts.select("district_id", "district_name")), "district_id")
     if province:

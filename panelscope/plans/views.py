@@ -10,7 +10,7 @@ from panelscope.functions.expr import SECURITY_LABELS, count_where, label_levels
 from panelscope.operators.geo import province_labels, settlement_full, with_geo, with_rounds
 from panelscope.operators.score import priority_score
 from panelscope.sources.schema import AID_FLAGS, RESOLUTION_COLS, SERVICE_FLAGS
-from panelscope.sources.tables import GEO_BROADCAST_MAX_ROWS, Tables
+from panelscope.sources.tables import LABEL_BROADCAST_MAX_ROWS, Tables
 
 
 def v1_settlement_full(t: Tables) -> DataFrame:
@@ -22,7 +22,8 @@ def v2_observations_full(t: Tables) -> DataFrame:
     sf = settlement_full(t).select(
         "settlement_id", "settlement_code", "settlement_name", "district_name", "province_name", "adm1_code", "longitude", "latitude"
     )
-    if t.rows("settlements") <= GEO_BROADCAST_MAX_ROWS:
+    # Above the limit: a sort-merge join of the two tables bucketed on settlement_id.
+    if t.rows("settlements") <= LABEL_BROADCAST_MAX_ROWS:
         sf = F.broadcast(sf)
     o = with_rounds(t.observations.join(sf, "settlement_id"), t, "round_label", "round_period")
     return o.select(
@@ -131,7 +132,7 @@ def v5_aid_gap(t: Tables, round_id: int = 6, min_arrivals: int = 500) -> DataFra
     sf = settlement_full(t).select(
         "settlement_id", "province_name", "district_name", "settlement_code", "settlement_name", "latitude", "longitude"
     )
-    if t.rows("settlements") <= GEO_BROADCAST_MAX_ROWS:
+    if t.rows("settlements") <= LABEL_BROADCAST_MAX_ROWS:
         sf = F.broadcast(sf)
     return o.join(sf, "settlement_id").select(
         "province_name",

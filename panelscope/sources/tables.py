@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from panelscope.sources.schema import SCHEMAS, TABLE_NAMES
 
-# Row limits under which a table may be broadcast. A geo row (settlement id, adm2 code,
-# district/province ids) is well under 100 bytes, so 2M rows stay below ~200 MB.
+# Row limits under which a table may be broadcast (checked against counted rows).
+# Geo keys are three longs per settlement: 2M rows stay under ~100 MB. Label frames
+# (settlement codes, names, coordinates) are wider and get a quarter of that.
 DIM_BROADCAST_MAX_ROWS = 1_000_000
 GEO_BROADCAST_MAX_ROWS = 2_000_000
+LABEL_BROADCAST_MAX_ROWS = 500_000
 
 
 @dataclass
