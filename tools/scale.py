@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from panelscope.plans.reports import REPORTS
 from panelscope.sources.binding import tables_for
-from panelscope.sources.tables import Tables, load_tables, scratch_path, write_tables
+from panelscope.sources.tables import Tables, load_catalog, scratch_path, write_tables
 
 
 def replicate(t: Tables, k: int, hot: bool) -> Tables:
@@ -56,9 +56,10 @@ def main():
     base = tables_for(spark, a.sf)
     path = scratch_path(spark, f"scale-k{a.k}{'-hot' if a.hot else ''}")
     t0 = time.perf_counter()
-    write_tables(replicate(base, a.k, a.hot), path, num_partitions=16)
+    database = "panelscope_" + path.rsplit("-", 1)[-1]
+    write_tables(replicate(base, a.k, a.hot), path, buckets=16, database=database)
     prep = time.perf_counter() - t0
-    t = load_tables(spark, path)
+    t = load_catalog(spark, database)
     n = t.observations.count()
     keys = [k for k in a.keys.split(",") if k] or list(REPORTS)
     times = {}
