@@ -78,3 +78,13 @@ def test_normalize_flat_round_trip(spark, tmp_path):
         a = REPORTS[key](t2).collect()
         b = REPORTS[key](t).collect()
         assert sorted(map(str, a)) == sorted(map(str, b)), key
+
+
+def test_cli_writes_reports(spark, tmp_path):
+    from panelscope.cli import run
+
+    src = fixtures.build(spark, str(tmp_path / "src"))
+    run(spark, src, "parquet", str(tmp_path / "out"), ["v4_national_dashboard", "q2a_province_burden"])
+    t = load_tables(spark, src)
+    got = spark.read.parquet(str(tmp_path / "out" / "v4_national_dashboard"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, REPORTS["v4_national_dashboard"](t).collect()))
