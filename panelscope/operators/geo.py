@@ -15,11 +15,9 @@ from panelscope.sources.tables import GEO_BROADCAST_MAX_ROWS, LABEL_BROADCAST_MA
 
 
 def geo_keys(t: Tables) -> DataFrame:
-    """settlement_id, district_id, province_id for settlements with a full hierarchy."""
-    s = t.settlements.select("settlement_id", "adm2_code")
-    d = t.small("districts").select("adm2_code", "district_id", "province_id")
-    p = t.small("provinces").select("province_id")
-    return s.join(d, "adm2_code").join(p, "province_id").select("settlement_id", "district_id", "province_id")
+    """settlement_id, district_id, province_id for settlements with a full hierarchy
+    (materialised at write time when the tables come from a bucketed store)."""
+    return t.hierarchy()
 
 
 def with_geo(df: DataFrame, t: Tables, how: str = "inner") -> DataFrame:

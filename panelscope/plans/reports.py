@@ -133,9 +133,7 @@ def a3_panel_balance(t: Tables) -> DataFrame:
 
 def _settlement_geo(t: Tables) -> DataFrame:
     """settlements x districts x provinces keys (dimension chain without the fact)."""
-    d = t.small("districts").select("adm2_code", "district_id", "province_id")
-    p = t.small("provinces").select("province_id")
-    return t.settlements.select("settlement_id", "adm2_code").join(d, "adm2_code").join(p, "province_id")
+    return t.hierarchy()
 
 
 def b1_coverage_province(t: Tables) -> DataFrame:

@@ -35,6 +35,9 @@ class Tables:
     survey_rounds: DataFrame
     observations: DataFrame
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
+    # Materialised settlement_id -> district_id, province_id map (see write_tables); when
+    # absent it is derived from the three dimension tables on use.
+    geo: DataFrame | None = field(default=None, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -52,9 +55,23 @@ class Tables:
 
     def with_observations(self, obs: DataFrame) -> Tables:
         return Tables(
-            self.provinces, self.districts, self.settlements, self.survey_rounds, obs, dict(self._rows)
+            self.provinces, self.districts, self.settlements, self.survey_rounds, obs, dict(self._rows), self.geo
         )
 
+    def hierarchy(self) -> DataFrame:
+        """settlement_id, district_id, province_id for settlements whose district and
+        province exist (the inner join chain); the materialised map when present."""
+        if self.geo is not None:
+            return self.geo
+        return hierarchy_keys(self.settlements, self.small("districts"), self.small("provinces"))
+
+
+def hierarchy_keys(settlements: DataFrame, districts: DataFrame, provinces: DataFrame) -> DataFrame:
+    s = settlements.select("settlement_id", "adm2_code")
+    d = districts.select("adm2_code", "district_id", "province_id")
+    p = provinces.select("province_id")
+    return s.join(d, "adm2_code").join(p, "province_id").select("settlement_id", "district_id", "province_id")
+
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     """Read the five tables from ``{path}/{table}`` with their declared schemas.
@@ -114,7 +131,9 @@ def write_tables(
     bucketed tables report hash partitioning on settlement_id, so per-settlement windows,
     aggregations by settlement and the fact x settlement join run without an exchange.
     Each write task holds exactly one bucket (``repartition(buckets, settlement_id)`` uses
-    the bucketing hash), so a table has ``buckets`` files per round directory.
+    the bucketing hash), so a table has ``buckets`` files per round directory. The
+    settlement -> district -> province key map is written too (``settlement_geo``, bucketed
+    the same way): the hierarchy join chain is then evaluated once, at write time.
     """
     if buckets and database:
         _write_bucketed(tables, path, buckets, database)
@@ -144,13 +163,28 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
         else:
             writer = df.coalesce(1).write
         writer.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
+    geo = hierarchy_keys(
+        spark.table(f"{database}.settlements"), F.broadcast(spark.table(f"{database}.districts")),
+        F.broadcast(spark.table(f"{database}.provinces")),
+    )
+    (
+        geo.repartition(buckets, "settlement_id")
+        .write.bucketBy(buckets, "settlement_id")
+        .sortBy("settlement_id")
+        .mode("overwrite")
+        .format("parquet")
+        .option("path", f"{path}/settlement_geo")
+        .saveAsTable(f"{database}.settlement_geo")
+    )
 
 
 def load_catalog(spark: SparkSession, database: str) -> Tables:
-    """The five tables from catalog ``database`` (keeps bucketing information)."""
-    return Tables(
-        **{n: spark.table(f"{database}.{n}").select(*SCHEMAS[n].fieldNames()) for n in TABLE_NAMES}
-    )
+    """The five tables from catalog ``database`` (keeps bucketing information), with the
+    materialised hierarchy map when the database has one."""
+    t = Tables(**{n: spark.table(f"{database}.{n}").select(*SCHEMAS[n].fieldNames()) for n in TABLE_NAMES})
+    if spark.catalog.tableExists("settlement_geo", database):
+        t.geo = spark.table(f"{database}.settlement_geo").select("settlement_id", "district_id", "province_id")
+    return t
 
 
 def shared_dir(spark: SparkSession) -> str:
