@@ -182,7 +182,7 @@ def load_catalog(spark: SparkSession, database: str) -> Tables:
     """The five tables from catalog ``database`` (keeps bucketing information), with the
     materialised hierarchy map when the database has one."""
     t = Tables(**{n: spark.table(f"{database}.{n}").select(*SCHEMAS[n].fieldNames()) for n in TABLE_NAMES})
-    if spark.catalog.tableExists("settlement_geo", database):
+    if spark.catalog.tableExists(f"{database}.settlement_geo"):
         t.geo = spark.table(f"{database}.settlement_geo").select("settlement_id", "district_id", "province_id")
     return t
 
