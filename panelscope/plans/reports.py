@@ -30,7 +30,7 @@ from panelscope.functions.expr import (
 )
 from panelscope.operators import audit
 from panelscope.operators.aggregate import kpis_by, persistent, pivot_periods, share_of_total, total_over
-from panelscope.operators.causal import did_estimate
+from panelscope.operators.causal import did_cells, did_estimate
 from panelscope.operators.geo import (
     attach_labels,
     district_labels,
@@ -188,7 +188,7 @@ def d3_aid_type_shares(t: Tables) -> DataFrame:
 
 
 def d4_did_group_sizes(t: Tables) -> DataFrame:
-    agg = _obs(t).groupBy("post_intervention", "diff_in_diff").agg(F.count(F.lit(1)).alias("obs_count"))
+    agg = did_cells(_obs(t), "post_intervention", "diff_in_diff", F.count(F.lit(1)).alias("obs_count"))
     return agg.select(
         F.col("post_intervention").alias("post"),
         F.col("diff_in_diff").alias("treatment"),
@@ -564,7 +564,10 @@ def c2x_vulnerability_index(t: Tables) -> DataFrame:
 
 
 def did_group_means(t: Tables) -> DataFrame:
-    agg = _obs(t).groupBy("post_intervention", "diff_in_diff").agg(
+    agg = did_cells(
+        _obs(t),
+        "post_intervention",
+        "diff_in_diff",
         F.count(F.lit(1)).alias("observations"),
         mean_r("idp_arrivals", 2).alias("avg_idp_arrivals"),
         mean_r("security_situation", 3).alias("avg_security"),
