@@ -43,9 +43,13 @@ def main():
     ap.add_argument("--k", type=int, default=10)
     ap.add_argument("--hot", action="store_true")
     ap.add_argument("--keys", default="")
+    ap.add_argument("--eventlog", default="", help="scratch folder for Spark's event log; prints per-report task skew")
     a = ap.parse_args()
+    builder = SparkSession.builder
+    if a.eventlog:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", a.eventlog)
     spark = (
-        SparkSession.builder.master("local[8]")
+        builder.master("local[8]")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "16")
@@ -63,13 +67,69 @@ def main():
     n = t.observations.count()
     keys = [k for k in a.keys.split(",") if k] or list(REPORTS)
     times = {}
+    sc = spark.sparkContext
     for key in keys:
         REPORTS[key](t).write.format("noop").mode("overwrite").save()
+        sc.setJobDescription(key)
         s = time.perf_counter()
         REPORTS[key](t).write.format("noop").mode("overwrite").save()
         times[key] = round(time.perf_counter() - s, 3)
-    print(json.dumps({"k": a.k, "hot": a.hot, "observations": n, "prepare_sec": round(prep, 2),
-                      "total_sec": round(sum(times.values()), 2), "queries": times}))
+        sc.setJobDescription(None)
+    out = {"k": a.k, "hot": a.hot, "observations": n, "prepare_sec": round(prep, 2),
+           "total_sec": round(sum(times.values()), 2), "queries": times}
+    if a.eventlog:
+        spark.stop()
+        out["task_skew"] = task_skew(a.eventlog)
+    print(json.dumps(out))
+
+
+def task_skew(log_dir: str) -> dict:
+    """Per report (job description), over its stages with at least 8 tasks: the longest
+    task, the largest max/median task-time ratio, and the largest max/mean ratio of
+    shuffle-read records per task (1.0 = perfectly even)."""
+    import glob
+    import statistics
+
+    stage_desc, tasks = {}, {}
+    for path in sorted(glob.glob(os.path.join(log_dir, "**", "*"), recursive=True)):
+        if os.path.isdir(path) or os.path.basename(path).startswith("appstatus"):
+            continue
+        if path.endswith(".zstd"):
+            import io
+
+            import zstandard
+
+            with open(path, "rb") as raw:
+                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(raw), encoding="utf-8").read()
+        else:
+            with open(path) as f:
+                text = f.read()
+        if True:
+            for line in text.splitlines():
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    desc = (ev.get("Properties") or {}).get("spark.job.description")
+                    for sid in ev.get("Stage IDs", []):
+                        if desc:
+                            stage_desc[sid] = desc
+                elif kind == "SparkListenerTaskEnd":
+                    info, metrics = ev["Task Info"], ev.get("Task Metrics") or {}
+                    rec = (metrics.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+                    tasks.setdefault(ev["Stage ID"], []).append((info["Finish Time"] - info["Launch Time"], rec))
+    worst = {}
+    for sid, ts in tasks.items():
+        desc = stage_desc.get(sid)
+        if not desc or len(ts) < 8:
+            continue
+        durs = [d for d, _ in ts]
+        recs = [r for _, r in ts]
+        w = worst.setdefault(desc, {"max_task_ms": 0, "time_max_over_median": 0.0, "shuffle_max_over_mean": 0.0})
+        w["max_task_ms"] = max(w["max_task_ms"], max(durs))
+        w["time_max_over_median"] = max(w["time_max_over_median"], round(max(durs) / max(1.0, statistics.median(durs)), 2))
+        if sum(recs):
+            w["shuffle_max_over_mean"] = max(w["shuffle_max_over_mean"], round(max(recs) / (sum(recs) / len(recs)), 2))
+    return worst
 
 
 if __name__ == "__main__":
