@@ -24,8 +24,9 @@ def with_geo(df: DataFrame, t: Tables, how: str = "inner") -> DataFrame:
     """Attach district_id and province_id to rows keyed by settlement_id.
 
     The geo side is one row per settlement, i.e. it grows with the panel; it is broadcast
-    only when the counted settlement table is under GEO_BROADCAST_MAX_ROWS, otherwise
-    both sides are shuffled on settlement_id (sort-merge join; AQE splits skewed keys).
+    only when the counted settlement table is under GEO_BROADCAST_MAX_ROWS. Otherwise it is
+    a sort-merge join on settlement_id: without an exchange when both sides come from the
+    bucketed store, by shuffling both sides when they do not (AQE splits skewed keys).
     """
     g = geo_keys(t)
     if t.rows("settlements") <= GEO_BROADCAST_MAX_ROWS:

@@ -154,7 +154,6 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path}/_db'")
     for name in TABLE_NAMES:
         df = tables[name].select(*SCHEMAS[name].fieldNames())
-        writer = None
         if name in ("observations", "settlements"):
             df = df.repartition(buckets, "settlement_id")
             writer = df.write.bucketBy(buckets, "settlement_id").sortBy("settlement_id")
@@ -163,10 +162,11 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
         else:
             writer = df.coalesce(1).write
         writer.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
-    geo = hierarchy_keys(
-        spark.table(f"{database}.settlements"), F.broadcast(spark.table(f"{database}.districts")),
-        F.broadcast(spark.table(f"{database}.provinces")),
-    )
+    # The hierarchy chain over the tables just written (dimension broadcasts size-checked;
+    # never a key map left from an earlier write).
+    written = load_catalog(spark, database)
+    written.geo = None
+    geo = written.hierarchy()
     (
         geo.repartition(buckets, "settlement_id")
         .write.bucketBy(buckets, "settlement_id")
