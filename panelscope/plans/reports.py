@@ -656,7 +656,7 @@ v4_national_dashboard = views.v4_national_dashboard
 v5_aid_gap = views.v5_aid_gap
 
 
-# ── showcase ─────────────────────────────────────────────────────────────────────────
+# ── highlight reports ────────────────────────────────────────────────────────────────
 
 
 def _with_province_name(t: Tables, df: DataFrame) -> DataFrame:
