@@ -149,33 +149,48 @@ def write_tables(
             tables[name].coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def unit_key_bound_holds(tables: Tables) -> bool:
+    """True when no settlement has more fact rows than there are rounds, i.e. the declared
+    UNIQUE(settlement_id, round_id) cannot be violated by a hot group of copies. One
+    partial aggregation over the fact; a single number reaches the driver."""
+    rounds = tables.survey_rounds.agg(F.countDistinct("round_id")).first()[0]
+    worst = tables.observations.groupBy("settlement_id").count().agg(F.max("count")).first()[0]
+    return worst is None or worst <= max(rounds or 0, 1)
+
+
 def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> None:
+    """Catalog tables; fact, settlements and the key map bucketed on settlement_id when the
+    unit key is bounded. If one settlement carries more rows than there are rounds (a
+    group of copies), bucketing would put that group into one bucket read by one task in
+    every scan, so the tables are written unbucketed instead (joins and aggregations then
+    shuffle, and AQE splits the skewed partitions)."""
     spark = tables.observations.sparkSession
+    bucketed = unit_key_bound_holds(tables)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path}/_db'")
+
+    def save(df: DataFrame, name: str, by_round: bool = False) -> None:
+        if bucketed:
+            writer = df.repartition(buckets, "settlement_id").write.bucketBy(buckets, "settlement_id").sortBy("settlement_id")
+        else:
+            # No repartition: a key-based shuffle would route the hot group to one task.
+            writer = df.write
+        if by_round:
+            writer = writer.partitionBy("round_id")
+        writer.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
+
     for name in TABLE_NAMES:
         df = tables[name].select(*SCHEMAS[name].fieldNames())
         if name in ("observations", "settlements"):
-            df = df.repartition(buckets, "settlement_id")
-            writer = df.write.bucketBy(buckets, "settlement_id").sortBy("settlement_id")
-            if name == "observations":
-                writer = writer.partitionBy("round_id")
+            save(df, name, by_round=name == "observations")
         else:
-            writer = df.coalesce(1).write
-        writer.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(f"{database}.{name}")
+            df.coalesce(1).write.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(
+                f"{database}.{name}"
+            )
     # The hierarchy chain over the tables just written (dimension broadcasts size-checked;
     # never a key map left from an earlier write).
     written = load_catalog(spark, database)
     written.geo = None
-    geo = written.hierarchy()
-    (
-        geo.repartition(buckets, "settlement_id")
-        .write.bucketBy(buckets, "settlement_id")
-        .sortBy("settlement_id")
-        .mode("overwrite")
-        .format("parquet")
-        .option("path", f"{path}/settlement_geo")
-        .saveAsTable(f"{database}.settlement_geo")
-    )
+    save(written.hierarchy(), "settlement_geo")
 
 
 def load_catalog(spark: SparkSession, database: str) -> Tables:

@@ -67,3 +67,25 @@ def test_fact_geo_join_is_bucketed_merge_join(large_settlements, key):
     assert "SortMergeJoin [settlement_id" in plan, plan
     assert "Exchange hashpartitioning(settlement_id" not in plan, plan
     assert_same(df, con.sql(REPORT_SQL[key]))
+
+
+def test_hot_group_of_copies_disables_bucketing(spark, tmp_path):
+    # One (settlement, round) copied 300 times: about a third of the fact.
+    obs = fixtures._observations()
+    hot = list(obs[0])
+    copies = []
+    for i in range(300):
+        row = list(hot)
+        row[0] = 10**9 + i
+        copies.append(tuple(row))
+    src = fixtures.build(spark, str(tmp_path / "src"), observations=obs + copies)
+    out = str(tmp_path / "store")
+    write_tables(load_tables(spark, src), out, buckets=4, database="panelscope_hot_test")
+    t = load_catalog(spark, "panelscope_hot_test")
+    assert t.observations.count() == len(obs) + 300  # nothing dropped
+    con = duckdb.connect()
+    fixtures.duck(con, src)
+    for key in ("q1a_idp_by_round", "v4_national_dashboard", "q4b_aid_by_province", "s3_districts_always_aided", "dq_unique_keys"):
+        df = REPORTS[key](t)
+        assert "Bucketed: true" not in df._jdf.queryExecution().executedPlan().toString()
+        assert_same(df, con.sql(REPORT_SQL[key]))
