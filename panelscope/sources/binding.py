@@ -198,10 +198,13 @@ BYTES_PER_BUCKET = 64 * 1024 * 1024
 
 def bucket_count(spark: SparkSession, source: DataFrame) -> int:
     """Buckets for the panel tables: one per 64 MB of source (Spark's own size estimate of
-    the scan), at least the default parallelism, at most spark.sql.shuffle.partitions."""
+    the scan), at least the default parallelism, at most Spark's bucket limit
+    (spark.sql.sources.bucketing.maxBuckets). A bucketed scan runs one task per bucket, so
+    the count follows the data, not spark.sql.shuffle.partitions; a non-bucketed join side
+    is shuffled to the bucket count by the planner."""
     raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     size = int(raw if isinstance(raw, int) else raw.toString())
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cap = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     want = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
     return max(1, min(cap, want))
 
