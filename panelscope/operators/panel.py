@@ -86,10 +86,22 @@ def period_compare(
     )
 
 
-def surges(df: DataFrame, unit: str, period: str, measure: str, factor: float = 1.5, prev: str = "prev") -> DataFrame:
+def surges(
+    df: DataFrame,
+    unit: str,
+    period: str,
+    measure: str,
+    factor: float = 1.5,
+    prev: str = "prev",
+    segmented_tiebreak: str | None = None,
+) -> DataFrame:
     """Rows whose measure exceeds ``factor`` x the unit's previous value (previous > 0).
-    The lag is taken over all rows before filtering."""
-    lagged = period_delta(df, measure, period, unit=unit, prev=prev)
+    The lag is taken over all rows before filtering; with ``segmented_tiebreak`` (a unique
+    column) it is computed by ``unit_scan``, for data where one unit may be hot."""
+    if segmented_tiebreak:
+        lagged = unit_scan(df, unit, [period, segmented_tiebreak], measure, prev=prev)
+    else:
+        lagged = period_delta(df, measure, period, unit=unit, prev=prev)
     return lagged.where((F.col(prev) > 0) & (F.col(measure) > F.col(prev) * F.lit(float(factor))))
 
 
@@ -107,3 +119,52 @@ def top_trajectories(df: DataFrame, unit: str, score: Column, k: int, score_name
     it is the broadcast side of the join back to the rows."""
     top = top_units(df, unit, score, k).select(unit, F.col("_score").alias(score_name))
     return df.join(F.broadcast(top), unit)
+
+
+def unit_scan(
+    df: DataFrame,
+    unit: str,
+    order: Sequence[str],
+    value: str,
+    prev: str | None = None,
+    cum: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """LAG(value) and the running SUM(value) per unit along ``order`` without putting a
+    unit's rows into one task, for data where one unit may hold a large share of the rows.
+
+    ``order`` must end in a unique tie-break. The rows are range-partitioned on
+    (unit, *order), which splits a hot unit over many tasks; the windows then run per
+    (unit, range partition) segment, and a window over the small per-segment table (one
+    row per segment, at most ``partitions`` per unit) carries the previous segment's last
+    value and running total across segment boundaries. Equal to the plain window
+    (``period_delta`` / ``running_total``) with the same ordering.
+    """
+    order = list(order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, unit, *order).withColumn("_seg", F.spark_partition_id())
+    w = Window.partitionBy(unit, "_seg").orderBy(*order)
+    r = r.withColumn("_rn", F.row_number().over(w))
+    if prev:
+        r = r.withColumn("_lag", F.lag(value).over(w))
+    if cum:
+        r = r.withColumn("_cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    seg = r.groupBy(unit, "_seg").agg(
+        F.max_by(value, F.struct(*order)).alias("_last"), F.sum(value).alias("_tot")
+    )
+    ws = Window.partitionBy(unit).orderBy("_seg")
+    seg = seg.select(
+        unit,
+        "_seg",
+        F.lag("_last").over(ws).alias("_prev_last"),
+        F.sum("_tot").over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
+    )
+    out = r.join(seg, [unit, "_seg"])
+    if prev:
+        out = out.withColumn(prev, F.when(F.col("_rn") == 1, F.col("_prev_last")).otherwise(F.col("_lag")))
+    if cum:
+        both_null = F.col("_cum").isNull() & F.col("_offset").isNull()
+        out = out.withColumn(
+            cum, F.when(~both_null, F.coalesce(F.col("_cum"), F.lit(0)) + F.coalesce(F.col("_offset"), F.lit(0)))
+        )
+    return out.drop("_seg", "_rn", "_lag", "_cum", "_prev_last", "_offset")

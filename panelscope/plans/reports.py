@@ -40,7 +40,15 @@ from panelscope.operators.geo import (
     with_geo,
     with_rounds,
 )
-from panelscope.operators.panel import moving_avg, period_compare, period_delta, running_total, surges, top_trajectories
+from panelscope.operators.panel import (
+    moving_avg,
+    period_compare,
+    period_delta,
+    running_total,
+    surges,
+    top_trajectories,
+    unit_scan,
+)
 from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_rows, top_n_per
 from panelscope.plans import views
 from panelscope.sources.tables import Tables
@@ -443,12 +451,18 @@ def q5c_triple_deprivation(t: Tables, round_id: int = LATEST_ROUND) -> DataFrame
 
 def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
     base = with_rounds(with_geo(_obs(t), t), t, "round_label").select(
-        "settlement_id", "round_id", "province_id", "round_label", "idp_arrivals"
-    )
-    # Per-settlement windows: each group holds at most one row per round.
-    lagged = period_delta(base, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change")
-    lagged = running_total(lagged, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps")
-    first = lagged.orderBy("settlement_id", "round_id").limit(k)
+        "settlement_id", "round_id", "observation_id", "province_id", "round_label", "idp_arrivals"
+    )
+    if t.unit_key_bounded is False:
+        # A settlement may hold many rows: segmented scan instead of one window per settlement.
+        lagged = unit_scan(
+            base, "settlement_id", ["round_id", "observation_id"], "idp_arrivals", prev="prev_round_arrivals", cum="cumulative_idps"
+        ).withColumn("round_change", F.col("idp_arrivals") - F.col("prev_round_arrivals"))
+    else:
+        # Per-settlement windows: each group holds at most one row per round.
+        lagged = period_delta(base, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change")
+        lagged = running_total(lagged, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps")
+    first = lagged.orderBy("settlement_id", "round_id", "observation_id").limit(k)
     # RANK within (province, round) over ALL rows, computed for the displayed rows only.
     ranked = rank_rows(first, base, ["province_id", "round_id"], "idp_arrivals", "rank_in_province")
     out = attach_labels(ranked, t, ("settlement_code", "settlement_name"), province=True)
@@ -628,7 +642,16 @@ def l1_top_trajectories(t: Tables, k: int = 10) -> DataFrame:
 
 
 def l2_surges(t: Tables, factor: float = 1.5, k: int = 30) -> DataFrame:
-    s = surges(_obs(t).select("settlement_id", "round_id", "idp_arrivals"), "settlement_id", "round_id", "idp_arrivals", factor, "arrivals_before")
+    tiebreak = "observation_id" if t.unit_key_bounded is False else None
+    s = surges(
+        _obs(t).select("settlement_id", "round_id", "observation_id", "idp_arrivals"),
+        "settlement_id",
+        "round_id",
+        "idp_arrivals",
+        factor,
+        "arrivals_before",
+        segmented_tiebreak=tiebreak,
+    )
     s = s.withColumn(
         "pct_increase",
         round_half_up(safe_div((F.col("idp_arrivals") - F.col("arrivals_before")).cast("double") * F.lit(100.0), F.col("arrivals_before")), 1),

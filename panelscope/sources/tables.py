@@ -25,6 +25,7 @@ from panelscope.sources.schema import SCHEMAS, TABLE_NAMES
 DIM_BROADCAST_MAX_ROWS = 1_000_000
 GEO_BROADCAST_MAX_ROWS = 2_000_000
 LABEL_BROADCAST_MAX_ROWS = 500_000
+UNIT_KEY_PROPERTY = "panelscope.unit_key_bounded"
 
 
 @dataclass
@@ -38,6 +39,9 @@ class Tables:
     # Materialised settlement_id -> district_id, province_id map (see write_tables); when
     # absent it is derived from the three dimension tables on use.
     geo: DataFrame | None = field(default=None, repr=False)
+    # False when the writer found a settlement with more rows than rounds (a hot group of
+    # copies): per-settlement scans then use the segmented form (operators.panel.unit_scan).
+    unit_key_bounded: bool | None = field(default=None, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -55,7 +59,14 @@ class Tables:
 
     def with_observations(self, obs: DataFrame) -> Tables:
         return Tables(
-            self.provinces, self.districts, self.settlements, self.survey_rounds, obs, dict(self._rows), self.geo
+            self.provinces,
+            self.districts,
+            self.settlements,
+            self.survey_rounds,
+            obs,
+            dict(self._rows),
+            self.geo,
+            self.unit_key_bounded,
         )
 
     def hierarchy(self) -> DataFrame:
@@ -191,6 +202,8 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
     written = load_catalog(spark, database)
     written.geo = None
     save(written.hierarchy(), "settlement_geo")
+    flag = "true" if bucketed else "false"
+    spark.sql(f"ALTER TABLE {database}.observations SET TBLPROPERTIES ('{UNIT_KEY_PROPERTY}' = '{flag}')")
 
 
 def load_catalog(spark: SparkSession, database: str) -> Tables:
@@ -199,6 +212,9 @@ def load_catalog(spark: SparkSession, database: str) -> Tables:
     t = Tables(**{n: spark.table(f"{database}.{n}").select(*SCHEMAS[n].fieldNames()) for n in TABLE_NAMES})
     if spark.catalog.tableExists(f"{database}.settlement_geo"):
         t.geo = spark.table(f"{database}.settlement_geo").select("settlement_id", "district_id", "province_id")
+    props = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {database}.observations").collect()}  # a few rows
+    if UNIT_KEY_PROPERTY in props:
+        t.unit_key_bounded = props[UNIT_KEY_PROPERTY] == "true"
     return t
 
 

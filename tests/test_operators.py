@@ -132,3 +132,28 @@ def test_persistent_counts_periods(spark):
     assert got == [(1, 3, 15), (3, 3, 15)]  # COUNT(period) counts rows, as the report does
     got = sorted(map(tuple, persistent(df, "u", "p", F.col("v") > 1, 3, distinct=True).collect()))
     assert got == [(1, 3)]
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_unit_scan_equals_plain_windows_with_hot_unit(spark, seed):
+    from panelscope.operators.panel import unit_scan
+
+    rng = random.Random(seed)
+    rows = []
+    oid = 0
+    for u in range(30):
+        for r in range(1, 7):
+            oid += 1
+            rows.append((u, r, oid, rng.choice([None, 0, 3, 8, 20])))
+    for _ in range(600):  # unit 0: a hot group of copies, a large share of all rows
+        oid += 1
+        rows.append((0, rng.randint(1, 6), oid, rng.choice([None, 1, 2, 5])))
+    df = spark.createDataFrame(rows, "u long, r int, oid long, v long")
+    w = Window.partitionBy("u").orderBy("r", "oid")
+    want = df.select(
+        "oid",
+        F.lag("v").over(w).alias("p"),
+        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("c"),
+    )
+    got = unit_scan(df, "u", ["r", "oid"], "v", prev="p", cum="c", partitions=7).select("oid", "p", "c")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
