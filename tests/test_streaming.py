@@ -7,6 +7,7 @@ from panelscope.plans.views import v4_national_dashboard
 from panelscope.sources import load_tables
 from panelscope.sources.schema import OBSERVATIONS
 from panelscope.streaming import start_round_ingest
+from panelscope.streaming.rounds import read_fact
 
 
 def test_round_ingest_matches_batch_dashboard(spark, tmp_path):
@@ -32,5 +33,6 @@ def test_round_ingest_matches_batch_dashboard(spark, tmp_path):
     want = v4_national_dashboard(t)
     cols = want.columns
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
-    stored = spark.read.schema(OBSERVATIONS).parquet(fact)
+    stored = read_fact(spark, fact)
     assert stored.count() == obs.count()
+    assert stored.schema == obs.select(*OBSERVATIONS.fieldNames()).schema
