@@ -89,7 +89,7 @@ def attach_labels(rows: DataFrame, t: Tables, settlement_cols=(), district=False
         else:
             out = F.broadcast(out).join(s, "settlement_id")
     if district:
-        out = out.join(F.broadcast(t.districts.select("district_id", "district_name")), "district_id")
+        out = out.join(t.small("districts").select("district_id", "district_name"), "district_id")
     if province:
         out = out.join(province_labels(t), "province_id")
     return out

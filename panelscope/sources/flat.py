@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.sources.schema import OBSERVATIONS, SCHEMAS
-from panelscope.sources.tables import Tables, shared_dir
+from panelscope.sources.tables import Tables, broadcast_if_small, shared_dir
 
 GEO_COLS = ["province_name", "adm1_code", "district_name", "adm2_code"]
 SETTLEMENT_COLS = ["settlement_code", "settlement_name", "longitude", "latitude", "pashtun_greg", "pashtun_ethno"]
@@ -37,7 +37,7 @@ def normalize_flat(flat: DataFrame, num_partitions: int | None = None) -> Tables
         F.row_number().over(Window.orderBy("adm1_code")).cast("long").alias("province_id"), "province_name", "adm1_code"
     )
     dist = flat.select("adm2_code", "district_name", "adm1_code").dropDuplicates(["adm2_code"])
-    districts = dist.join(F.broadcast(provinces.select("province_id", "adm1_code")), "adm1_code").select(
+    districts = dist.join(broadcast_if_small(provinces.select("province_id", "adm1_code")), "adm1_code").select(
         F.row_number().over(Window.orderBy("adm2_code")).cast("long").alias("district_id"),
         "adm2_code",
         "district_name",
@@ -63,7 +63,7 @@ def normalize_flat(flat: DataFrame, num_partitions: int | None = None) -> Tables
 
     ids = sett.select("settlement_code", "settlement_id")
     fact = flat.select("settlement_code", "round_label", *MEASURES).join(ids, "settlement_code").join(
-        F.broadcast(survey_rounds.select("round_id", "round_label")), "round_label"
+        broadcast_if_small(survey_rounds.select("round_id", "round_label")), "round_label"
     )
     observations = fact.withColumn("observation_id", F.monotonically_increasing_id() + 1).select(
         *OBSERVATIONS.fieldNames()

@@ -84,6 +84,11 @@ def hierarchy_keys(settlements: DataFrame, districts: DataFrame, provinces: Data
     return s.join(d, "adm2_code").join(p, "province_id").select("settlement_id", "district_id", "province_id")
 
 
+def broadcast_if_small(df: DataFrame, limit: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint only when its counted row number is under ``limit``."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     """Read the five tables from ``{path}/{table}`` with their declared schemas.
 
