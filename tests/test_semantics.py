@@ -74,3 +74,55 @@ def test_school_trend_labels(spark, tmp_path):
         ("Round 12", 40.0, "— Stable"),
         ("Round 13", 60.0, "✓ Improved"),
     ]
+
+
+def _panel(spark, tmp_path, cells):
+    """Tiny fact: ``cells`` = {(province, settlement, round, treated): (idp, security)}."""
+    provinces = sorted({(p, f"P{p}", f"P{p:02d}") for p, *_ in cells})
+    districts = [(p, f"P{p:02d}01", f"D{p}", p) for p, _, _ in provinces]
+    settlements = sorted({(s, f"C{s}", f"S{s}", f"P{p:02d}01", None, None, None, None) for p, s, _, _ in cells})
+    cols = OBSERVATIONS.fieldNames()
+    obs = []
+    for i, ((p, s, r, treated), (idp, sec)) in enumerate(sorted(cells.items())):
+        row = dict.fromkeys(cols)
+        row.update(
+            observation_id=i + 1, settlement_id=s, round_id=r, idp_arrivals=idp, security_situation=sec,
+            post_intervention=int(r >= 4), diff_in_diff=treated, health_clinics_available=1, schools_available=1,
+            humanitarian_aid_delivered=0,
+        )
+        obs.append(tuple(row[c] for c in cols))
+    path = fixtures.build(spark, str(tmp_path), observations=obs, provinces=provinces, districts=districts, settlements=settlements)
+    return load_tables(spark, path)
+
+
+def test_all_zero_metric_gives_null_index(spark, tmp_path):
+    t = _panel(spark, tmp_path, {(1, 10, 1, 0): (5, 0), (2, 20, 1, 1): (7, 0)})
+    rows = REPORTS["c2x_vulnerability_index"](t).collect()
+    assert len(rows) == 2 and all(r.vulnerability_index is None for r in rows)
+    assert all(r.avg_security_score == 0.0 for r in rows)
+
+
+def test_did_missing_cell_and_signs(spark, tmp_path):
+    cells = {
+        # province 1: treated change 10, control change 10 -> 0, "No effect"
+        (1, 11, 1, 1): (10, 1), (1, 11, 4, 1): (20, 1), (1, 12, 1, 0): (5, 1), (1, 12, 4, 0): (15, 1),
+        # province 2: treated change -6, control change 4 -> -10, reduced
+        (2, 21, 1, 1): (16, 1), (2, 21, 4, 1): (10, 1), (2, 22, 1, 0): (1, 1), (2, 22, 4, 0): (5, 1),
+        # province 3: treated change 9, control change 1 -> 8, increased
+        (3, 31, 1, 1): (1, 1), (3, 31, 4, 1): (10, 1), (3, 32, 1, 0): (2, 1), (3, 32, 4, 0): (3, 1),
+        # province 4: no treated-pre cell -> dropped
+        (4, 41, 4, 1): (3, 1), (4, 42, 1, 0): (3, 1), (4, 42, 4, 0): (3, 1),
+    }
+    t = _panel(spark, tmp_path, cells)
+    got = {r.province_name: (r.did_estimate, r.interpretation) for r in REPORTS["did_by_province"](t).collect()}
+    assert got == {
+        "P1": (0.0, "No effect"),
+        "P2": (-10.0, "Intervention reduced displacement"),
+        "P3": (8.0, "Displacement increased despite intervention"),
+    }
+    # Without any treated-pre row in the whole panel the estimator is NULL, not an error.
+    only = {k: v for k, v in cells.items() if not (k[3] == 1 and k[2] < 4)}
+    t2 = _panel(spark, tmp_path / "no_tc", only)
+    est = REPORTS["did_estimator"](t2).first()
+    assert est.did_estimator_idp_arrivals is None and est.treatment_group_change is None
+    assert est.control_group_change is not None
