@@ -166,3 +166,17 @@ def register_views(t: Tables) -> None:
         t[name].createOrReplaceTempView(name)
     for name, fn in VIEWS.items():
         fn(t).createOrReplaceTempView(name)
+
+
+def register_reports(t: Tables, prefix: str = "report_") -> list[str]:
+    """Register every report as a temp view ``{prefix}{key}`` (plus the tables and views),
+    so SQL users can ``SELECT * FROM report_q2a_province_burden``. Views are lazy: each
+    query runs the report's plan."""
+    from panelscope.plans.reports import REPORTS
+
+    register_views(t)
+    names = []
+    for key, fn in REPORTS.items():
+        fn(t).createOrReplaceTempView(prefix + key)
+        names.append(prefix + key)
+    return names

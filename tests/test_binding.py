@@ -48,3 +48,15 @@ def test_views_through_spark_sql(spark):
     assert [r.round_id for r in rows] == [1, 2, 3, 4, 5, 6]
     n = spark.sql("SELECT COUNT(*) AS n FROM vw_observations_full WHERE round_id = 6").first().n
     assert n == t.observations.where("round_id = 6").count()
+
+
+def test_reports_as_sql_views(spark):
+    from panelscope.plans.reports import REPORTS
+    from panelscope.plans.views import register_reports
+
+    t = tables_for(spark, SF)
+    names = register_reports(t)
+    assert len(names) == len(REPORTS)
+    got = spark.sql("SELECT province_name, total_idp_arrivals FROM report_q2a_province_burden").collect()
+    want = REPORTS["q2a_province_burden"](t).select("province_name", "total_idp_arrivals").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
