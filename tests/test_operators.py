@@ -157,3 +157,23 @@ def test_unit_scan_equals_plain_windows_with_hot_unit(spark, seed):
     )
     got = unit_scan(df, "u", ["r", "oid"], "v", prev="p", cum="c", partitions=7).select("oid", "p", "c")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_kth_value_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(
+        st.lists(st.one_of(st.none(), st.integers(-(10**6), 10**6), st.sampled_from([0, 7, 7, 7])), max_size=60),
+        st.integers(0, 70),
+        st.sampled_from([1, 4, 1024]),
+    )
+    def check(values, k, buckets):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        kdf = spark.createDataFrame([(k,)], "k long")
+        ordered = sorted(values, key=lambda x: (x is not None, x if x is not None else 0))
+        want = ordered[k] if k < len(ordered) else None
+        assert kth_value(df, "v", k=kdf, buckets=buckets).collect()[0].value == want
+
+    check()
