@@ -92,14 +92,19 @@ def broadcast_if_small(df: DataFrame, limit: int = DIM_BROADCAST_MAX_ROWS) -> Da
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     """Read the five tables from ``{path}/{table}`` with their declared schemas.
 
-    ``fmt="csv"`` reads the seed format: header row, comma separated, FAILFAST on a
-    malformed line (no schema inference).
+    ``fmt="csv"`` reads the seed format: header row (checked against the declared column
+    names), comma separated, FAILFAST on a malformed line (no schema inference).
     """
     dfs = {}
     for name in TABLE_NAMES:
         reader = spark.read.schema(SCHEMAS[name])
         if fmt == "csv":
-            df = reader.option("header", True).option("mode", "FAILFAST").csv(f"{path}/{name}.csv")
+            df = (
+                reader.option("header", True)
+                .option("enforceSchema", False)  # header names must match the declared columns
+                .option("mode", "FAILFAST")
+                .csv(f"{path}/{name}.csv")
+            )
         else:
             df = reader.format(fmt).load(f"{path}/{name}")
         dfs[name] = df.select(*SCHEMAS[name].fieldNames())

@@ -88,3 +88,18 @@ def test_cli_writes_reports(spark, tmp_path):
     t = load_tables(spark, src)
     got = spark.read.parquet(str(tmp_path / "out" / "v4_national_dashboard"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, REPORTS["v4_national_dashboard"](t).collect()))
+
+
+def test_csv_header_must_match_schema(spark, tmp_path):
+    import pytest
+
+    d = str(tmp_path)
+    for name, rows in {"provinces": fixtures.PROVINCES, "districts": fixtures.DISTRICTS, "survey_rounds": fixtures.ROUNDS,
+                       "settlements": fixtures._settlements(), "observations": fixtures._observations()[:10]}.items():
+        header = ",".join(SCHEMAS[name].fieldNames())
+        if name == "provinces":
+            header = "province_id,adm1_code,province_name"  # columns swapped
+        _write_csv(f"{d}/{name}.csv", header, rows)
+    t = load_tables(spark, d, fmt="csv")
+    with pytest.raises(Exception):
+        t.provinces.collect()
