@@ -132,7 +132,7 @@ def a3_panel_balance(t: Tables) -> DataFrame:
         _obs(t),
         ["round_id"],
         F.count("observation_id").alias("num_observations"),
-        F.countDistinct("settlement_id").alias("num_settlements"),
+        t.units_in_round().alias("num_settlements"),
     )
     return with_rounds(agg, t, "round_label", "round_period").select(
         "round_label", "round_period", "num_observations", "num_settlements"
@@ -296,7 +296,7 @@ def q2b_province_pivot(t: Tables, k: int = 15) -> DataFrame:
 def q2c_district_burden_latest(t: Tables, round_id: int = LATEST_ROUND, k: int = 15) -> DataFrame:
     o = with_geo(_obs(t).where(F.col("round_id") == round_id), t)
     agg = o.groupBy("district_id").agg(
-        F.countDistinct("settlement_id").alias("settlements"),
+        t.units_in_round().alias("settlements"),
         F.sum("idp_arrivals").cast("long").alias("total_idps_round6"),
         mean_r("security_situation", 2).alias("avg_security_score"),
         mean_r("idp_conflict_severity", 2).alias("avg_conflict_severity"),
@@ -690,7 +690,7 @@ def s1_top_provinces(t: Tables, round_id: int = LATEST_ROUND, k: int = 10) -> Da
     o = _with_province_name(t, _obs(t).where(F.col("round_id") == round_id))
     agg = o.groupBy("province_name").agg(  # grouped by name, as specified
         F.sum("idp_arrivals").cast("long").alias("total_idps"),
-        F.countDistinct("settlement_id").alias("settlements"),
+        t.units_in_round().alias("settlements"),
         mean_r("security_situation", 2).alias("avg_security"),
     )
     return agg.orderBy(F.col("total_idps").desc_nulls_last(), F.col("province_name")).limit(k)

@@ -57,7 +57,7 @@ def v3_province_summary(t: Tables) -> DataFrame:
     """Province x round dashboard."""
     o = with_rounds(with_geo(t.observations, t), t)
     agg = o.groupBy("round_id", "province_id").agg(
-        F.countDistinct("settlement_id").alias("settlements_assessed"),
+        t.units_in_round().alias("settlements_assessed"),
         F.sum("idp_arrivals").cast("long").alias("total_idp_arrivals"),
         mean_r("idp_arrivals", 1).alias("avg_idp_per_settlement"),
         F.max("idp_arrivals").alias("max_idp_settlement"),
@@ -99,7 +99,7 @@ def v4_national_dashboard(t: Tables) -> DataFrame:
     """One row per round: national KPIs. Aggregated per round_id first (partial
     aggregation; the shuffle carries one row per round per task), labels joined after."""
     agg = t.observations.groupBy("round_id").agg(
-        F.countDistinct("settlement_id").alias("settlements_surveyed"),
+        t.units_in_round().alias("settlements_surveyed"),
         F.sum("idp_arrivals").cast("long").alias("total_idp_arrivals"),
         mean_r("idp_arrivals", 1).alias("avg_idp_per_settlement"),
         mean_r("security_situation", 3).alias("national_avg_security"),

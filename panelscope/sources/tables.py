@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.sources.schema import SCHEMAS, TABLE_NAMES
@@ -26,6 +26,7 @@ DIM_BROADCAST_MAX_ROWS = 1_000_000
 GEO_BROADCAST_MAX_ROWS = 2_000_000
 LABEL_BROADCAST_MAX_ROWS = 500_000
 UNIT_KEY_PROPERTY = "panelscope.unit_key_bounded"
+PANEL_KEY_PROPERTY = "panelscope.panel_key_unique"
 
 
 @dataclass
@@ -42,6 +43,9 @@ class Tables:
     # False when the writer found a settlement with more rows than rounds (a hot group of
     # copies): per-settlement scans then use the segmented form (operators.panel.unit_scan).
     unit_key_bounded: bool | None = field(default=None, repr=False)
+    # True when the writer verified UNIQUE(settlement_id, round_id): within one round,
+    # COUNT(DISTINCT settlement_id) is then COUNT(settlement_id) (see ``units_in_round``).
+    panel_key_unique: bool | None = field(default=None, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -67,8 +71,14 @@ class Tables:
             dict(self._rows),
             self.geo,
             self.unit_key_bounded,
+            self.panel_key_unique,
         )
 
+    def units_in_round(self, col: str = "settlement_id") -> Column:
+        """Distinct settlements of a group that lies within one round: a plain COUNT when
+        the panel key was verified unique at write time, COUNT(DISTINCT) otherwise."""
+        return F.count(col) if self.panel_key_unique else F.countDistinct(col)
+
     def hierarchy(self) -> DataFrame:
         """settlement_id, district_id, province_id for settlements whose district and
         province exist (the inner join chain); the materialised map when present."""
@@ -170,13 +180,17 @@ def write_tables(
             tables[name].coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def unit_key_bound_holds(tables: Tables) -> bool:
-    """True when no settlement has more fact rows than there are rounds, i.e. the declared
-    UNIQUE(settlement_id, round_id) cannot be violated by a hot group of copies. One
-    partial aggregation over the fact; a single number reaches the driver."""
+def panel_key_checks(tables: Tables) -> tuple[bool, bool]:
+    """(rows per settlement <= number of rounds, UNIQUE(settlement_id, round_id) holds),
+    from one aggregation by settlement over the fact; two numbers reach the driver."""
     rounds = tables.survey_rounds.agg(F.countDistinct("round_id")).first()[0]
-    worst = tables.observations.groupBy("settlement_id").count().agg(F.max("count")).first()[0]
-    return worst is None or worst <= max(rounds or 0, 1)
+    per_unit = tables.observations.groupBy("settlement_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("round_id").alias("d")
+    )
+    worst, dup = per_unit.agg(F.max("n"), F.max(F.col("n") - F.col("d"))).first()
+    bounded = worst is None or worst <= max(rounds or 0, 1)
+    unique = dup is None or dup == 0
+    return bounded, unique
 
 
 def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> None:
@@ -186,7 +200,7 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
     every scan, so the tables are written unbucketed instead (joins and aggregations then
     shuffle, and AQE splits the skewed partitions)."""
     spark = tables.observations.sparkSession
-    bucketed = unit_key_bound_holds(tables)
+    bucketed, unique = panel_key_checks(tables)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path}/_db'")
 
     def save(df: DataFrame, name: str, by_round: bool = False) -> None:
@@ -213,7 +227,11 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
     written.geo = None
     save(written.hierarchy(), "settlement_geo")
     flag = "true" if bucketed else "false"
-    spark.sql(f"ALTER TABLE {database}.observations SET TBLPROPERTIES ('{UNIT_KEY_PROPERTY}' = '{flag}')")
+    key = "true" if unique else "false"
+    spark.sql(
+        f"ALTER TABLE {database}.observations SET TBLPROPERTIES "
+        f"('{UNIT_KEY_PROPERTY}' = '{flag}', '{PANEL_KEY_PROPERTY}' = '{key}')"
+    )
     # Table statistics (row counts, sizes) so Catalyst sizes the joins no report hints.
     for name in [*TABLE_NAMES, "settlement_geo"]:
         spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS")
@@ -228,6 +246,8 @@ def load_catalog(spark: SparkSession, database: str) -> Tables:
     props = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {database}.observations").collect()}  # a few rows
     if UNIT_KEY_PROPERTY in props:
         t.unit_key_bounded = props[UNIT_KEY_PROPERTY] == "true"
+    if PANEL_KEY_PROPERTY in props:
+        t.panel_key_unique = props[PANEL_KEY_PROPERTY] == "true"
     return t
 
 

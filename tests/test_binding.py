@@ -60,3 +60,12 @@ def test_reports_as_sql_views(spark):
     got = spark.sql("SELECT province_name, total_idp_arrivals FROM report_q2a_province_burden").collect()
     want = REPORTS["q2a_province_burden"](t).select("province_name", "total_idp_arrivals").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_store_records_verified_panel_key(spark):
+    t = tables_for(spark, SF)
+    assert t.unit_key_bounded is True and t.panel_key_unique is True
+    import __spark_entry__ as E
+
+    text = E.queries()["v4_national_dashboard"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in text.lower()  # verified key: plain count within a round

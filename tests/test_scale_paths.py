@@ -106,7 +106,7 @@ def test_hot_group_of_copies_uses_segmented_scans(spark, tmp_path):
     src = fixtures.build(spark, str(tmp_path / "src"), observations=obs + copies)
     write_tables(load_tables(spark, src), str(tmp_path / "store"), buckets=4, database="panelscope_hot_scan")
     t = load_catalog(spark, "panelscope_hot_scan")
-    assert t.unit_key_bounded is False
+    assert t.unit_key_bounded is False and t.panel_key_unique is False
     for key in ("w1_panel_longitudinal", "l2_surges"):
         df = REPORTS[key](t)
         plan = df._jdf.queryExecution().executedPlan().toString()
