@@ -825,7 +825,7 @@ def dq_value_domains(t: Tables) -> DataFrame:
 
 
 def dq_unbalanced_units(t: Tables) -> DataFrame:
-    return audit.unbalanced_units(t.observations, t.survey_rounds)
+    return audit.unbalanced_units(t.observations, t.survey_rounds, key_unique=bool(t.panel_key_unique))
 
 
 REPORTS = {
