@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from panelscope.functions.expr import round_half_up, safe_div
 
 
-def _w(unit: str | None, period: str) -> Window:
-    return (Window.partitionBy(unit) if unit else Window.partitionBy()).orderBy(period)
+def _w(unit: str | None, period: str, tiebreak: str | None = None) -> Window:
+    order = [period, tiebreak] if tiebreak else [period]
+    return (Window.partitionBy(unit) if unit else Window.partitionBy()).orderBy(*order)
 
 
 def period_delta(
@@ -29,11 +30,12 @@ def period_delta(
     pct: str | None = None,
     pct_digits: int = 2,
     direction: str = "lag",
+    tiebreak: str | None = None,
 ) -> DataFrame:
     """Previous (``lag``) or next (``lead``) value of ``measure`` per unit along the
     period order, with optional absolute and percent change (NULL when previous is 0).
     Without ``unit`` the window is global: use it only on frames aggregated per period."""
-    w = _w(unit, period)
+    w = _w(unit, period, tiebreak)
     other = F.lag(measure).over(w) if direction == "lag" else F.lead(measure).over(w)
     out = df.withColumn(prev, other)
     if delta:
@@ -46,9 +48,9 @@ def period_delta(
     return out
 
 
-def running_total(df: DataFrame, unit: str, period: str, measure: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, unit: str, period: str, measure: str, out: str, tiebreak: str | None = None) -> DataFrame:
     """SUM(measure) OVER (PARTITION BY unit ORDER BY period ROWS UNBOUNDED PRECEDING)."""
-    w = _w(unit, period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _w(unit, period, tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(out, F.sum(measure).over(w))
 
 

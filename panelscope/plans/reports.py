@@ -47,7 +47,6 @@ from panelscope.operators.panel import (
     running_total,
     surges,
     top_trajectories,
-    unit_scan,
 )
 from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_rows, top_n_per
 from panelscope.plans import views
@@ -453,16 +452,16 @@ def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
     base = with_rounds(with_geo(_obs(t), t), t, "round_label").select(
         "settlement_id", "round_id", "observation_id", "province_id", "round_label", "idp_arrivals"
     )
-    if t.unit_key_bounded is False:
-        # A settlement may hold many rows: segmented scan instead of one window per settlement.
-        lagged = unit_scan(
-            base, "settlement_id", ["round_id", "observation_id"], "idp_arrivals", prev="prev_round_arrivals", cum="cumulative_idps"
-        ).withColumn("round_change", F.col("idp_arrivals") - F.col("prev_round_arrivals"))
-    else:
-        # Per-settlement windows: each group holds at most one row per round.
-        lagged = period_delta(base, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change")
-        lagged = running_total(lagged, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps")
-    first = lagged.orderBy("settlement_id", "round_id", "observation_id").limit(k)
+    # The report shows the first k rows in (settlement, round) order. Every earlier row of a
+    # settlement precedes its later rows in that order, so LAG and the running sum per
+    # settlement computed on the k-row prefix equal those computed on all rows: the windows
+    # run on at most k rows instead of the whole fact (a top-k, then bounded windows).
+    first = base.orderBy("settlement_id", "round_id", "observation_id").limit(k)
+    lagged = period_delta(
+        first, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change",
+        tiebreak="observation_id",
+    )
+    first = running_total(lagged, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps", tiebreak="observation_id")
     # RANK within (province, round) over ALL rows, computed for the displayed rows only.
     ranked = rank_rows(first, base, ["province_id", "round_id"], "idp_arrivals", "rank_in_province")
     out = attach_labels(ranked, t, ("settlement_code", "settlement_name"), province=True)

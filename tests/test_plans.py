@@ -55,3 +55,8 @@ def test_per_settlement_work_needs_no_shuffle(spark, key):
     assert "Bucketed: true" in plan
     # No shuffle keyed on settlement_id alone (the fact is never re-partitioned by it).
     assert not re.search(r"Exchange hashpartitioning\(settlement_id#\d+L?, \d+\)", plan), plan
+
+
+def test_w1_windows_run_on_the_displayed_prefix(spark):
+    plan = _plan(E.queries()["w1_panel_longitudinal"](spark, SF))
+    assert plan.index("Window [lag") < plan.index("TakeOrderedAndProject(limit=60")

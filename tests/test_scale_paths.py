@@ -107,7 +107,12 @@ def test_hot_group_of_copies_uses_segmented_scans(spark, tmp_path):
     write_tables(load_tables(spark, src), str(tmp_path / "store"), buckets=4, database="panelscope_hot_scan")
     t = load_catalog(spark, "panelscope_hot_scan")
     assert t.unit_key_bounded is False and t.panel_key_unique is False
-    for key in ("w1_panel_longitudinal", "l2_surges"):
+    w1 = REPORTS["w1_panel_longitudinal"](t)
+    w1_plan = w1._jdf.queryExecution().executedPlan().toString()
+    # w1's windows run on the 60-row prefix: the Window sits above the top-k in the plan.
+    assert w1_plan.index("Window [lag") < w1_plan.index("TakeOrderedAndProject(limit=60")
+    assert w1.count() == 60
+    for key in ("l2_surges",):
         df = REPORTS[key](t)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "_seg" in plan
