@@ -198,7 +198,9 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
     unit key is bounded. If one settlement carries more rows than there are rounds (a
     group of copies), bucketing would put that group into one bucket read by one task in
     every scan, so the tables are written unbucketed instead (joins and aggregations then
-    shuffle, and AQE splits the skewed partitions)."""
+    shuffle, and AQE splits the skewed partitions). Both key checks are recorded as table
+    properties of ``observations`` (read back by ``load_catalog``), and table statistics
+    are computed for every table."""
     spark = tables.observations.sparkSession
     bucketed, unique = panel_key_checks(tables)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path}/_db'")
