@@ -65,7 +65,7 @@ def kth_value(
     hit = (
         hist.withColumn("upto", F.sum("cnt").over(wv))
         .where((F.col("upto") > F.col("pos")) & (F.col("upto") - F.col("cnt") <= F.col("pos")))
-        .select(F.col("_v").alias(out))
+        .select("_v")
     )
-    # Exactly one row, NULL when no value matched.
-    return stats.select(hit.scalar().alias(out))
+    # Exactly one row (a global aggregate over zero or one row), NULL when nothing matched.
+    return hit.agg(F.max("_v").alias(out))
