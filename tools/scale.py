@@ -24,6 +24,20 @@ from panelscope.sources.binding import tables_for
 from panelscope.sources.tables import Tables, load_catalog, scratch_path, write_tables
 
 
+def add_copies(t: Tables) -> Tables:
+    """Duplicate one settlement's rows until the copies are a third of the fact (a hot
+    group of copies violating UNIQUE(settlement_id, round_id))."""
+    n = t.observations.count()
+    base = t.observations.where(F.col("settlement_id") == t.observations.agg(F.min("settlement_id")).first()[0])
+    per = max(1, base.count())
+    reps = max(1, (n // 2) // per)
+    big = t.observations.agg(F.max("observation_id")).first()[0] + 1
+    copies = base.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
+        "observation_id", F.col("observation_id") + F.col("_c").cast("long") * F.lit(big).cast("long")
+    ).drop("_c")
+    return t.with_observations(t.observations.unionByName(copies))
+
+
 def replicate(t: Tables, k: int, hot: bool) -> Tables:
     span = t.settlements.agg(F.max("settlement_id")).first()[0] + 1
     reps = F.when(F.lit(hot) & F.col("adm2_code").startswith("P00"), 12 * k).otherwise(k)
@@ -42,6 +56,7 @@ def main():
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     ap.add_argument("--k", type=int, default=10)
     ap.add_argument("--hot", action="store_true")
+    ap.add_argument("--copies", action="store_true", help="one settlement duplicated to a third of the fact")
     ap.add_argument("--keys", default="")
     ap.add_argument("--eventlog", default="", help="scratch folder for Spark's event log; prints per-report task skew")
     a = ap.parse_args()
@@ -58,10 +73,13 @@ def main():
     )
     spark.sparkContext.setLogLevel("ERROR")
     base = tables_for(spark, a.sf)
-    path = scratch_path(spark, f"scale-k{a.k}{'-hot' if a.hot else ''}")
+    path = scratch_path(spark, f"scale-k{a.k}{'-hot' if a.hot else ''}{'-copies' if a.copies else ''}")
     t0 = time.perf_counter()
     database = "panelscope_" + path.rsplit("-", 1)[-1]
-    write_tables(replicate(base, a.k, a.hot), path, buckets=16, database=database)
+    panel = replicate(base, a.k, a.hot)
+    if a.copies:
+        panel = add_copies(panel)
+    write_tables(panel, path, buckets=16, database=database)
     prep = time.perf_counter() - t0
     t = load_catalog(spark, database)
     n = t.observations.count()
@@ -75,7 +93,7 @@ def main():
         REPORTS[key](t).write.format("noop").mode("overwrite").save()
         times[key] = round(time.perf_counter() - s, 3)
         sc.setJobDescription(None)
-    out = {"k": a.k, "hot": a.hot, "observations": n, "prepare_sec": round(prep, 2),
+    out = {"k": a.k, "hot": a.hot, "copies": a.copies, "unit_key_bounded": t.unit_key_bounded, "observations": n, "prepare_sec": round(prep, 2),
            "total_sec": round(sum(times.values()), 2), "queries": times}
     if a.eventlog:
         spark.stop()
