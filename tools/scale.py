@@ -1,8 +1,11 @@
 """Scaling check: replicate the sf0.1 panel k times (new settlement ids, same geography)
-and time every report; ``--hot`` replicates one province 12x more so it holds about a
-third of all rows.
+and time every report. ``--hot`` replicates one province 12x more so it holds about a
+third of all rows; ``--copies`` duplicates one settlement's rows until they are a third of
+the fact (the store's key check then fails and the unbucketed layout is used);
+``--eventlog DIR`` writes Spark's event log to a scratch folder and adds per-report task
+skew figures.
 
-    python tools/scale.py --k 10 [--hot] [--keys a,b]
+    python tools/scale.py --k 10 [--hot] [--copies] [--eventlog DIR] [--keys a,b]
 Prints one JSON line with per-report seconds.
 """
 
