@@ -177,3 +177,17 @@ def test_kth_value_property(spark):
         assert kth_value(df, "v", k=kdf, buckets=buckets).collect()[0].value == want
 
     check()
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 3, 16])
+def test_rank_in_blocked_equals_window(spark, buckets):
+    rng = random.Random(buckets)
+    rows = [(rng.randint(1, 2), rng.choice([None, -50, 0, 0, 0, 3, 3, 40, 41, 999]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, v long, id long")
+    for desc in (True, False):
+        order = F.col("v").desc() if desc else F.col("v").asc()
+        want = df.withColumn("rank", F.rank().over(Window.partitionBy("g").orderBy(order)).cast("long"))
+        got = rank_in(df, ["g"], "v", desc=desc, buckets=buckets)
+        assert sorted(map(tuple, got.select("id", "rank").collect())) == sorted(
+            map(tuple, want.select("id", "rank").collect())
+        )
