@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from panelscope.llm.common import BROADCAST_BYTES, blocks_for, kept, running_total, text_words
 
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 2048
 HASH_RANGE = 1 << 31
 
 
