@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelscope.llm import langid
 from panelscope.llm.ann import nearest
 from panelscope.llm.divergence import quality
+from panelscope.llm.license_scan import scan_licenses
 from panelscope.llm.mixing import mix
 from panelscope.llm.pieces import nbest_encode
 from panelscope.llm.secret_scan import scan_secrets
@@ -28,6 +30,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_encode(table(spark, sf_dir, "documents"), n=3)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("at")
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece,
+        op2_license_scan,
         op3_mixing,
         op4_simhash,
         op5_url_filter,
@@ -74,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality,
         op10_secret_scan,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
