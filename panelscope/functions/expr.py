@@ -40,17 +40,10 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
     return _c(num).cast("double") / F.nullif(_c(den).cast("double"), F.lit(0.0))
 
 
-def _int_div(num: Column, den: Column) -> Column:
-    # (n - n % d) is an exact multiple of d, so the double quotient is exact for |n| < 2^53;
-    # % and the quotient follow the dividend's sign, i.e. truncation toward zero.
-    d = F.nullif(den, F.lit(0))
-    return ((num - num % d) / d).cast("long")
-
-
 def int_div(num: Column | str, den: Column | str | int) -> Column:
-    """Integer division truncating toward zero; NULL when den = 0."""
+    """Integer division truncating toward zero; NULL when den = 0. Exact for 64 bits."""
     den_c = F.lit(den) if isinstance(den, int) else _c(den)
-    return _int_div(_c(num), den_c)
+    return F.call_function("div", _c(num), F.nullif(den_c, F.lit(0)))
 
 
 def mean_r(col: Column | str, digits: int) -> Column:

@@ -135,16 +135,14 @@ def check_range(df: DataFrame, domains: Mapping[str, tuple[int, int]], table: st
 
 
 def unbalanced_units(
-    obs: DataFrame, rounds: DataFrame, unit: str = "settlement_id", period: str = "round_id", key_unique: bool = False
+    obs: DataFrame, rounds: DataFrame, unit: str = "settlement_id", period: str = "round_id"
 ) -> DataFrame:
     """Units observed in fewer distinct periods than the period table holds:
-    (unit, periods_observed, periods_expected). With ``key_unique`` (UNIQUE(unit, period)
-    verified) the distinct count per unit is a plain count."""
+    (unit, periods_observed, periods_expected)."""
     expected = rounds.agg(F.countDistinct(period)).scalar()
-    observed = F.count(period) if key_unique else F.countDistinct(period)
     return (
         obs.groupBy(unit)
-        .agg(observed.alias("periods_observed"))
+        .agg(F.countDistinct(period).alias("periods_observed"))
         .where(F.col("periods_observed") < expected)
         .select(unit, "periods_observed", expected.alias("periods_expected"))
     )

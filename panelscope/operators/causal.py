@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.expr import round_half_up
 
-# (post, treatment) -> short name; tp = treated post, tc = treated pre, cp = control post,
-# cc = control pre.
-CELLS = {(1, 1): "tp", (0, 1): "tc", (1, 0): "cp", (0, 0): "cc"}
+# (post, treatment) -> column name of the cell's mean.
+CELLS = {(1, 1): "treated_after", (0, 1): "treated_before", (1, 0): "control_after", (0, 0): "control_before"}
 
 
 def did_cells(df: DataFrame, post: str, treat: str, *aggs: Column) -> DataFrame:
@@ -24,7 +23,7 @@ def did_cells(df: DataFrame, post: str, treat: str, *aggs: Column) -> DataFrame:
 
 
 def cell_means(post: str, treat: str, y: str, digits: int | None = None) -> list[Column]:
-    """AVG(y) restricted to each of the four cells, as columns tp, tc, cp, cc."""
+    """AVG(y) restricted to each of the four cells, as the columns named in CELLS."""
     out = []
     for (p, t), name in CELLS.items():
         m = F.avg(F.when((F.col(post) == p) & (F.col(treat) == t), F.col(y)))
@@ -32,10 +31,18 @@ def cell_means(post: str, treat: str, y: str, digits: int | None = None) -> list
     return out
 
 
+def treated_change() -> Column:
+    return F.col("treated_after") - F.col("treated_before")
+
+
+def control_change() -> Column:
+    return F.col("control_after") - F.col("control_before")
+
+
 def did_estimate(df: DataFrame, post: str, treat: str, y: str, by: Sequence[str] = (), round_first: int | None = None) -> DataFrame:
-    """One row per ``by`` group with the four cell means (tp, tc, cp, cc) and
-    ``did`` = (tp - tc) - (cp - cc). ``round_first`` rounds the means before differencing."""
+    """One row per ``by`` group with the four cell means and ``did``, the treated group's change
+    less the control group's. ``round_first`` rounds the means before differencing."""
     means = df.groupBy(*by).agg(*cell_means(post, treat, y, round_first)) if by else df.agg(
         *cell_means(post, treat, y, round_first)
     )
-    return means.withColumn("did", (F.col("tp") - F.col("tc")) - (F.col("cp") - F.col("cc")))
+    return means.withColumn("did", treated_change() - control_change())

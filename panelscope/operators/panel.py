@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.expr import round_half_up, safe_div
+from panelscope.sources.tables import shared_dir
+
+ROWS_PER_SEGMENT = 1_000_000  # of a segmented scan
 
 
 def _w(unit: str | None, period: str, tiebreak: str | None = None) -> Window:
@@ -70,8 +73,8 @@ def period_compare(
     ``measures`` maps a measure to an output prefix; columns are ``{prefix}_a`` and
     ``{prefix}_b`` (e.g. idp -> idp_a, idp_b). Relies on (unit, period) being unique, as
     the panel declares, so MAX over the single matching row is that row's value. Only
-    rows of the two periods are read (partition pruning on the period column), and units
-    present in just one period come out with NULLs on the other side.
+    rows of the two periods are read (partition pruning on the period column); units present
+    in just one of them are left out (the inner join of the two periods).
     """
     sel = df.where(F.col(period).isin(a, b))
     aggs = []
@@ -95,15 +98,17 @@ def surges(
     measure: str,
     factor: float = 1.5,
     prev: str = "prev",
-    segmented_tiebreak: str | None = None,
+    tiebreak: str | None = None,
+    segmented: bool = False,
 ) -> DataFrame:
     """Rows whose measure exceeds ``factor`` x the unit's previous value (previous > 0).
-    The lag is taken over all rows before filtering; with ``segmented_tiebreak`` (a unique
-    column) it is computed by ``unit_scan``, for data where one unit may be hot."""
-    if segmented_tiebreak:
-        lagged = unit_scan(df, unit, [period, segmented_tiebreak], measure, prev=prev)
+    The lag is taken over all rows before filtering, in (period, ``tiebreak``) order; with
+    ``segmented`` by ``unit_scan``, for data where one unit may be hot (``tiebreak`` must then
+    be a unique column)."""
+    if segmented:
+        lagged = unit_scan(df, unit, [period, tiebreak], measure, prev=prev)
     else:
-        lagged = period_delta(df, measure, period, unit=unit, prev=prev)
+        lagged = period_delta(df, measure, period, unit=unit, prev=prev, tiebreak=tiebreak)
     return lagged.where((F.col(prev) > 0) & (F.col(measure) > F.col(prev) * F.lit(float(factor))))
 
 
@@ -125,7 +130,7 @@ def top_trajectories(df: DataFrame, unit: str, score: Column, k: int, score_name
 
 def unit_scan(
     df: DataFrame,
-    unit: str,
+    unit: str | Sequence[str],
     order: Sequence[str],
     value: str,
     prev: str | None = None,
@@ -136,32 +141,37 @@ def unit_scan(
     unit's rows into one task, for data where one unit may hold a large share of the rows.
 
     ``order`` must end in a unique tie-break. The rows are range-partitioned on
-    (unit, *order), which splits a hot unit over many tasks; the windows then run per
-    (unit, range partition) segment, and a window over the small per-segment table (one
-    row per segment, at most ``partitions`` per unit) carries the previous segment's last
-    value and running total across segment boundaries. Equal to the plain window
-    (``period_delta`` / ``running_total``) with the same ordering.
+    (unit, *order), which splits a hot unit over many tasks, and written once with their
+    segment (the range) into the shared checkpoint folder, so that everything below reads
+    the same segments. The windows then run per (unit, segment), and a window over the small
+    per-segment table (one row per segment) carries the previous segment's last value and
+    running total across segment borders. Equal to the plain window (``period_delta`` /
+    ``running_total``) with the same ordering; all columns of ``df`` are kept.
     """
     order = list(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, unit, *order).withColumn("_seg", F.spark_partition_id())
-    w = Window.partitionBy(unit, "_seg").orderBy(*order)
+    keys = [unit] if isinstance(unit, str) else list(unit)
+    spark = df.sparkSession
+    shared_dir(spark)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_SEGMENT))
+    r = df.repartitionByRange(n, *keys, *order).withColumn("_seg", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    seg = r.groupBy(*keys, "_seg").agg(F.max_by(value, F.struct(*order)).alias("_last"), F.sum(value).alias("_tot"))
+    ws = Window.partitionBy(*keys).orderBy("_seg")
+    seg = seg.select(
+        *[F.col(k).alias(f"_u{i}") for i, k in enumerate(keys)],
+        F.col("_seg").alias("_s"),
+        F.lag("_last").over(ws).alias("_prev_last"),
+        F.sum("_tot").over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
+    )
     r = r.withColumn("_rn", F.row_number().over(w))
     if prev:
         r = r.withColumn("_lag", F.lag(value).over(w))
     if cum:
         r = r.withColumn("_cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    seg = r.groupBy(unit, "_seg").agg(
-        F.max_by(value, F.struct(*order)).alias("_last"), F.sum(value).alias("_tot")
-    )
-    ws = Window.partitionBy(unit).orderBy("_seg")
-    seg = seg.select(
-        unit,
-        "_seg",
-        F.lag("_last").over(ws).alias("_prev_last"),
-        F.sum("_tot").over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
-    )
-    out = r.join(seg, [unit, "_seg"])
+    same = F.col("_seg") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_u{i}"))
+    out = r.join(seg, same)
     if prev:
         out = out.withColumn(prev, F.when(F.col("_rn") == 1, F.col("_prev_last")).otherwise(F.col("_lag")))
     if cum:
@@ -169,4 +179,4 @@ def unit_scan(
         out = out.withColumn(
             cum, F.when(~both_null, F.coalesce(F.col("_cum"), F.lit(0)) + F.coalesce(F.col("_offset"), F.lit(0)))
         )
-    return out.drop("_seg", "_rn", "_lag", "_cum", "_prev_last", "_offset")
+    return out.drop("_seg", "_s", "_rn", "_lag", "_cum", "_prev_last", "_offset", *[f"_u{i}" for i in range(len(keys))])

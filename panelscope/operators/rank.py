@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelscope.operators.panel import unit_scan
+
 
 def _better(h_val: Column, r_val: Column, desc: bool) -> Column:
     """h_val sorts strictly before r_val under ORDER BY value [DESC], NULLs smallest
@@ -27,50 +29,33 @@ def _better(h_val: Column, r_val: Column, desc: bool) -> Column:
     return r_val.isNotNull() & (h_val.isNull() | (h_val < r_val))
 
 
-def rank_in(
-    df: DataFrame, group: Sequence[str], value: str, out: str = "rank", desc: bool = True, buckets: int = 1024
-) -> DataFrame:
+def rank_in(df: DataFrame, group: Sequence[str], value: str, out: str = "rank", desc: bool = True, partitions: int | None = None) -> DataFrame:
     """RANK() OVER (PARTITION BY group ORDER BY value [DESC]) for every row, as BIGINT.
 
-    RANK = 1 + rows of the group that sort strictly before the row. Values are cut into at
-    most ``buckets`` equal-width blocks per group (from the group's min and max), so the
-    count is (rows in better blocks: a window over <= ``buckets`` block totals per group)
-    + (better values in the same block: a window over that block's distinct values). The
-    (group, block, value) histogram is aggregated map-side, so neither a hot group nor a
-    hot value moves its rows through one task. NULLs sort last for DESC, first for ASC.
+    RANK = 1 + rows of the group that sort strictly before the row. The (group, value)
+    histogram is aggregated map-side, so neither a hot group nor a hot value moves its rows
+    through one task; its running counts per group are a segmented scan (``unit_scan``), whose
+    segments follow the values that are there: a group with any number of distinct values, in
+    any distribution, is spread over them. NULLs sort last for DESC, first for ASC.
     """
     group = list(group)
-    v = F.col(value)
-    gstats = df.groupBy(*group).agg(
-        F.min(v).cast("double").alias("_lo"),
-        ((F.max(v).cast("double") - F.min(v).cast("double")) / F.lit(float(buckets)) + F.lit(1e-9)).alias("_w"),
-        F.count(v).alias("_nn"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    block = F.floor((v.cast("double") - F.col("_lo")) / F.col("_w")).cast("long")
-    hist = (
-        df.select(*group, value)
-        .join(gstats, group)
-        .groupBy(*group, F.col(value).alias("_v"), block.alias("_b"), "_nn", "_n")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    vals = hist.where(F.col("_v").isNotNull())
-    first = (lambda c: F.col(c).desc()) if desc else (lambda c: F.col(c).asc())
-    blocks = vals.groupBy(*group, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*group).orderBy(first("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before_b", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
-    wv = Window.partitionBy(*group, "_b").orderBy(first("_v")).rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_before_v", F.coalesce(F.sum("_c").over(wv), F.lit(0))).join(
-        blocks.select(*group, "_b", "_before_b"), [*group, "_b"]
-    )
-    nulls_before = F.lit(0) if desc else (F.col("_n") - F.col("_nn"))
-    ranked_vals = vals.select(*group, "_v", (nulls_before + F.col("_before_b") + F.col("_before_v") + 1).alias(out))
-    ranked_nulls = hist.where(F.col("_v").isNull()).select(
-        *group, "_v", ((F.col("_nn") + 1) if desc else F.lit(1)).alias(out)
+    hist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = unit_scan(hist, group, [value], "_n", cum="_upto", partitions=partitions)  # ascending, NULLs first
+    before = F.col("_upto") - F.col("_n")
+    if desc:
+        totals = hist.groupBy(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(group)]).agg(F.sum("_n").alias("_total"))
+        same = F.lit(True)
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_t{i}"))
+        upto = upto.join(totals, same)
+        before = F.col("_total") - F.col("_upto")
+    ranks = upto.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_v"), (before + 1).cast("long").alias(out)
     )
-    ranks = ranked_vals.unionByName(ranked_nulls).withColumn(out, F.col(out).cast("long"))
-    cond = [df[g] == ranks[g] for g in group] + [df[value].eqNullSafe(ranks["_v"])]
-    return df.join(ranks, cond).drop(*[ranks[g] for g in group]).drop("_v")
+    cond = df[value].eqNullSafe(ranks["_v"])
+    for i, g in enumerate(group):
+        cond = cond & df[g].eqNullSafe(ranks[f"_g{i}"])
+    return df.join(ranks, cond).drop("_v", *[f"_g{i}" for i in range(len(group))])
 
 
 def rank_rows(
@@ -90,8 +75,10 @@ def rank_rows(
     ``rows`` is read once.
     """
     group = list(group)
-    hist = population.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(value, "_v")
     cols = rows.columns
+    needed = F.broadcast(rows.select(*group).distinct())  # the groups of the slice only
+    population = population.select(*group, value).join(needed, group, "left_semi")
+    hist = population.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(value, "_v")
     pairs = hist.join(F.broadcast(rows), group)
     better = F.when(_better(F.col("_v"), F.col(value), desc), F.col("_n")).otherwise(F.lit(0))
     return pairs.groupBy(*cols).agg((F.sum(better) + 1).cast("long").alias(out))

@@ -1,71 +1,58 @@
 """Order statistics without a global sort.
 
-``kth_value`` returns the value at 0-based position k of a column ordered ascending with
-NULLs first (the positional median is k = COUNT(*) div 2). It is exact and distributed:
-
-1. one aggregate gives count, non-NULL count, min and max (a scalar subquery);
-2. the value range is cut into at most ``buckets`` equal-width blocks and rows are counted
-   per block (map-side partial aggregation; at most ``buckets`` rows remain);
-3. a running sum over those block counts finds the block holding position k;
-4. only rows of that block are counted per distinct value, and a running sum over those
-   values finds the answer.
-
-Every window runs over a frame bounded by ``buckets`` or by the distinct values of one
-block, never over the rows; single values travel as scalar subqueries, not joins.
+``kth_value`` returns the value at 0-based position k of a column ordered ascending with NULLs
+first (the positional median is k = COUNT(*) div 2). It is exact whatever the distribution:
+
+1. one aggregate gives the counts, the minimum and the maximum;
+2. the value range is cut into ``buckets`` equal-width blocks, rows are counted per block
+   (map-side partial aggregation, with each block's own minimum and maximum), and the block
+   that holds position k becomes the next range;
+3. this is repeated until that block holds a single value. A range shrinks at least
+   ``buckets``-fold per step and to the values that are there, so integers of 64 bits need at
+   most 7 steps, and an outlier costs one step.
+
+No window and no sort over rows: at most ``buckets`` counts per step reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def kth_value(
-    df: DataFrame, col: str, k: DataFrame | None = None, out: str = "value", buckets: int = 1024
+    df: DataFrame, col: str, k: DataFrame | int | None = None, out: str = "value", buckets: int = 1024
 ) -> DataFrame:
-    """One-row frame with column ``out``: the value at 0-based position ``k`` of ``col``
-    sorted ascending with NULLs first. ``k`` is a one-row, one-column frame (a scalar);
-    default ``COUNT(*) div 2`` of ``df``. NULL when k lands on a NULL or past the end.
-
-    The statistics row travels as one struct-valued scalar subquery; the block holding
-    position k is a one-row frame joined back on the block number."""
+    """One-row frame with column ``out``: the value at 0-based position ``k`` of ``col`` sorted
+    ascending with NULLs first; ``k`` is a number or a one-row, one-column frame, by default
+    ``COUNT(*) div 2`` of ``df``. NULL when k lands on a NULL or past the end."""
     v = F.col(col)
-    stats = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(v).alias("nn"),
-        F.min(v).cast("double").alias("lo"),
-        F.max(v).cast("double").alias("hi"),
-    )
-    k_col = k.scalar() if k is not None else (F.col("n") - F.col("n") % 2) / 2
-    params = stats.select(
-        F.struct(
-            F.col("lo").alias("lo"),
-            ((F.col("hi") - F.col("lo")) / F.lit(float(buckets)) + F.lit(1e-9)).alias("width"),
-            (k_col - (F.col("n") - F.col("nn"))).cast("long").alias("kk"),  # position among non-NULL values
-        ).alias("p")
-    ).scalar()
-
-    # Block of every non-NULL value (at most ``buckets`` distinct blocks).
-    vb = (
-        df.where(v.isNotNull())
-        .select(v.alias("_v"), params.alias("p"))
-        .select("_v", F.floor((F.col("_v").cast("double") - F.col("p.lo")) / F.col("p.width")).cast("long").alias("_b"), F.col("p.kk").alias("kk"))
-    )
-    blocks = vb.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt"), F.first("kk").alias("kk"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    target = (
-        blocks.withColumn("upto", F.sum("cnt").over(wb))
-        .where((F.col("upto") > F.col("kk")) & (F.col("upto") - F.col("cnt") <= F.col("kk")))
-        .select("_b", (F.col("kk") - (F.col("upto") - F.col("cnt"))).alias("pos"))
-    )
-    # Distinct values of that block only (an equi-join on the block number with the one
-    # target row), and the value at the remaining position.
-    hist = vb.select("_v", "_b").join(F.broadcast(target), "_b").groupBy("_v", "pos").agg(F.count(F.lit(1)).alias("cnt"))
-    wv = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (
-        hist.withColumn("upto", F.sum("cnt").over(wv))
-        .where((F.col("upto") > F.col("pos")) & (F.col("upto") - F.col("cnt") <= F.col("pos")))
-        .select("_v")
+    rows, known, lo, hi = df.agg(F.count(F.lit(1)), F.count(v), F.min(v), F.max(v)).first()
+    at = rows // 2 if k is None else (k if isinstance(k, int) else k.first()[0])
+    kind = df.schema[col].dataType
+    value = None
+    if at is not None and rows - known <= at < rows:
+        at -= rows - known
+        while lo != hi:
+            at, lo, hi = _narrowed(df, col, at, lo, hi, buckets)
+        value = lo
+    return df.sparkSession.range(1).select(F.lit(value).cast(kind).alias(out))
+
+
+def _narrowed(df: DataFrame, col: str, at: int, lo, hi, buckets: int):
+    """(position, minimum, maximum) within the block of [lo, hi] that holds position ``at``."""
+    v = F.col(col)
+    share = (v.cast("double") - F.lit(float(lo))) / F.lit((float(hi) - float(lo)) or 1.0)
+    # the ends have blocks of their own, so a step always shrinks the range
+    block = F.when(v <= F.lit(lo), -1).when(v >= F.lit(hi), buckets).otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    counts = (
+        df.where(v.between(F.lit(lo), F.lit(hi)))
+        .groupBy(block.cast("int").alias("block"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        .collect()  # at most buckets + 2 rows
     )
-    # Exactly one row (a global aggregate over zero or one row), NULL when nothing matched.
-    return hit.agg(F.max("_v").alias(out))
+    for r in sorted(counts, key=lambda r: r["block"]):
+        if at < r["n"]:
+            return at, r["lo"], r["hi"]
+        at -= r["n"]
+    raise AssertionError("position past the end")

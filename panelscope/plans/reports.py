@@ -5,8 +5,10 @@ Conventions shared by all reports:
   names are attached to the aggregated or LIMITed result.
 * Filters on round_id and flags are applied to the fact before any join, so they reach
   the Parquet scan (partition pruning on round_id, pushed filters on the rest).
-* LIMITed reports order by the report's keys followed by a unique tie-break (an id), so
-  the rows kept at the cut are deterministic.
+* Rows come back in the report's order: the last step, after the labels, sorts by the
+  report's keys followed by a unique tie-break (an id). LIMITed reports cut by the same
+  order before the labels are attached, so the rows kept at the cut are deterministic. The
+  views stay unsorted; their report keys sort.
 * Output names and types are fixed: counts and sums BIGINT, rounded values DOUBLE, ranks
   BIGINT, labels STRING.
 """
@@ -30,7 +32,7 @@ from panelscope.functions.expr import (
 )
 from panelscope.operators import audit
 from panelscope.operators.aggregate import kpis_by, persistent, pivot_periods, share_of_total, total_over
-from panelscope.operators.causal import did_cells, did_estimate
+from panelscope.operators.causal import CELLS, control_change, did_cells, did_estimate, treated_change
 from panelscope.operators.geo import (
     attach_labels,
     district_labels,
@@ -46,9 +48,10 @@ from panelscope.operators.panel import (
     period_delta,
     running_total,
     surges,
-    top_trajectories,
+    top_units,
+    unit_scan,
 )
-from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_rows, top_n_per
+from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_in, top_n_per
 from panelscope.operators.score import composite_index
 from panelscope.plans import views
 from panelscope.sources.tables import Tables
@@ -114,6 +117,14 @@ def _obs(t: Tables) -> DataFrame:
     return t.observations
 
 
+def _down(col: str):
+    return F.col(col).desc_nulls_last()
+
+
+def _up(col: str):
+    return F.col(col).asc_nulls_first()
+
+
 # ── exploration and data quality ─────────────────────────────────────────────────────
 
 
@@ -124,7 +135,7 @@ def a1_row_counts(t: Tables) -> DataFrame:
 def a2_rounds_context(t: Tables) -> DataFrame:
     return t.survey_rounds.select(
         "round_id", "round_label", "round_period", label_levels("round_id", ROUND_CONTEXT).alias("context_note")
-    )
+    ).orderBy("round_id")
 
 
 def a3_panel_balance(t: Tables) -> DataFrame:
@@ -132,9 +143,9 @@ def a3_panel_balance(t: Tables) -> DataFrame:
         _obs(t),
         ["round_id"],
         F.count("observation_id").alias("num_observations"),
-        t.units_in_round().alias("num_settlements"),
+        F.countDistinct("settlement_id").alias("num_settlements"),
     )
-    return with_rounds(agg, t, "round_label", "round_period").select(
+    return with_rounds(agg, t, "round_label", "round_period").orderBy("round_id").select(
         "round_label", "round_period", "num_observations", "num_settlements"
     )
 
@@ -145,19 +156,18 @@ def _settlement_geo(t: Tables) -> DataFrame:
 
 
 def b1_coverage_province(t: Tables) -> DataFrame:
-    agg = _settlement_geo(t).groupBy("province_id").agg(
-        F.countDistinct("district_id").alias("num_districts"),
-        F.countDistinct("settlement_id").alias("num_settlements"),
-    )
-    return agg.join(province_labels(t, "province_name", "adm1_code"), "province_id").select(
-        "province_name", "adm1_code", "num_districts", "num_settlements"
-    )
+    # A settlement has one district: districts first, then provinces, with one distinct count.
+    by_district = _settlement_geo(t).groupBy("province_id", "district_id").agg(F.countDistinct("settlement_id").alias("n"))
+    agg = by_district.groupBy("province_id").agg(F.count("district_id").alias("num_districts"), F.sum("n").alias("num_settlements"))
+    named = agg.join(province_labels(t, "province_name", "adm1_code"), "province_id")
+    return named.orderBy(_down("num_settlements"), "province_id").select("province_name", "adm1_code", "num_districts", "num_settlements")
 
 
 def b2_top_districts(t: Tables, k: int = 10) -> DataFrame:
     agg = _settlement_geo(t).groupBy("district_id").agg(F.countDistinct("settlement_id").alias("settlements"))
     top = agg.orderBy(F.col("settlements").desc(), F.col("district_id")).limit(k)
-    return top.join(district_labels(t), "district_id").select("province_name", "district_name", "settlements")
+    named = top.join(district_labels(t), "district_id").orderBy(_down("settlements"), "district_id")
+    return named.select("province_name", "district_name", "settlements")
 
 
 def c1_null_audit(t: Tables) -> DataFrame:
@@ -178,13 +188,12 @@ def c1_null_audit(t: Tables) -> DataFrame:
 
 def c2_null_by_round(t: Tables) -> DataFrame:
     agg = audit.null_audit_by(_obs(t), "change_idp_arrivals", ["round_id"])
-    return with_rounds(agg, t, "round_label").select("round_label", "total", "null_change", "pct_null")
+    return with_rounds(agg, t, "round_label").orderBy("round_id").select("round_label", "total", "null_change", "pct_null")
 
 
 def d1_security_distribution(t: Tables) -> DataFrame:
-    return audit.distribution(_obs(t), "security_situation", SECURITY_LABELS, 2).withColumnRenamed(
-        "level", "security_level"
-    )
+    levels = audit.distribution(_obs(t), "security_situation", SECURITY_LABELS, 2)
+    return levels.withColumnRenamed("level", "security_level").orderBy(_up("security_level"))
 
 
 def d2_idp_summary(t: Tables) -> DataFrame:
@@ -192,7 +201,7 @@ def d2_idp_summary(t: Tables) -> DataFrame:
 
 
 def d3_aid_type_shares(t: Tables) -> DataFrame:
-    return audit.flag_shares(_obs(t), AID_TYPES, 2)
+    return audit.flag_shares(_obs(t), AID_TYPES, 2).orderBy(_down("pct_delivered"), "aid_type")
 
 
 def d4_did_group_sizes(t: Tables) -> DataFrame:
@@ -202,7 +211,7 @@ def d4_did_group_sizes(t: Tables) -> DataFrame:
         F.col("diff_in_diff").alias("treatment"),
         _did_label(DID_LABELS_PADDED).alias("group_label"),
         "obs_count",
-    )
+    ).orderBy(_up("post"), _up("treatment"))
 
 
 # ── core analysis ────────────────────────────────────────────────────────────────────
@@ -217,7 +226,7 @@ def q1a_idp_by_round(t: Tables) -> DataFrame:
         F.max("idp_arrivals").alias("max_single_settlement"),
         F.count(F.when(F.col("idp_arrivals") > 0, F.lit(1))).alias("settlements_with_idps"),
     )
-    return with_rounds(agg, t, "round_label", "round_period").select(
+    return with_rounds(agg, t, "round_label", "round_period").orderBy("round_id").select(
         "round_id",
         "round_label",
         "round_period",
@@ -234,7 +243,7 @@ def q1b_round_change(t: Tables) -> DataFrame:
     )
     # Global window over one row per round.
     out = period_delta(totals, "total_idps", "round_id", prev="prev_round_total", delta="abs_change", pct="pct_change")
-    return out.select("round_id", "round_label", "total_idps", "prev_round_total", "abs_change", "pct_change")
+    return out.select("round_id", "round_label", "total_idps", "prev_round_total", "abs_change", "pct_change").orderBy("round_id")
 
 
 def q1c_persistent_high(t: Tables, threshold: int = 1000, n_rounds: int = N_ROUNDS, k: int = 20) -> DataFrame:
@@ -251,7 +260,7 @@ def q1c_persistent_high(t: Tables, threshold: int = 1000, n_rounds: int = N_ROUN
     )
     top = agg.orderBy(F.col("avg_arrivals").desc_nulls_last(), F.col("settlement_id")).limit(k)
     out = attach_labels(top, t, ("settlement_code", "settlement_name"), district=True, province=True)
-    return out.select(
+    return out.orderBy(_down("avg_arrivals"), "settlement_id").select(
         "settlement_code",
         "settlement_name",
         "province_name",
@@ -278,7 +287,7 @@ def q2a_province_burden(t: Tables) -> DataFrame:
         mean_r("idp_arrivals", 1).alias("avg_per_settlement"),
     )
     agg = agg.withColumn("_national", total_over("total_idp_arrivals")).where(F.col("province_id").isNotNull())
-    return agg.join(province_labels(t), "province_id").select(
+    return agg.join(province_labels(t), "province_id").orderBy(_down("total_idp_arrivals"), "province_id").select(
         "province_name",
         "settlements_assessed",
         "total_idp_arrivals",
@@ -290,19 +299,20 @@ def q2a_province_burden(t: Tables) -> DataFrame:
 def q2b_province_pivot(t: Tables, k: int = 15) -> DataFrame:
     piv = pivot_periods(with_geo(_obs(t), t), ["province_id"], "round_id", "idp_arrivals", PIVOT_COLUMNS, "grand_total")
     top = piv.orderBy(F.col("grand_total").desc_nulls_last(), F.col("province_id")).limit(k)
-    return top.join(province_labels(t), "province_id").select("province_name", *PIVOT_COLUMNS.values(), "grand_total")
+    named = top.join(province_labels(t), "province_id").orderBy(_down("grand_total"), "province_id")
+    return named.select("province_name", *PIVOT_COLUMNS.values(), "grand_total")
 
 
 def q2c_district_burden_latest(t: Tables, round_id: int = LATEST_ROUND, k: int = 15) -> DataFrame:
     o = with_geo(_obs(t).where(F.col("round_id") == round_id), t)
     agg = o.groupBy("district_id").agg(
-        t.units_in_round().alias("settlements"),
+        F.countDistinct("settlement_id").alias("settlements"),
         F.sum("idp_arrivals").cast("long").alias("total_idps_round6"),
         mean_r("security_situation", 2).alias("avg_security_score"),
         mean_r("idp_conflict_severity", 2).alias("avg_conflict_severity"),
     )
     top = agg.orderBy(F.col("total_idps_round6").desc_nulls_last(), F.col("district_id")).limit(k)
-    return top.join(district_labels(t), "district_id").select(
+    return top.join(district_labels(t), "district_id").orderBy(_down("total_idps_round6"), "district_id").select(
         "province_name", "district_name", "settlements", "total_idps_round6", "avg_security_score", "avg_conflict_severity"
     )
 
@@ -316,7 +326,7 @@ def q3a_security_by_round(t: Tables) -> DataFrame:
         high.alias("high_threat_settlements"),
         pct_of(high, F.count(F.lit(1)), 1).alias("pct_high_threat"),
     )
-    return with_rounds(agg, t, "round_label", "round_period").select(
+    return with_rounds(agg, t, "round_label", "round_period").orderBy("round_id").select(
         "round_label", "round_period", "avg_security_score", "high_threat_settlements", "pct_high_threat"
     )
 
@@ -329,7 +339,8 @@ def q3b_insecure_provinces(t: Tables, k: int = 10) -> DataFrame:
         pct_of(extreme, F.count(F.lit(1)), 1).alias("pct_extreme"),
     )
     top = agg.orderBy(F.col("avg_security").desc_nulls_last(), F.col("province_id")).limit(k)
-    return top.join(province_labels(t), "province_id").select("province_name", "avg_security", "extreme_threat_obs", "pct_extreme")
+    named = top.join(province_labels(t), "province_id").orderBy(_down("avg_security"), "province_id")
+    return named.select("province_name", "avg_security", "extreme_threat_obs", "pct_extreme")
 
 
 def q3c_security_vs_idp(t: Tables) -> DataFrame:
@@ -346,7 +357,7 @@ def q3c_security_vs_idp(t: Tables) -> DataFrame:
         "avg_idp_arrivals",
         "avg_conflict_severity",
         "avg_host_population",
-    )
+    ).orderBy(_up("security_level"))
 
 
 def q4a_aid_by_round(t: Tables) -> DataFrame:
@@ -361,7 +372,7 @@ def q4a_aid_by_round(t: Tables) -> DataFrame:
         pct("aid_cash").alias("pct_cash"),
         pct("aid_infrastructure").alias("pct_infra"),
     )
-    return with_rounds(agg, t, "round_label", "round_period").select(
+    return with_rounds(agg, t, "round_label", "round_period").orderBy("round_id").select(
         "round_label",
         "round_period",
         "total_settlements",
@@ -383,7 +394,7 @@ def q4b_aid_by_province(t: Tables) -> DataFrame:
         pct("aid_emergency_shelter").alias("pct_shelter"),
         mean_r("idp_arrivals", 0).alias("avg_idp_arrivals"),
     )
-    return agg.join(province_labels(t), "province_id").select(
+    return agg.join(province_labels(t), "province_id").orderBy(_down("pct_aid_delivered"), "province_id").select(
         "province_name", "total_obs", "pct_aid_delivered", "pct_food", "pct_cash", "pct_shelter", "avg_idp_arrivals"
     )
 
@@ -391,9 +402,10 @@ def q4b_aid_by_province(t: Tables) -> DataFrame:
 def q4c_aid_gap_rows(t: Tables, min_arrivals: int = 1000, k: int = 25) -> DataFrame:
     o = _obs(t).where((F.col("humanitarian_aid_delivered") == 0) & (F.col("idp_arrivals") > min_arrivals))
     o = with_rounds(with_geo(o, t), t, "round_label")
-    top = o.orderBy(F.col("idp_arrivals").desc_nulls_last(), F.col("settlement_id"), F.col("round_id")).limit(k)
+    order = [_down("idp_arrivals"), F.col("settlement_id"), F.col("round_id"), F.col("observation_id")]
+    top = o.orderBy(*order).limit(k)
     out = attach_labels(top, t, ("settlement_name",), district=True, province=True)
-    return out.select(
+    return out.orderBy(*order).select(
         "province_name",
         "district_name",
         "settlement_name",
@@ -412,7 +424,7 @@ def q5a_services_by_round(t: Tables) -> DataFrame:
         pct("health_clinics_available").alias("pct_health_access"),
         pct("schools_available").alias("pct_school_access"),
     ).withColumn("health_school_gap", F.col("pct_health_access") - F.col("pct_school_access"))
-    return with_rounds(agg, t, "round_label", "round_period").select(
+    return with_rounds(agg, t, "round_label", "round_period").orderBy("round_id").select(
         "round_label", "round_period", "pct_health_access", "pct_school_access", "health_school_gap"
     )
 
@@ -425,8 +437,9 @@ def q5b_low_service_provinces(t: Tables, round_id: int = LATEST_ROUND, k: int =
         pct("humanitarian_aid_delivered").alias("pct_aid"),
         F.count(F.lit(1)).alias("settlements"),
     )
-    top = agg.orderBy((F.col("pct_health") + F.col("pct_schools")).asc_nulls_first(), F.col("province_id")).limit(k)
-    return top.join(province_labels(t), "province_id").select("province_name", "pct_health", "pct_schools", "pct_aid", "settlements")
+    order = [(F.col("pct_health") + F.col("pct_schools")).asc_nulls_first(), F.col("province_id")]
+    top = agg.orderBy(*order).limit(k).join(province_labels(t), "province_id")
+    return top.orderBy(*order).select("province_name", "pct_health", "pct_schools", "pct_aid", "settlements")
 
 
 def q5c_triple_deprivation(t: Tables, round_id: int = LATEST_ROUND) -> DataFrame:
@@ -441,7 +454,7 @@ def q5c_triple_deprivation(t: Tables, round_id: int = LATEST_ROUND) -> DataFrame
         mean_r("idp_arrivals", 0).alias("avg_idp_arrivals"),
         mean_r("security_situation", 2).alias("avg_security"),
     )
-    return agg.join(province_labels(t), "province_id").select(
+    return agg.join(province_labels(t), "province_id").orderBy(_down("triply_deprived_settlements"), "province_id").select(
         "province_name", "triply_deprived_settlements", "avg_idp_arrivals", "avg_security"
     )
 
@@ -449,24 +462,29 @@ def q5c_triple_deprivation(t: Tables, round_id: int = LATEST_ROUND) -> DataFrame
 # ── advanced: windows, CTE chains, DiD, trajectories ────────────────────────────────
 
 
-def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
-    base = with_rounds(with_geo(_obs(t), t), t, "round_label").select(
-        "settlement_id", "round_id", "observation_id", "province_id", "round_label", "idp_arrivals"
-    )
-    # The report shows the first k rows in (settlement, round) order. Every earlier row of a
-    # settlement precedes its later rows in that order, so LAG and the running sum per
-    # settlement computed on the k-row prefix equal those computed on all rows: the windows
-    # run on at most k rows instead of the whole fact (a top-k, then bounded windows).
-    first = base.orderBy("settlement_id", "round_id", "observation_id").limit(k)
-    lagged = period_delta(
-        first, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change",
-        tiebreak="observation_id",
+def _panel_windows(t: Tables) -> DataFrame:
+    """LAG, running SUM and RANK in province and round for every row of the panel."""
+    base = with_geo(_obs(t), t).join(t.small("survey_rounds").select("round_id"), "round_id", "left_semi").select(
+        "settlement_id", "round_id", "observation_id", "province_id", "idp_arrivals"
     )
-    first = running_total(lagged, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps", tiebreak="observation_id")
-    # RANK within (province, round) over ALL rows, computed for the displayed rows only.
-    ranked = rank_rows(first, base, ["province_id", "round_id"], "idp_arrivals", "rank_in_province")
-    out = attach_labels(ranked, t, ("settlement_code", "settlement_name"), province=True)
-    return out.select(
+    if t.unit_key_bounded is False:  # a settlement may hold a third of all rows
+        run = unit_scan(
+            base, "settlement_id", ["round_id", "observation_id"], "idp_arrivals", prev="prev_round_arrivals", cum="cumulative_idps"
+        ).withColumn("round_change", F.col("idp_arrivals") - F.col("prev_round_arrivals"))
+    else:
+        run = period_delta(
+            base, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change", tiebreak="observation_id"
+        )
+        run = running_total(run, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps", tiebreak="observation_id")
+    return rank_in(run, ["province_id", "round_id"], "idp_arrivals", "rank_in_province")
+
+
+_PANEL_ORDER = ["settlement_id", "round_id", "observation_id"]
+
+
+def _panel_shown(t: Tables, rows: DataFrame) -> DataFrame:
+    out = attach_labels(with_rounds(rows, t, "round_label"), t, ("settlement_code", "settlement_name"), province=True)
+    return out.orderBy(*_PANEL_ORDER).select(
         "settlement_code",
         "settlement_name",
         "province_name",
@@ -479,12 +497,30 @@ def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
     )
 
 
+def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
+    """The windows over the whole panel; the report shows its first ``k`` rows."""
+    return _panel_shown(t, _panel_windows(t).orderBy(*_PANEL_ORDER).limit(k))
+
+
+def w1_panel_full(t: Tables) -> DataFrame:
+    """The same for every row of the panel."""
+    return _panel_shown(t, _panel_windows(t))
+
+
+def lead_next_round(t: Tables) -> DataFrame:
+    """Each observation with its settlement's value in the next round."""
+    rows = _obs(t).select("observation_id", "settlement_id", "round_id", "idp_arrivals")
+    return period_delta(
+        rows, "idp_arrivals", "round_id", unit="settlement_id", prev="next_round_arrivals", direction="lead", tiebreak="observation_id"
+    )
+
+
 def w2_moving_avg_security(t: Tables) -> DataFrame:
     agg = with_geo(_obs(t), t).groupBy("province_id", "round_id").agg(mean_r("security_situation", 4).alias("avg_security"))
     named = agg.join(province_labels(t), "province_id")
     # Window groups: one province, at most one row per round.
     out = moving_avg(named, "province_name", "round_id", "avg_security", 3, "moving_avg_3_rounds", digits=4)
-    return out.select("province_name", "round_id", "avg_security", "moving_avg_3_rounds")
+    return out.orderBy("province_name", "round_id", "province_id").select("province_name", "round_id", "avg_security", "moving_avg_3_rounds")
 
 
 def w3_province_percentiles(t: Tables) -> DataFrame:
@@ -494,6 +530,7 @@ def w3_province_percentiles(t: Tables) -> DataFrame:
     named = totals.join(province_labels(t), "province_id")
     # Global windows over one row per province.
     return named.select(
+        "province_id",
         "province_name",
         "total_idps",
         "settlements",
@@ -501,7 +538,7 @@ def w3_province_percentiles(t: Tables) -> DataFrame:
         global_rank([F.col("total_idps").desc_nulls_last()]).alias("rank_by_total"),
         ntile_of(4, [F.col("total_idps").desc_nulls_last(), F.col("province_id")]).alias("quartile"),
         round_half_up(pct_rank_of([F.col("total_idps").asc_nulls_first()]) * F.lit(100.0), 1).alias("percentile"),
-    )
+    ).orderBy(_down("total_idps"), "province_id").drop("province_id")
 
 
 def w4_top3_per_province(t: Tables, round_id: int = LATEST_ROUND, n: int = 3) -> DataFrame:
@@ -510,7 +547,7 @@ def w4_top3_per_province(t: Tables, round_id: int = LATEST_ROUND, n: int = 3) ->
     )
     top = top_n_per(o, ["province_id"], [F.col("idp_arrivals").desc_nulls_last(), F.col("settlement_id")], n, "province_rank")
     out = attach_labels(top, t, ("settlement_name",), district=True, province=True)
-    return out.select(
+    return out.orderBy("province_name", "province_rank", "province_id").select(
         "province_name",
         "province_rank",
         "settlement_name",
@@ -544,7 +581,7 @@ def c1x_deteriorated(t: Tables, a: int = 1, b: int = LATEST_ROUND, k: int = 30)
     )
     top = worse.orderBy(F.col("idp_change").desc_nulls_last(), F.col("settlement_id")).limit(k)
     out = attach_labels(top, t, ("settlement_name",), district=True, province=True)
-    return out.select(
+    return out.orderBy(_down("idp_change"), "settlement_id").select(
         "province_name", "district_name", "settlement_name", "idp_r1", "idp_r6", "idp_change", "sec_r1", "sec_r6", "security_change"
     )
 
@@ -565,6 +602,7 @@ def c2x_vulnerability_index(t: Tables) -> DataFrame:
         {"avg_idp": 25, "avg_sec": 25, "health_gap": 20, "school_gap": 15, "aid_gap": 15}, {"avg_idp", "avg_sec"}
     )
     return m.select(
+        "province_id",
         "province_name",
         round_half_up("avg_idp", 1).alias("avg_idp_arrivals"),
         round_half_up("avg_sec", 3).alias("avg_security_score"),
@@ -572,7 +610,7 @@ def c2x_vulnerability_index(t: Tables) -> DataFrame:
         round_half_up(F.col("school_gap") * F.lit(100.0), 1).alias("school_gap_pct"),
         round_half_up(F.col("aid_gap") * F.lit(100.0), 1).alias("aid_gap_pct"),
         round_half_up(index, 2).alias("vulnerability_index"),
-    )
+    ).orderBy(_down("vulnerability_index"), "province_id").drop("province_id")
 
 
 def did_group_means(t: Tables) -> DataFrame:
@@ -587,7 +625,7 @@ def did_group_means(t: Tables) -> DataFrame:
         pct("health_clinics_available").alias("pct_health_access"),
         pct("schools_available").alias("pct_school_access"),
     )
-    return agg.select(
+    return agg.orderBy(_up("diff_in_diff"), _up("post_intervention")).select(
         _did_label(DID_LABELS_PADDED).alias("group_label"),
         "observations",
         "avg_idp_arrivals",
@@ -602,30 +640,31 @@ def did_estimator(t: Tables) -> DataFrame:
     d = did_estimate(_obs(t), "post_intervention", "diff_in_diff", "idp_arrivals")
     return d.select(
         round_half_up("did", 4).alias("did_estimator_idp_arrivals"),
-        round_half_up(F.col("tp") - F.col("tc"), 2).alias("treatment_group_change"),
-        round_half_up(F.col("cp") - F.col("cc"), 2).alias("control_group_change"),
+        round_half_up(treated_change(), 2).alias("treatment_group_change"),
+        round_half_up(control_change(), 2).alias("control_group_change"),
     )
 
 
 def did_by_province(t: Tables) -> DataFrame:
     d = did_estimate(with_geo(_obs(t), t), "post_intervention", "diff_in_diff", "idp_arrivals", by=["province_id"])
-    d = d.where(F.col("tp").isNotNull() & F.col("tc").isNotNull() & F.col("cp").isNotNull() & F.col("cc").isNotNull())
+    d = d.where(F.col("did").isNotNull())  # all four cells are there
     return d.join(province_labels(t), "province_id").select(
+        "province_id",
         "province_name",
         round_half_up("did", 2).alias("did_estimate"),
         F.when(F.col("did") < 0, F.lit(DID_REDUCED)).when(F.col("did") > 0, F.lit(DID_INCREASED)).otherwise(F.lit(DID_NONE)).alias(
             "interpretation"
         ),
-    )
+    ).orderBy("did_estimate", "province_id").drop("province_id")
 
 
 def l1_top_trajectories(t: Tables, k: int = 10) -> DataFrame:
-    # Top units over ALL observations (no geo join), as in the report's CTE; their rows
-    # then go through the geo and round joins.
-    rows = top_trajectories(_obs(t), "settlement_id", mean_r("idp_arrivals", 0), k, "avg_idp")
-    rows = with_rounds(with_geo(rows, t), t, "round_label", "round_period")
-    out = attach_labels(rows, t, ("settlement_code", "settlement_name"), province=True)
-    return out.select(
+    # Top units over ALL observations (no geo join), as in the report's contract. Place and
+    # names are attached to the k units; that frame of at most k rows is broadcast to the fact.
+    top = top_units(_obs(t), "settlement_id", mean_r("idp_arrivals", 0), k).withColumnRenamed("_score", "avg_idp")
+    top = attach_labels(with_geo(top, t), t, ("settlement_code", "settlement_name"), province=True)
+    rows = with_rounds(_obs(t).join(F.broadcast(top), "settlement_id"), t, "round_label", "round_period")
+    return rows.orderBy(_down("avg_idp"), "round_id", "settlement_id", "observation_id").select(
         "settlement_code",
         "settlement_name",
         "province_name",
@@ -640,7 +679,6 @@ def l1_top_trajectories(t: Tables, k: int = 10) -> DataFrame:
 
 
 def l2_surges(t: Tables, factor: float = 1.5, k: int = 30) -> DataFrame:
-    tiebreak = "observation_id" if t.unit_key_bounded is False else None
     s = surges(
         _obs(t).select("settlement_id", "round_id", "observation_id", "idp_arrivals"),
         "settlement_id",
@@ -648,16 +686,18 @@ def l2_surges(t: Tables, factor: float = 1.5, k: int = 30) -> DataFrame:
         "idp_arrivals",
         factor,
         "arrivals_before",
-        segmented_tiebreak=tiebreak,
+        tiebreak="observation_id",
+        segmented=t.unit_key_bounded is False,
     )
     s = s.withColumn(
         "pct_increase",
         round_half_up(safe_div((F.col("idp_arrivals") - F.col("arrivals_before")).cast("double") * F.lit(100.0), F.col("arrivals_before")), 1),
     )
     s = with_rounds(with_geo(s, t), t, "round_label")
-    top = s.orderBy(F.col("pct_increase").desc_nulls_last(), F.col("settlement_id"), F.col("round_id")).limit(k)
+    order = [_down("pct_increase"), F.col("settlement_id"), F.col("round_id"), F.col("observation_id")]
+    top = s.orderBy(*order).limit(k)
     out = attach_labels(top, t, ("settlement_name",), district=True, province=True)
-    return out.select(
+    return out.orderBy(*order).select(
         "province_name",
         "district_name",
         "settlement_name",
@@ -673,8 +713,15 @@ def l2_surges(t: Tables, factor: float = 1.5, k: int = 30) -> DataFrame:
 v1_settlement_full = views.v1_settlement_full
 v2_observations_full = views.v2_observations_full
 v3_province_summary = views.v3_province_summary
-v4_national_dashboard = views.v4_national_dashboard
-v5_aid_gap = views.v5_aid_gap
+
+
+def v4_national_dashboard(t: Tables) -> DataFrame:
+    return views.v4_national_dashboard(t).orderBy("round_id")
+
+
+def v5_aid_gap(t: Tables) -> DataFrame:
+    rows = views.aid_gap_rows(t)
+    return rows.orderBy(_down("priority_score"), "settlement_id", "observation_id").drop("settlement_id", "observation_id")
 
 
 # ── highlight reports ────────────────────────────────────────────────────────────────
@@ -688,7 +735,7 @@ def s1_top_provinces(t: Tables, round_id: int = LATEST_ROUND, k: int = 10) -> Da
     o = _with_province_name(t, _obs(t).where(F.col("round_id") == round_id))
     agg = o.groupBy("province_name").agg(  # grouped by name, as specified
         F.sum("idp_arrivals").cast("long").alias("total_idps"),
-        t.units_in_round().alias("settlements"),
+        F.countDistinct("settlement_id").alias("settlements"),
         mean_r("security_situation", 2).alias("avg_security"),
     )
     return agg.orderBy(F.col("total_idps").desc_nulls_last(), F.col("province_name")).limit(k)
@@ -700,21 +747,17 @@ def s2_aid_tiers(t: Tables) -> DataFrame:
         "province_name",
         round_half_up(F.col("_avg") * F.lit(100.0), 1).alias("aid_coverage_pct"),
         tier("_avg", COVERAGE_TIERS, COVERAGE_ELSE).alias("coverage_tier"),
-    )
+    ).orderBy(_down("aid_coverage_pct"), "province_name")
 
 
 def s3_districts_always_aided(t: Tables, n_rounds: int = N_ROUNDS) -> DataFrame:
-    agg = persistent(
-        with_geo(_obs(t), t),
-        "district_id",
-        "round_id",
-        F.col("humanitarian_aid_delivered") == 1,
-        n_rounds,
-        F.countDistinct("settlement_id").alias("settlements"),
-        distinct=True,
-        periods="rounds_with_full_aid",
-    )
-    return agg.join(district_labels(t), "district_id").select("province_name", "district_name", "settlements", "rounds_with_full_aid")
+    # The two distinct counts are two aggregations: one aggregate with both would copy every row.
+    aided = with_geo(_obs(t).where(F.col("humanitarian_aid_delivered") == 1), t)
+    rounds = aided.groupBy("district_id").agg(F.countDistinct("round_id").alias("rounds_with_full_aid"))
+    units = aided.groupBy("district_id").agg(F.countDistinct("settlement_id").alias("settlements"))
+    agg = rounds.where(F.col("rounds_with_full_aid") == n_rounds).join(units, "district_id")
+    named = agg.join(district_labels(t), "district_id").orderBy(_down("settlements"), "district_id")
+    return named.select("province_name", "district_name", "settlements", "rounds_with_full_aid")
 
 
 def s4_surge_r4_r5(t: Tables, a: int = 4, b: int = 5, k: int = 15) -> DataFrame:
@@ -730,6 +773,7 @@ def s4_surge_r4_r5(t: Tables, a: int = 4, b: int = 5, k: int = 15) -> DataFrame:
     )
     top = cmp.orderBy(F.col("absolute_increase").desc_nulls_last(), F.col("settlement_id")).limit(k)
     out = attach_labels(top, t, ("settlement_name",), district=True, province=True)
+    out = out.orderBy(_down("absolute_increase"), "settlement_id")
     return out.select("province_name", "district_name", "settlement_name", "idp_r4", "idp_r5", "absolute_increase", "pct_increase")
 
 
@@ -764,7 +808,7 @@ def s5_multi_rank(t: Tables, k: int = 15) -> DataFrame:
 def s6_did_report(t: Tables) -> DataFrame:
     # Means rounded to 4 dp before differencing, all four from one aggregation.
     d = did_estimate(_obs(t), "post_intervention", "diff_in_diff", "idp_arrivals", round_first=4)
-    names = {"cc": DID_LABELS[(0, 0)], "cp": DID_LABELS[(1, 0)], "tc": DID_LABELS[(0, 1)], "tp": DID_LABELS[(1, 1)]}
+    names = {CELLS[cell]: label for cell, label in DID_LABELS.items()}
     wide = d.select(*[F.col(c).alias(n) for c, n in names.items()], round_half_up("did", 4).alias(DID_ESTIMATOR_LABEL))
     return wide.unpivot([], [*names.values(), DID_ESTIMATOR_LABEL], "group_label", "mean_idp")
 
@@ -773,6 +817,7 @@ def s7_school_trend(t: Tables) -> DataFrame:
     dash = views.v4_national_dashboard(t)
     prev = F.lag("school_access_pct").over(Window.orderBy("round_id"))  # one row per round
     return dash.select(
+        "round_id",
         "round_label",
         "round_period",
         "total_idp_arrivals",
@@ -784,7 +829,7 @@ def s7_school_trend(t: Tables) -> DataFrame:
         .when(F.col("school_access_pct") > prev, F.lit(TREND_IMPROVED))
         .otherwise(F.lit(TREND_STABLE))
         .alias("school_trend"),
-    )
+    ).orderBy("round_id").drop("round_id")
 
 
 def s8_north_filter(t: Tables, min_lat: float = 36.0, k: int = 20) -> DataFrame:
@@ -798,7 +843,8 @@ def s8_north_filter(t: Tables, min_lat: float = 36.0, k: int = 20) -> DataFrame:
         .agg(F.sum("idp_arrivals").cast("long").alias("total_idps_all_rounds"), mean_r("security_situation", 2).alias("avg_security"))
     )
     top = agg.orderBy(F.col("total_idps_all_rounds").desc_nulls_last(), F.col("settlement_id")).limit(k)
-    return F.broadcast(top).join(north, "settlement_id").select(
+    named = F.broadcast(top).join(north, "settlement_id").orderBy(_down("total_idps_all_rounds"), "settlement_id")
+    return named.select(
         "province_name", "district_name", "settlement_name", "latitude", "longitude", "total_idps_all_rounds", "avg_security"
     )
 
@@ -823,7 +869,7 @@ def dq_value_domains(t: Tables) -> DataFrame:
 
 
 def dq_unbalanced_units(t: Tables) -> DataFrame:
-    return audit.unbalanced_units(t.observations, t.survey_rounds, key_unique=bool(t.panel_key_unique))
+    return audit.unbalanced_units(t.observations, t.survey_rounds)
 
 
 REPORTS = {
@@ -857,6 +903,8 @@ REPORTS = {
         ("q5b_low_service_provinces", q5b_low_service_provinces),
         ("q5c_triple_deprivation", q5c_triple_deprivation),
         ("w1_panel_longitudinal", w1_panel_longitudinal),
+        ("w1_panel_full", w1_panel_full),
+        ("lead_next_round", lead_next_round),
         ("w2_moving_avg_security", w2_moving_avg_security),
         ("w3_province_percentiles", w3_province_percentiles),
         ("w4_top3_per_province", w4_top3_per_province),

@@ -57,7 +57,7 @@ def v3_province_summary(t: Tables) -> DataFrame:
     """Province x round dashboard."""
     o = with_rounds(with_geo(t.observations, t), t)
     agg = o.groupBy("round_id", "province_id").agg(
-        t.units_in_round().alias("settlements_assessed"),
+        F.countDistinct("settlement_id").alias("settlements_assessed"),
         F.sum("idp_arrivals").cast("long").alias("total_idp_arrivals"),
         mean_r("idp_arrivals", 1).alias("avg_idp_per_settlement"),
         F.max("idp_arrivals").alias("max_idp_settlement"),
@@ -99,7 +99,7 @@ def v4_national_dashboard(t: Tables) -> DataFrame:
     """One row per round: national KPIs. Aggregated per round_id first (partial
     aggregation; the shuffle carries one row per round per task), labels joined after."""
     agg = t.observations.groupBy("round_id").agg(
-        t.units_in_round().alias("settlements_surveyed"),
+        F.countDistinct("settlement_id").alias("settlements_surveyed"),
         F.sum("idp_arrivals").cast("long").alias("total_idp_arrivals"),
         mean_r("idp_arrivals", 1).alias("avg_idp_per_settlement"),
         mean_r("security_situation", 3).alias("national_avg_security"),
@@ -125,7 +125,12 @@ def v4_national_dashboard(t: Tables) -> DataFrame:
 
 def v5_aid_gap(t: Tables, round_id: int = 6, min_arrivals: int = 500) -> DataFrame:
     """Unaided settlements with high displacement in the latest round, with the integer
-    priority score. The round predicate prunes the fact's round partitions."""
+    priority score."""
+    return aid_gap_rows(t, round_id, min_arrivals).drop("settlement_id", "observation_id")
+
+
+def aid_gap_rows(t: Tables, round_id: int = 6, min_arrivals: int = 500) -> DataFrame:
+    """The same with its ids. The round predicate prunes the fact's round partitions."""
     o = t.observations.where(
         (F.col("round_id") == round_id) & (F.col("humanitarian_aid_delivered") == 0) & (F.col("idp_arrivals") > min_arrivals)
     )
@@ -135,6 +140,8 @@ def v5_aid_gap(t: Tables, round_id: int = 6, min_arrivals: int = 500) -> DataFra
     if t.rows("settlements") <= LABEL_BROADCAST_MAX_ROWS:
         sf = F.broadcast(sf)
     return o.join(sf, "settlement_id").select(
+        "settlement_id",
+        "observation_id",
         "province_name",
         "district_name",
         "settlement_code",

@@ -26,10 +26,9 @@ from panelscope.sources.tables import Tables, load_catalog, scratch_path, write_
 
 # Fixed values of the binding.
 FIRST_YEAR = 1995  # round 1; rounds are consecutive order years
-N_ROUNDS = 6  # 1995..2000 (2001 is a partial year and is left out)
+N_ROUNDS = 6  # earlier years count to the first round, later ones to the last
 POST_FROM_ROUND = 4  # post_intervention = 1 from this round on
 ARRIVALS_PER_PRICE = 500  # one arrival per 500 of order total price
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # sorted; index = district
 STATUS_CONFLICT, STATUS_DISASTER, STATUS_HEALTH = "F", "P", "O"
 PRIORITY_FLAGS = {
     "humanitarian_aid_delivered": "1-URGENT",
@@ -48,11 +47,8 @@ def _pad2(col: Column) -> Column:
     return F.lpad(col.cast("string"), 2, "0")
 
 
-def _segment_index(seg: Column) -> Column:
-    out = None
-    for i, s in enumerate(SEGMENTS):
-        out = F.when(seg == F.lit(s), F.lit(i)) if out is None else out.when(seg == F.lit(s), F.lit(i))
-    return out
+def _round(date: str) -> Column:
+    return F.least(F.lit(N_ROUNDS), F.greatest(F.lit(1), F.year(date) - F.lit(FIRST_YEAR - 1))).cast("int")
 
 
 def derive(spark: SparkSession, sf_dir: str) -> Tables:
@@ -71,9 +67,13 @@ def derive(spark: SparkSession, sf_dir: str) -> Tables:
         F.concat(F.lit("P"), _pad2(F.col("n_nationkey"))).alias("adm1_code"),
     )
 
-    seg = F.explode(F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(s).alias("name")) for i, s in enumerate(SEGMENTS)]))
-    districts = nation.select("n_nationkey", seg.alias("seg")).select(
-        (F.col("n_nationkey").cast("long") * 5 + F.col("seg.ix")).alias("district_id"),
+    # The segments that customers have, in order: a handful of names, which make the districts.
+    found = [r[0] for r in customer.select("c_mktsegment").where("c_mktsegment IS NOT NULL").distinct().orderBy("c_mktsegment").collect()]
+    listed = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(s).alias("name")) for i, s in enumerate(found)])
+    index = F.array_position(F.array(*map(F.lit, found)).cast("array<string>"), F.col("c_mktsegment")).cast("int") - 1
+    customer = customer.where(F.col("c_mktsegment").isNotNull())
+    districts = nation.select("n_nationkey", F.explode(listed).alias("seg")).select(
+        (F.col("n_nationkey").cast("long") * len(found) + F.col("seg.ix")).alias("district_id"),
         F.concat(F.lit("P"), _pad2(F.col("n_nationkey")), _pad2(F.col("seg.ix"))).alias("adm2_code"),
         F.col("seg.name").alias("district_name"),
         F.col("n_nationkey").cast("long").alias("province_id"),
@@ -85,7 +85,7 @@ def derive(spark: SparkSession, sf_dir: str) -> Tables:
         key.cast("long").alias("settlement_id"),
         F.col("c_name").alias("settlement_code"),
         F.concat(F.lit("S"), key.cast("string")).alias("settlement_name"),
-        F.concat(F.lit("P"), _pad2(F.col("c_nationkey")), _pad2(_segment_index(F.col("c_mktsegment")))).alias(
+        F.concat(F.lit("P"), _pad2(F.col("c_nationkey")), _pad2(index)).alias(
             "adm2_code"
         ),
         F.when(~no_coords, F.lit(60.0) + (key % 1500).cast("double") / F.lit(100.0)).alias("longitude"),
@@ -94,16 +94,14 @@ def derive(spark: SparkSession, sf_dir: str) -> Tables:
         ((key % 89).cast("double") / F.lit(100.0)).alias("pashtun_ethno"),
     )
 
-    year = F.year("o_orderdate")
-    last_year = FIRST_YEAR + N_ROUNDS - 1
     survey_rounds = (
-        orders.select(year.alias("y"))
-        .where(F.col("y").between(FIRST_YEAR, last_year))
+        orders.select(_round("o_orderdate").alias("round_id"))
+        .where(F.col("round_id").isNotNull())
         .distinct()
         .select(
-            (F.col("y") - F.lit(FIRST_YEAR - 1)).cast("int").alias("round_id"),
-            F.concat(F.lit("Round "), (F.col("y") - F.lit(FIRST_YEAR - 1)).cast("string")).alias("round_label"),
-            F.col("y").cast("string").alias("round_period"),
+            "round_id",
+            F.concat(F.lit("Round "), F.col("round_id").cast("string")).alias("round_label"),
+            (F.col("round_id") + F.lit(FIRST_YEAR - 1)).cast("string").alias("round_period"),
         )
     )
 
@@ -112,10 +110,9 @@ def derive(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def _observations(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    r = (F.year("o_orderdate") - F.lit(FIRST_YEAR - 1)).cast("int")
-    o = orders.where(F.year("o_orderdate").between(FIRST_YEAR, FIRST_YEAR + N_ROUNDS - 1)).select(
+    o = orders.select(
         F.col("o_custkey").alias("c_custkey"),
-        r.alias("r"),
+        _round("o_orderdate").alias("r"),
         F.floor(F.col("o_totalprice") / F.lit(float(ARRIVALS_PER_PRICE))).cast("long").alias("arr"),
         "o_orderstatus",
         "o_orderpriority",
@@ -193,24 +190,22 @@ def _observations(customer: DataFrame, orders: DataFrame) -> DataFrame:
     ).select(*SCHEMAS["observations"].fieldNames())
 
 
-BYTES_PER_BUCKET = 64 * 1024 * 1024
+ROWS_PER_BUCKET = 1_000_000
 
 
 def bucket_count(spark: SparkSession, source: DataFrame) -> int:
-    """Buckets for the panel tables: one per 64 MB of source (Spark's own size estimate of
-    the scan), at least the default parallelism, at most Spark's bucket limit
+    """Buckets for the panel tables: one per ROWS_PER_BUCKET source rows (counted from the file
+    footers), at least the default parallelism, at most Spark's bucket limit
     (spark.sql.sources.bucketing.maxBuckets). A bucketed scan runs one task per bucket, so
     the count follows the data, not spark.sql.shuffle.partitions; a non-bucketed join side
     is shuffled to the bucket count by the planner."""
-    raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = int(raw if isinstance(raw, int) else raw.toString())
     cap = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-    want = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
+    want = max(spark.sparkContext.defaultParallelism, -(-source.count() // ROWS_PER_BUCKET))
     return max(1, min(cap, want))
 
 
 _lock = threading.Lock()
-_store: dict[tuple[str, str], Tables] = {}
+_store: dict[tuple[str, ...], Tables] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
@@ -224,7 +219,8 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     is not recomputed per report. Written files survive executor loss.
     """
     app = spark.sparkContext.applicationId
-    key = (app, sf_dir.rstrip("/"))
+    files = [f for n in ("nation", "customer", "orders") for f in sorted(_read(spark, sf_dir, n).inputFiles())]
+    key = (app, *files)  # rewritten input has other files
     with _lock:
         if key not in _store:
             path = scratch_path(spark, "panel")

@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.sources.schema import SCHEMAS, TABLE_NAMES
@@ -26,7 +26,7 @@ DIM_BROADCAST_MAX_ROWS = 1_000_000
 GEO_BROADCAST_MAX_ROWS = 2_000_000
 LABEL_BROADCAST_MAX_ROWS = 500_000
 UNIT_KEY_PROPERTY = "panelscope.unit_key_bounded"
-PANEL_KEY_PROPERTY = "panelscope.panel_key_unique"
+ROWS_PER_FILE = 5_000_000  # of the range-partitioned layout
 
 
 @dataclass
@@ -40,12 +40,10 @@ class Tables:
     # Materialised settlement_id -> district_id, province_id map (see write_tables); when
     # absent it is derived from the three dimension tables on use.
     geo: DataFrame | None = field(default=None, repr=False)
-    # False when the writer found a settlement with more rows than rounds (a hot group of
+    # False when the writer found a settlement that fills a bucket by itself (a hot group of
     # copies): per-settlement scans then use the segmented form (operators.panel.unit_scan).
+    # It chooses a plan only, results are the same; other facts start without it.
     unit_key_bounded: bool | None = field(default=None, repr=False)
-    # True when the writer verified UNIQUE(settlement_id, round_id): within one round,
-    # COUNT(DISTINCT settlement_id) is then COUNT(settlement_id) (see ``units_in_round``).
-    panel_key_unique: bool | None = field(default=None, repr=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -70,15 +68,8 @@ class Tables:
             obs,
             dict(self._rows),
             self.geo,
-            self.unit_key_bounded,
-            self.panel_key_unique,
         )
 
-    def units_in_round(self, col: str = "settlement_id") -> Column:
-        """Distinct settlements of a group that lies within one round: a plain COUNT when
-        the panel key was verified unique at write time, COUNT(DISTINCT) otherwise."""
-        return F.count(col) if self.panel_key_unique else F.countDistinct(col)
-
     def hierarchy(self) -> DataFrame:
         """settlement_id, district_id, province_id for settlements whose district and
         province exist (the inner join chain); the materialised map when present."""
@@ -140,7 +131,9 @@ def write_layout(
     keys = ([partition_by] if partition_by else []) + list(sort_by or [])
     out = df
     if keys:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = num_partitions or max(
+            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_FILE)
+        )
         out = out.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     writer = out.write.mode(mode)
     if partition_by:
@@ -180,29 +173,28 @@ def write_tables(
             tables[name].coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def panel_key_checks(tables: Tables) -> tuple[bool, bool]:
-    """(rows per settlement <= number of rounds, UNIQUE(settlement_id, round_id) holds),
-    from one aggregation by settlement over the fact; two numbers reach the driver."""
-    rounds = tables.survey_rounds.agg(F.countDistinct("round_id")).first()[0]
-    per_unit = tables.observations.groupBy("settlement_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("round_id").alias("d")
-    )
-    worst, dup = per_unit.agg(F.max("n"), F.max(F.col("n") - F.col("d"))).first()
-    bounded = worst is None or worst <= max(rounds or 0, 1)
-    unique = dup is None or dup == 0
-    return bounded, unique
+def unit_key_bounded(tables: Tables, buckets: int) -> bool:
+    """Whether no settlement holds as many rows as a mean bucket, beyond one row per round
+    tenfold; one aggregation by settlement over the fact, three numbers reach the driver."""
+    per_unit = tables.observations.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n"))
+    worst, rows = per_unit.agg(F.max("n"), F.sum("n")).first()
+    return worst is None or worst <= max(10 * tables.rows("survey_rounds"), rows // max(1, buckets))
 
 
 def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> None:
-    """Catalog tables; fact, settlements and the key map bucketed on settlement_id when the
-    unit key is bounded. If one settlement carries more rows than there are rounds (a
-    group of copies), bucketing would put that group into one bucket read by one task in
-    every scan, so the tables are written unbucketed instead (joins and aggregations then
-    shuffle, and AQE splits the skewed partitions). Both key checks are recorded as table
-    properties of ``observations`` (read back by ``load_catalog``), and table statistics
-    are computed for every table."""
+    """Catalog tables; fact, settlements and the key map bucketed on settlement_id unless one
+    settlement fills a bucket by itself (a group of copies): bucketing would put that group
+    into one bucket read by one task in every scan, so the tables are then written unbucketed
+    (joins and aggregations shuffle, and AQE splits the skewed partitions). A surplus row does
+    not change the layout. The choice is recorded as a table property of ``observations``
+    (read back by ``load_catalog``), and table statistics are computed for every table. The
+    fact is derived once, into ``{path}/_staged``, and checked and bucketed from there."""
     spark = tables.observations.sparkSession
-    bucketed, unique = panel_key_checks(tables)
+    tables.observations.write.mode("overwrite").parquet(f"{path}/_staged")
+    tables = Tables(
+        tables.provinces, tables.districts, tables.settlements, tables.survey_rounds, spark.read.parquet(f"{path}/_staged"), geo=tables.geo
+    )
+    bucketed = unit_key_bounded(tables, buckets)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{path}/_db'")
 
     def save(df: DataFrame, name: str, by_round: bool = False) -> None:
@@ -229,11 +221,7 @@ def _write_bucketed(tables: Tables, path: str, buckets: int, database: str) -> N
     written.geo = None
     save(written.hierarchy(), "settlement_geo")
     flag = "true" if bucketed else "false"
-    key = "true" if unique else "false"
-    spark.sql(
-        f"ALTER TABLE {database}.observations SET TBLPROPERTIES "
-        f"('{UNIT_KEY_PROPERTY}' = '{flag}', '{PANEL_KEY_PROPERTY}' = '{key}')"
-    )
+    spark.sql(f"ALTER TABLE {database}.observations SET TBLPROPERTIES ('{UNIT_KEY_PROPERTY}' = '{flag}')")
     # Table statistics (row counts, sizes) so Catalyst sizes the joins no report hints.
     for name in [*TABLE_NAMES, "settlement_geo"]:
         spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS")
@@ -248,23 +236,25 @@ def load_catalog(spark: SparkSession, database: str) -> Tables:
     props = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {database}.observations").collect()}  # a few rows
     if UNIT_KEY_PROPERTY in props:
         t.unit_key_bounded = props[UNIT_KEY_PROPERTY] == "true"
-    if PANEL_KEY_PROPERTY in props:
-        t.panel_key_unique = props[PANEL_KEY_PROPERTY] == "true"
     return t
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``). Only when the
-    session has none (local tests) is a fresh folder under /tmp set."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``). Only a local session
+    without the setting (tests) gets a fresh folder of its own; a cluster must name one."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelscope-ckpt-"))
         d = sc.getCheckpointDir()
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 

@@ -32,3 +32,11 @@ def assert_same(df, rel, check_types=True):
     d_rows = rows_of(d_cols, rel.fetchall())
     assert len(s_rows) == len(d_rows), (len(s_rows), len(d_rows))
     assert s_rows == d_rows, [x for x in s_rows if x not in d_rows][:3] + ["vs"] + [x for x in d_rows if x not in s_rows][:3]
+
+
+def assert_same_order(df, rel):
+    """Rows of both results in the order they come in."""
+    cols = df.columns
+    at = [rel.columns.index(c) for c in cols]
+    got = [tuple(_norm(v) for v in r) for r in df.collect()]
+    assert got == [tuple(_norm(r[i]) for i in at) for r in rel.fetchall()]

@@ -62,10 +62,33 @@ def test_reports_as_sql_views(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
-def test_store_records_verified_panel_key(spark):
+def test_every_order_is_in_the_panel(spark):
+    from pyspark.sql import functions as F
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    customers = spark.read.parquet(f"{SF}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"))
+    want = orders.join(customers, "o_custkey", "left_semi").agg(F.sum(F.floor(F.col("o_totalprice") / 500.0))).first()[0]
     t = tables_for(spark, SF)
-    assert t.unit_key_bounded is True and t.panel_key_unique is True
-    import __spark_entry__ as E
+    assert t.observations.agg(F.sum("idp_arrivals")).first()[0] == want
+    assert t.unit_key_bounded is True
+
+
+def test_rewritten_input_is_read_again(spark, tmp_path):
+    for name in ("nation", "customer", "orders"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = tables_for(spark, str(tmp_path))
+    assert tables_for(spark, str(tmp_path)) is first
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.where("o_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert tables_for(spark, str(tmp_path)) is not first
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from panelscope.sources.tables import shared_dir
 
-    text = E.queries()["v4_national_dashboard"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "count(distinct" not in text.lower()  # verified key: plain count within a round
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures
-from helpers import assert_same
+from helpers import assert_same, assert_same_order
 from panelscope.operators.panel import surges
 from panelscope.plans.oracle import REPORT_SQL
 from panelscope.plans.reports import REPORTS
@@ -38,6 +38,15 @@ def test_edge_matches_oracle(edge, key):
     assert_same(REPORTS[key](t), con.sql(REPORT_SQL[key]))
 
 
+UNSORTED = {"a1_row_counts", "s6_did_report", "lead_next_round", "v1_settlement_full", "v2_observations_full", "v3_province_summary"}
+
+
+@pytest.mark.parametrize("key", [k for k in KEYS if k not in UNSORTED and not k.startswith("dq_")])
+def test_rows_come_in_the_reports_order(edge, key):
+    t, con = edge
+    assert_same_order(REPORTS[key](t), con.sql(REPORT_SQL[key]))
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_empty_fact_matches_oracle(empty, key):
     t, con = empty
@@ -136,3 +145,25 @@ def test_coverage_tiers_at_exact_cuts(spark, tmp_path):
         assert_same(REPORTS[key](t), con.sql(REPORT_SQL[key]))
     # All security values NULL -> every province average NULL -> index NULL, no error.
     assert all(r.vulnerability_index is None for r in REPORTS["c2x_vulnerability_index"](t).collect())
+
+
+def test_audits_count_violations(spark, edge):
+    """The edge tables break every kind of constraint; the audits' counts are not all zero."""
+    t, _ = edge
+    orphans = {(r.child_table, r.child_column): r.orphan_rows for r in REPORTS["dq_foreign_keys"](t).collect()}
+    assert orphans[("observations", "settlement_id")] > 0 and orphans[("settlements", "adm2_code")] > 0
+    assert orphans[("districts", "province_id")] > 0
+    twice = t.with_observations(t.observations.union(t.observations.where("round_id = 2")).withColumn("security_situation", F.lit(9)))
+    keys = {r.key_columns: (r.duplicate_keys, r.duplicate_rows) for r in REPORTS["dq_unique_keys"](twice).where("table_name = 'observations'").collect()}
+    n = t.observations.where("round_id = 2").count()
+    assert keys["observation_id"] == (n, 2 * n)
+    levels = {r.column_name: r.out_of_range for r in REPORTS["dq_value_domains"](twice).collect()}
+    assert levels["security_situation"] == twice.observations.count() and levels["aid_cash"] == 0
+    assert REPORTS["dq_unbalanced_units"](t).count() > 0
+
+
+def test_rounds_delivered_twice_count_settlements_once(edge):
+    t, _ = edge
+    want = {r.round_id: r.settlements_surveyed for r in REPORTS["v4_national_dashboard"](t).collect()}
+    twice = t.with_observations(t.observations.union(t.observations))
+    assert {r.round_id: r.settlements_surveyed for r in REPORTS["v4_national_dashboard"](twice).collect()} == want

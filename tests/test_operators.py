@@ -157,6 +157,37 @@ def test_unit_scan_equals_plain_windows_with_hot_unit(spark, seed):
     )
     got = unit_scan(df, "u", ["r", "oid"], "v", prev="p", cum="c", partitions=7).select("oid", "p", "c")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # with further columns, and without reuse of exchanges, every row is there and right
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        wide = unit_scan(df.withColumn("more", F.lit("x")), "u", ["r", "oid"], "v", prev="p", cum="c", partitions=64)
+        assert sorted(map(tuple, wide.select("oid", "p", "c").collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_kth_value_with_an_outlier_reads_few_counts(spark, monkeypatch):
+    from panelscope.operators import stats
+
+    rows = [(v,) for v in range(5000)] + [(10**12,), (None,)]
+    df = spark.createDataFrame(rows, "v long")
+    steps = []
+    narrowed = stats._narrowed
+    monkeypatch.setattr(stats, "_narrowed", lambda *a: steps.append(a) or narrowed(*a))
+    assert kth_value(df, "v", out="m").first().m == 2500
+    assert len(steps) <= 4
+    plan = kth_value(df, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert kth_value(spark.createDataFrame([(x,) for x in (0.5, 1e300, -1e300, 2.5, 1e-300)], "v double"), "v", k=2).first()[0] == 0.5
+
+
+def test_int_div_is_exact_beyond_doubles(spark):
+    from panelscope.functions.expr import int_div
+
+    row = spark.createDataFrame([(90071992547409937, -7, 0)], "a long, b long, z long").select(
+        int_div("a", 10).alias("x"), int_div("b", 2).alias("y"), int_div("a", "z").alias("n")
+    ).first()
+    assert tuple(row) == (9007199254740993, -3, None)
 
 
 def test_kth_value_property(spark):
@@ -187,7 +218,7 @@ def test_rank_in_blocked_equals_window(spark, buckets):
     for desc in (True, False):
         order = F.col("v").desc() if desc else F.col("v").asc()
         want = df.withColumn("rank", F.rank().over(Window.partitionBy("g").orderBy(order)).cast("long"))
-        got = rank_in(df, ["g"], "v", desc=desc, buckets=buckets)
+        got = rank_in(df, ["g"], "v", desc=desc, partitions=buckets)
         assert sorted(map(tuple, got.select("id", "rank").collect())) == sorted(
             map(tuple, want.select("id", "rank").collect())
         )

@@ -106,12 +106,11 @@ def test_hot_group_of_copies_uses_segmented_scans(spark, tmp_path):
     src = fixtures.build(spark, str(tmp_path / "src"), observations=obs + copies)
     write_tables(load_tables(spark, src), str(tmp_path / "store"), buckets=4, database="panelscope_hot_scan")
     t = load_catalog(spark, "panelscope_hot_scan")
-    assert t.unit_key_bounded is False and t.panel_key_unique is False
-    w1 = REPORTS["w1_panel_longitudinal"](t)
-    w1_plan = w1._jdf.queryExecution().executedPlan().toString()
-    # w1's windows run on the 60-row prefix: the Window sits above the top-k in the plan.
-    assert w1_plan.index("Window [lag") < w1_plan.index("TakeOrderedAndProject(limit=60")
-    assert w1.count() == 60
+    assert t.unit_key_bounded is False
+    con = duckdb.connect()
+    fixtures.duck(con, src)
+    assert_same(REPORTS["w1_panel_longitudinal"](t), con.sql(REPORT_SQL["w1_panel_longitudinal"]))
+    assert_same(REPORTS["w1_panel_full"](t), con.sql(REPORT_SQL["w1_panel_full"]))
     for key in ("l2_surges",):
         df = REPORTS[key](t)
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -131,3 +130,30 @@ def test_hot_group_of_copies_uses_segmented_scans(spark, tmp_path):
 
     got = surges(t.observations, "settlement_id", "round_id", "idp_arrivals", 1.5, segmented_tiebreak="observation_id")
     assert sorted(map(tuple, got.select("observation_id", "prev").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_surplus_row_keeps_the_layout(spark, tmp_path):
+    obs = fixtures._observations()
+    surplus = list(obs[0])
+    surplus[0] = 10**9
+    src = fixtures.build(spark, str(tmp_path / "src"), observations=[*obs, tuple(surplus)])
+    write_tables(load_tables(spark, src), str(tmp_path / "store"), buckets=4, database="panelscope_surplus")
+    t = load_catalog(spark, "panelscope_surplus")
+    assert t.unit_key_bounded is True
+    con = duckdb.connect()
+    fixtures.duck(con, src)
+    assert_same(REPORTS["l2_surges"](t), con.sql(REPORT_SQL["l2_surges"]))
+
+
+def test_top_trajectories_broadcast_only_the_top_units(spark, tmp_path):
+    src = fixtures.build(spark, str(tmp_path / "src"))
+    plan = REPORTS["l1_top_trajectories"](load_tables(spark, src))._jdf.queryExecution().executedPlan().toString()
+    limit, fact = plan.index("TakeOrderedAndProject(limit=10"), plan.index("BroadcastExchange")
+    assert fact < limit  # the limited frame is below the broadcast that meets the fact
+
+
+def test_two_distinct_counts_do_not_expand_the_rows(spark, tmp_path):
+    src = fixtures.build(spark, str(tmp_path / "src"))
+    t = load_tables(spark, src)
+    for key in ("s3_districts_always_aided", "b1_coverage_province"):
+        assert "Expand" not in REPORTS[key](t)._jdf.queryExecution().executedPlan().toString()
