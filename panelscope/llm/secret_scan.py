@@ -90,11 +90,6 @@ def entropy_windows(run: str, bound: float, window: int = WINDOW) -> list[tuple[
     spans: list[tuple[int, int]] = []
     top = math.log2(window)
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += _PART[n + 1] - _PART[n]
-        digits += c.isdigit()
-        letters += c.isalpha()
         if i >= window:
             old = run[i - window]
             n = counts[old]
@@ -102,6 +97,11 @@ def entropy_windows(run: str, bound: float, window: int = WINDOW) -> list[tuple[
             total += _PART[n - 1] - _PART[n]
             digits -= old.isdigit()
             letters -= old.isalpha()
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += _PART[n + 1] - _PART[n]
+        digits += c.isdigit()
+        letters += c.isalpha()
         if i >= window - 1 and digits and letters and top - total / window >= bound - 1e-9:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
