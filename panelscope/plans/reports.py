@@ -54,7 +54,9 @@ from panelscope.operators.panel import (
 from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_in, top_n_per
 from panelscope.operators.score import composite_index
 from panelscope.plans import views
-from panelscope.sources.tables import Tables
+from panelscope.sources.flat import normalize_flat
+from panelscope.sources.schema import TABLE_NAMES
+from panelscope.sources.tables import Tables, load_tables, scratch_path
 
 # Report labels.
 ROUND_CONTEXT = {
@@ -849,6 +851,36 @@ def s8_north_filter(t: Tables, min_lat: float = 36.0, k: int = 20) -> DataFrame:
     )
 
 
+# ── the same data by other ways in: a view's name, CSV files, a flat extract ─────────────
+
+
+def v4_by_name(t: Tables) -> DataFrame:
+    """The national dashboard as a SQL user reads it: by the name of its view."""
+    views.register_views(t)
+    return t.observations.sparkSession.sql("SELECT * FROM vw_national_dashboard ORDER BY round_id")
+
+
+def s2_csv_province_burden(t: Tables) -> DataFrame:
+    """The tables written as CSV with a header and loaded again with their declared types."""
+    spark = t.observations.sparkSession
+    path = scratch_path(spark, "csv")
+    for name in TABLE_NAMES:
+        t[name].write.option("header", True).csv(f"{path}/{name}.csv")
+    return q2a_province_burden(load_tables(spark, path, fmt="csv"))
+
+
+def s9_flat_roundtrip(t: Tables) -> DataFrame:
+    """The panel flattened, normalised again, and shown by codes: every observation comes back."""
+    more = t.settlements.select("settlement_code", "adm2_code", "pashtun_greg", "pashtun_ethno")
+    flat = views.v2_observations_full(t).join(more, "settlement_code")
+    n = normalize_flat(flat)
+    places = n.settlements.join(n.districts, "adm2_code").select("settlement_id", "settlement_code", "adm2_code")
+    rows = n.observations.join(places, "settlement_id").join(n.small("survey_rounds"), "round_id")
+    return rows.select(
+        "settlement_code", "adm2_code", "round_id", "round_label", "idp_arrivals", "change_idp_arrivals", "host_population", "security_situation"
+    )
+
+
 # ── declared constraints as audits ───────────────────────────────────────────────────
 
 
@@ -928,6 +960,9 @@ REPORTS = {
         ("s6_did_report", s6_did_report),
         ("s7_school_trend", s7_school_trend),
         ("s8_north_filter", s8_north_filter),
+        ("v4_by_name", v4_by_name),
+        ("s2_csv_province_burden", s2_csv_province_burden),
+        ("s9_flat_roundtrip", s9_flat_roundtrip),
         ("dq_not_null", dq_not_null),
         ("dq_unique_keys", dq_unique_keys),
         ("dq_foreign_keys", dq_foreign_keys),

@@ -1,14 +1,15 @@
-"""Normalise a flat (one row per settlement x round, geography repeated on every row)
-extract into the five canonical tables.
-
-Surrogate ids:
-* provinces, districts, rounds are geography/time dimensions; their distinct rows are
-  few, so dense ids come from ROW_NUMBER over the distinct codes.
-* settlements grow with the panel. Their ids are assigned without a single-task window:
-  the distinct settlements are range-partitioned and sorted by code, and
-  ``monotonically_increasing_id`` numbers them (unique and increasing with the code, not
-  dense). The numbered dimension is checkpointed to the shared checkpoint folder so the
-  settlement table and the fact join read the same ids.
+"""Normalise a flat (one row per settlement x round, geography repeated on every row) extract
+into the five canonical tables.
+
+Every dimension is one aggregation of the flat rows by its code, kept in the shared checkpoint
+folder and read from there by everything else. Rows of one code that disagree on an attribute
+are not dropped in silence: the smallest variant (by the attributes in order) is taken, and
+``flat_conflicts`` lists the codes with their number of variants.
+
+Ids are the same however often the tables are read: provinces, districts and rounds, of which
+there are few, are numbered in the order of their codes; settlements, which grow with the
+panel, by a running count over ranges of their codes (``unit_scan``); an observation's id is
+made of its settlement's and its round's, so rows that repeat both show as duplicate keys.
 """
 
 from __future__ import annotations
@@ -16,56 +17,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelscope.operators.panel import unit_scan
 from panelscope.sources.schema import OBSERVATIONS, SCHEMAS
 from panelscope.sources.tables import Tables, broadcast_if_small, shared_dir
 
-GEO_COLS = ["province_name", "adm1_code", "district_name", "adm2_code"]
 SETTLEMENT_COLS = ["settlement_code", "settlement_name", "longitude", "latitude", "pashtun_greg", "pashtun_ethno"]
-ROUND_COLS = ["round_label", "round_period"]
 MEASURES = [f for f in OBSERVATIONS.fieldNames() if f not in ("observation_id", "settlement_id", "round_id")]
+# table -> (code, its attributes)
+DIMENSIONS = {
+    "provinces": ("adm1_code", ["province_name"]),
+    "districts": ("adm2_code", ["district_name", "adm1_code"]),
+    "settlements": ("settlement_code", [*SETTLEMENT_COLS[1:], "adm2_code"]),
+    "survey_rounds": ("round_label", ["round_period"]),
+}
 
 
-def normalize_flat(flat: DataFrame, num_partitions: int | None = None) -> Tables:
-    """Split ``flat`` (columns GEO_COLS + SETTLEMENT_COLS + ROUND_COLS + measures) into
-    Tables. Rounds are ordered by the number in ``round_label``. Write the result with
-    ``write_tables`` before using it repeatedly."""
-    spark = flat.sparkSession
-    shared_dir(spark)  # makes sure a checkpoint folder is set
+def _dimension(flat: DataFrame, table: str) -> DataFrame:
+    """The codes of a dimension with their (smallest) attributes and ``variants``."""
+    code, attributes = DIMENSIONS[table]
+    shared_dir(flat.sparkSession)
+    one = F.struct(*attributes)
+    rows = flat.select(code, one.alias("a")).groupBy(code).agg(F.min("a").alias("a"), F.count_distinct("a").alias("variants"))
+    return rows.select(code, "a.*", "variants").checkpoint()
 
-    prov = flat.select("adm1_code", "province_name").dropDuplicates(["adm1_code"])
-    provinces = prov.select(
-        F.row_number().over(Window.orderBy("adm1_code")).cast("long").alias("province_id"), "province_name", "adm1_code"
-    )
-    dist = flat.select("adm2_code", "district_name", "adm1_code").dropDuplicates(["adm2_code"])
-    districts = dist.join(broadcast_if_small(provinces.select("province_id", "adm1_code")), "adm1_code").select(
-        F.row_number().over(Window.orderBy("adm2_code")).cast("long").alias("district_id"),
-        "adm2_code",
-        "district_name",
-        "province_id",
-    )
 
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sett = (
-        flat.select(*SETTLEMENT_COLS, "adm2_code")
-        .dropDuplicates(["settlement_code"])
-        .repartitionByRange(n, "settlement_code")
-        .sortWithinPartitions("settlement_code")
-        .withColumn("settlement_id", F.monotonically_increasing_id() + 1)
-        .checkpoint()
-    )
-    settlements = sett.select(*SCHEMAS["settlements"].fieldNames())
+def flat_conflicts(flat: DataFrame) -> DataFrame:
+    """(table_name, code, variants) of the codes whose rows disagree on an attribute."""
+    out = None
+    for table, (code, _) in DIMENSIONS.items():
+        rows = _dimension(flat, table).where("variants > 1")
+        rows = rows.select(F.lit(table).alias("table_name"), F.col(code).cast("string").alias("code"), "variants")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    order = F.regexp_extract("round_label", r"(\d+)", 1).cast("int")
-    rounds = flat.select(*ROUND_COLS).dropDuplicates(["round_label"]).withColumn("_o", order)
-    survey_rounds = rounds.select(
-        F.row_number().over(Window.orderBy("_o", "round_label")).cast("int").alias("round_id"), *ROUND_COLS
-    )
 
-    ids = sett.select("settlement_code", "settlement_id")
-    fact = flat.select("settlement_code", "round_label", *MEASURES).join(ids, "settlement_code").join(
-        broadcast_if_small(survey_rounds.select("round_id", "round_label")), "round_label"
-    )
-    observations = fact.withColumn("observation_id", F.monotonically_increasing_id() + 1).select(
-        *OBSERVATIONS.fieldNames()
+def _numbered(rows: DataFrame, id_name: str, kind: str, *order) -> DataFrame:
+    return rows.withColumn(id_name, F.row_number().over(Window.orderBy(*order)).cast(kind))
+
+
+def normalize_flat(flat: DataFrame, num_partitions: int | None = None) -> Tables:
+    """Split ``flat`` (geography, settlement and round columns, and the measures) into Tables.
+    Rounds are ordered by the number in ``round_label``. Write the result with
+    ``write_tables`` before using it repeatedly."""
+    provinces = _numbered(_dimension(flat, "provinces"), "province_id", "long", "adm1_code")
+    districts = _dimension(flat, "districts").join(broadcast_if_small(provinces.select("province_id", "adm1_code")), "adm1_code")
+    districts = _numbered(districts, "district_id", "long", "adm2_code")
+    number = F.regexp_extract("round_label", r"(\d+)", 1)
+    rounds = _numbered(_dimension(flat, "survey_rounds"), "round_id", "int", F.nullif(number, F.lit("")).cast("int"), "round_label")
+
+    settlements = _dimension(flat, "settlements").withColumns({"one": F.lit(1), "all": F.lit(0)})
+    settlements = unit_scan(settlements, "all", ["settlement_code"], "one", cum="settlement_id", partitions=num_partitions)
+    settlements = settlements.withColumn("settlement_id", F.col("settlement_id").cast("long"))
+
+    n_rounds = rounds.agg(F.max("round_id")).first()[0] or 1
+    rounds_key = broadcast_if_small(rounds.select("round_id", "round_label"))
+    fact = flat.select("settlement_code", "round_label", *MEASURES).join(settlements.select("settlement_code", "settlement_id"), "settlement_code")
+    observations = fact.join(rounds_key, "round_label").withColumn(
+        "observation_id", (F.col("settlement_id") - 1) * n_rounds + F.col("round_id")
     )
-    return Tables(provinces, districts, settlements, survey_rounds, observations)
+    frames = {
+        "provinces": provinces,
+        "districts": districts,
+        "settlements": settlements,
+        "survey_rounds": rounds,
+        "observations": observations,
+    }
+    return Tables(**{name: frame.select(*SCHEMAS[name].fieldNames()) for name, frame in frames.items()})

@@ -128,7 +128,7 @@ def test_hot_group_of_copies_uses_segmented_scans(spark, tmp_path):
     )
     from panelscope.operators.panel import surges
 
-    got = surges(t.observations, "settlement_id", "round_id", "idp_arrivals", 1.5, segmented_tiebreak="observation_id")
+    got = surges(t.observations, "settlement_id", "round_id", "idp_arrivals", 1.5, tiebreak="observation_id", segmented=True)
     assert sorted(map(tuple, got.select("observation_id", "prev").collect())) == sorted(map(tuple, want.collect()))
 
 
