@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import blocks_for, kept
 
 DIMS = 8  # even: the chi-square distribution then has a closed form
-CERTAINTY = 0.98
+CERTAINTY = 0.95
 SAMPLE = 20_000
 CELL = 8192  # vectors per cell
-LEAF = 64
+LEAF = 512
 BLOCK = 4096  # queries per task
 
 
@@ -178,8 +178,12 @@ def search_cell(ids: np.ndarray, vectors: np.ndarray, queries: pd.DataFrame, k:
             if r > 0 and r >= STOP * limit:
                 break
             scores = (vectors[rows] * asked[i]).sum(axis=1) / (norms[rows] * lengths[i])
-            near = [(-float(s), int(v)) for s, v in zip(scores, ids[rows], strict=True) if v != own]
-            best = heapq.nsmallest(k, best + near)
+            if len(best) == k:
+                better = scores >= -best[-1][0]
+                scores, rows = scores[better], rows[better]
+            if len(rows):
+                near = [(-s, v) for s, v in zip(scores.tolist(), ids[rows].tolist(), strict=True) if v != own]
+                best = heapq.nsmallest(k, best + near)
         out += [(int(own), v, -s) for s, v in best]
     return out
 
