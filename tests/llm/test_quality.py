@@ -40,7 +40,7 @@ def test_base_counts_match_brute_force(spark):
 
 def test_unlike_documents_are_not_kept(spark):
     prose = [(i, " ".join(f"the w{i}x{j} of y{j} and z{j}" for j in range(30)), "en", "s", 0) for i in range(40)]
-    marks = (90, " ".join(f"&&& $$$ w{j} ### %%%" for j in range(60)), "en", "s", 0)
+    marks = (90, " ".join(f"&&&w{j}### $$$v{j}%%%" for j in range(60)), "en", "s", 0)
     no_words = (91, " ".join(f"qz{j} vv{j}" for j in range(100)), "en", "s", 0)
     got = {r["doc_id"]: r for r in quality(spark.createDataFrame([*prose, marks, no_words], edge.DOCS)).collect()}
     assert not got[90]["kept"] and not got[91]["kept"] and all(got[i]["kept"] for i in range(40))
