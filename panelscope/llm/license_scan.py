@@ -1,8 +1,7 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle
 containment verifies them.
 
-Words are lower-cased and stripped of all but letters, digits, dots and hyphens inside them;
-SHINGLE of them make a shingle. Texts and templates are cut into overlapping windows of
+Words are the lower-case runs of letters and digits; SHINGLE of them make a shingle. Texts and templates are cut into overlapping windows of
 shingles, at several scales. A template is looked up by its windows at every place, at the
 largest scale that fits into it one and a half times; a document's windows start every half
 window, so an exact copy holds a document's window that equals one of the template's. A window's MinHash values are the minima of its shingles' 64-bit hashes under BANDS * ROWS masks
@@ -32,11 +31,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import BROADCAST_BYTES, kept, text_words
+from panelscope.llm.common import BROADCAST_BYTES, kept
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SCALES = (1, 8, 32)  # shingles per window
+BLOCK = 4  # shingles; divides half of every larger scale
 BANDS, ROWS = 6, 2
 SEED_STEP = 0x9E3779B97F4A7C15
 
@@ -104,9 +104,8 @@ TEMPLATES = [
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-case words without marks at their ends; words of marks alone are dropped."""
-    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}.\x20\x09-\x0D-]+", " ")
-    return text_words(F.regexp_replace(marked, r"(?<![\p{L}\p{N}])[.-]+|[.-]+(?![\p{L}\p{N}])", " "))
+    """The lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def shingle_hashes(words: Column) -> Column:
@@ -122,6 +121,10 @@ def _masks() -> list[int]:
     return [v - 2**64 if v >= 2**63 else v for v in values]
 
 
+def _least(hashes: Column, mask: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
+
+
 def window_bands(hashes: Column, scale: int, stride: int) -> Column:
     """Array of structs (scale, start, band): the band values of the windows of ``scale``
     shingles that start every ``stride``; the last one may be shorter. A window of one
@@ -135,7 +138,7 @@ def window_bands(hashes: Column, scale: int, stride: int) -> Column:
 
     def bands(i: Column) -> Column:
         inside = F.slice(hashes, i + 1, F.lit(scale))
-        least = [F.array_min(F.transform(inside, lambda h, m=m: h.bitwiseXOR(F.lit(m)))) for m in _masks()]
+        least = [_least(inside, m) for m in _masks()]
         return F.array(*[F.xxhash64(F.lit(scale), F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
 
     every = F.flatten(
@@ -149,6 +152,42 @@ def window_bands(hashes: Column, scale: int, stride: int) -> Column:
     return F.when(n >= scale, every).otherwise(none)
 
 
+def block_minima(hashes: Column) -> Column:
+    """For every BLOCK shingles the MinHash values of that block; a window's are the least of its blocks'."""
+    names = [f"h{t}" for t in range(BLOCK)]
+    starts = F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(BLOCK))
+    # out of bounds is null, which least() leaves out
+    blocks = F.transform(starts, lambda i: F.struct(*[F.get(hashes, i + t).alias(n) for t, n in enumerate(names)]))
+    minima = F.transform(blocks, lambda b: F.array(*[F.least(*[b[n].bitwiseXOR(F.lit(m)) for n in names]) for m in _masks()]))
+    return F.when(F.size(hashes) > 0, minima).otherwise(F.array().cast("array<array<bigint>>"))
+
+
+def document_bands(n: Column, blocks: Column, scale: int) -> Column:
+    """``window_bands`` of a document with ``n`` shingles for windows that start every half
+    window, from the MinHash values of its blocks."""
+    stride = scale // 2
+    last = F.greatest(n - scale, F.lit(0)) + (stride - 1)
+    starts = F.filter(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: i < n)
+
+    def of_window(i: Column) -> Column:
+        j = F.floor(i / BLOCK).cast("int")
+        inside = [F.get(blocks, j + t) for t in range(scale // BLOCK)]
+        least = [F.least(*[F.get(b, F.lit(m)) for b in inside]) for m in range(BANDS * ROWS)]
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(scale).alias("scale"),
+                    i.cast("int").alias("start"),
+                    F.xxhash64(F.lit(scale), F.lit(b), *least[b * ROWS : (b + 1) * ROWS]).alias("band"),
+                )
+                for b in range(BANDS)
+            ]
+        )
+
+    none = F.array().cast("array<struct<scale:int,start:int,band:bigint>>")
+    return F.when(n >= scale, F.flatten(F.transform(starts, of_window))).otherwise(none)
+
+
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """license, t_words, t_hashes of every template with a word; its scale."""
     if not isinstance(templates, DataFrame):
@@ -196,9 +235,12 @@ def scan_licenses(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("words")
     )
     rows = rows.select("row", "id", shingle_hashes(F.col("words")).alias("hashes"))
-    windows = F.concat(*[window_bands(F.col("hashes"), s, max(1, s // 2)) for s in SCALES])
+    windows = F.concat(
+        window_bands(F.col("hashes"), 1, 1), *[document_bands(F.size("hashes"), F.col("blocks"), s) for s in SCALES[1:]]
+    )
     hits = (
-        rows.select("row", "id", "hashes", windows.alias("windows"))
+        rows.select("row", "id", "hashes", block_minima(F.col("hashes")).alias("blocks"))
+        .select("row", "id", "hashes", windows.alias("windows"))
         # outer: else Spark also filters on the size of the windows, below the projection, and
         # computes each document's hashes again for every window
         .select("row", "id", "hashes", F.explode_outer("windows").alias("w"))
@@ -209,19 +251,18 @@ def scan_licenses(
     slack = F.ceil(n / 5).cast("int")
     begin = F.greatest(F.col("w_start") - F.col("t_start") - slack, F.lit(0))
     there = F.slice("hashes", begin + 1, n + 2 * slack)
-    share = F.size(F.array_intersect("t_hashes", there)) / F.size(F.array_distinct("t_hashes"))
+    common = F.array_intersect(there, "t_hashes")
+    share = F.size(common) / F.size(F.array_distinct("t_hashes"))
+    # equal windows of a template are known by the first place only: the first common shingle tells where the copy is
+    shingle = F.get(common, 0)
+    place = F.greatest(begin + F.array_position(there, shingle) - F.array_position("t_hashes", shingle), F.lit(0))
     found = (
         hits.join(small(known.select(F.col("license").alias("of"), "t_hashes")), F.col("license") == F.col("of"))
-        .select("row", "id", "license", "w_start", "t_start", share.alias("containment"))
+        .select("row", "id", "license", place.alias("place"), share.alias("containment"))
         .where(F.col("containment") >= threshold)
     )
-    place = F.greatest(F.col("w_start") - F.col("t_start"), F.lit(0))
     return (
         found.groupBy("row", "id", "license")
-        .agg(
-            F.max("containment").alias("containment"),
-            F.min(place).cast("long").alias("first_word"),
-            F.count_distinct(place).alias("n_places"),
-        )
+        .agg(F.max("containment").alias("containment"), F.min("place").alias("first_word"), F.count_distinct("place").alias("n_places"))
         .select(F.col("id").alias(id_col), "license", "containment", "first_word", "n_places")
     )
