@@ -32,6 +32,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_COST = 10.0  # below the lowest piece score
 REMEMBERED = 150_000  # segments per task process, in each of two halves
+LONG = 64  # longer segments are not remembered
+TOGETHER = 20_000  # segments walked together
+NO_PIECE = -(1 << 40)  # marks the beginning of a piece that is none itself
+HASH = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
 _NONE = float("-inf")
+Entry = tuple[float, tuple[int, ...], float]
 
 
 class Pieces:
@@ -55,12 +62,23 @@ class Pieces:
         self.text = [m.id_to_piece(i) for i in ids]
         self.score = [m.get_score(i) for i in ids]
         self.id_of = {self.text[i]: i for i in plain}
-        self.steps = {p[:k]: -1 for p in self.id_of for k in range(1, len(p))} | self.id_of
+        self.steps = {p[:k]: NO_PIECE for p in self.id_of for k in range(1, len(p))} | self.id_of
+        # the same as sorted hashes, for many segments at a time
+        hashed = sorted((self._hash(p), i) for p, i in self.steps.items())
+        self.hashes = np.array([h for h, _ in hashed], np.uint64)
+        self.found = np.array([i for _, i in hashed], np.int64)
+        if len(np.unique(self.hashes)) < len(self.hashes):
+            raise ValueError("two beginnings of pieces share a hash")
+        self.scores = np.array(self.score)
         self.byte_id = {int(self.text[i][1:-1], 16): i for i in ids if m.is_byte(i)}
         self.byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.unknown = next((i for i in ids if m.is_unknown(i)), 0)
         self.unknown_score = min((self.score[i] for i in plain), default=0.0) - UNKNOWN_COST
         self.hidden = {i for i in ids if m.is_control(i)}
+        # pieces as text; bytes of longer characters have to be joined first
+        self.part_of_character = np.array([self.byte_of.get(i, b"a")[0] >= 0x80 for i in ids])
+        as_text = lambda i: self.byte_of[i].decode("latin-1") if i in self.byte_of else self.text[i].replace(SPACE, " ")
+        self.shown = np.array(["" if i in self.hidden else as_text(i) for i in ids], object)
         joined = {c for p in self.id_of if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in (*range(9, 14),) if chr(c) not in joined)
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
@@ -69,10 +87,18 @@ class Pieces:
         letter = re.compile(r"[^\W\d_]")
         after = {b for p in self.id_of for a, b in pairwise(p) if letter.match(a)}
         marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not letter.match(c) and c not in after)
-        word = f"{SPACE}*[^\\W\\d_]+(?=[{marks}])|" if marks else ""
+        word = f"{SPACE}*+[^\\W\\d_]++(?=[{marks}])|" if marks else ""
         self.segments = re.compile(f"{word}[{alone or SPACE}]|{SPACE}+(?:{rest})?|{rest}" if not crosses else r"(?s:.+)")
-        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self.older: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.known: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
+        self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * HASH + ord(c) + 1) & _ALL
+        return h
 
     def normalise(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
@@ -90,7 +116,7 @@ class Pieces:
                 piece = steps.get(text[start:end])
                 if piece is None:
                     break
-                if piece < 0:  # the beginning of a piece only
+                if piece == NO_PIECE:  # the beginning of a piece only
                     continue
                 single = single or end == start + 1
                 self._add(edges[end], best, before, (start, piece, score[piece]), end)
@@ -128,41 +154,102 @@ class Pieces:
                 heapq.heappush(heap, (-(best[start] + s + done), (*tail, piece), start, s + done))
         return found
 
-    def first(self, segment: str) -> tuple[float, tuple[int, ...], float]:
-        """A segment's best path (score, piece ids) and how much its second-best path costs more:
-        the best path through any edge that the best path does not use, by the forward scores
-        and the scores to the end."""
-        entry = self.known.get(segment) or self.older.get(segment)
-        if entry is None:
-            entry = self._first(segment)
-        if len(segment) <= 64:
-            if len(self.known) >= REMEMBERED:  # the older half goes; segments in use come back from it
-                self.known, self.older = {}, self.known
-            self.known[segment] = entry
-        return entry
-
-    def _first(self, segment: str) -> tuple[float, tuple[int, ...], float]:
-        best, edges = self.lattice(segment)
-        size = len(segment)
-        after = [_NONE] * size + [0.0]
-        for end in range(size, 0, -1):
-            rest = after[end]
-            for start, _, s in edges[end]:
-                if s + rest > after[start]:
-                    after[start] = s + rest
-        ids, on, at = [], set(), size
-        while at:
-            start, piece, _ = edges[at][0]
-            ids.append(piece)
-            on.add(at)
-            at = start
-        second = _NONE
-        for end in range(1, size + 1):
-            rest = after[end]
-            for start, _, s in edges[end][1:] if end in on else edges[end]:
-                if best[start] + s + rest > second:
-                    second = best[start] + s + rest
-        return best[size], self.ids(tuple(ids[::-1])), best[size] - second
+    def learn(self, segments: set[str]) -> dict[str, Entry]:
+        """Each segment's best path (score, piece ids) and how much its second-best path costs
+        more; what was found before is remembered, short segments only."""
+        known, older = self.known, self.older
+        found = {x: known.get(x) or older.get(x) for x in segments}
+        new = [x for x, entry in found.items() if entry is None]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            found.update(zip(part, self.firsts(part), strict=True))
+        if len(known) + len(found) > REMEMBERED:  # the older half goes; segments in use are kept
+            self.known, self.older = {}, known
+        self.known.update(found if len(found) <= REMEMBERED else ())
+        for x in new:
+            if len(x) > LONG:
+                self.known.pop(x, None)
+        return found
+
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id) of all pieces in segments that are laid out with a 0 after each."""
+        inside = codes != 0
+        starts, ends, ids = [], [], []
+        at = np.flatnonzero(inside)
+        h = np.zeros(len(at), np.uint64)
+        single = ~inside
+        n = 0
+        while len(at):
+            h = h * np.uint64(HASH) + codes[at + n] + np.uint64(1)
+            n += 1
+            k = np.searchsorted(self.hashes, h)
+            k[k == len(self.hashes)] = 0
+            hit = self.hashes[k] == h
+            at, h, k = at[hit], h[hit], self.found[k[hit]]
+            piece = k != NO_PIECE
+            starts.append(at[piece])
+            ends.append(at[piece] + n)
+            ids.append(k[piece])
+            if n == 1:
+                single[at[piece]] = True
+            go_on = inside[at + n]
+            at, h = at[go_on], h[go_on]
+        unknown = np.flatnonzero(~single)
+        starts.append(unknown)
+        ends.append(unknown + 1)
+        ids.append(-1 - codes[unknown].astype(np.int64))
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+
+    def firsts(self, segments: list[str]) -> list[Entry]:
+        """For each segment the best path's score and piece ids, and what the second-best costs
+        more: the best path through any edge that the best path does not use, by the forward
+        scores and the scores to the end. All segments are walked together, place by place."""
+        text = "\0".join(segments) + "\0"
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        stops = np.flatnonzero(codes == 0)  # the place after each segment
+        begins = np.concatenate(([0], stops[:-1] + 1))
+        of = np.repeat(np.arange(len(segments)), stops - begins + 1)
+        place = np.arange(len(codes)) - begins[of]
+        start, end, ids = self._edges(codes)
+        score = np.where(ids >= 0, self.scores[np.maximum(ids, 0)], self.unknown_score)
+
+        best = np.full(len(codes), _NONE)
+        best[begins] = 0.0
+        back = np.zeros(len(codes), np.int64)
+        order = np.lexsort((ids, end, place[end]))
+        for group, ends_at in _steps(place[end][order], end[order]):
+            edge = order[group]
+            s = best[start[edge]] + score[edge]
+            top = np.maximum.reduceat(s, ends_at)
+            sizes = np.diff(np.append(ends_at, len(edge)))
+            first = np.minimum.reduceat(np.where(s == np.repeat(top, sizes), np.arange(len(edge)), len(edge)), ends_at)
+            best[end[edge[ends_at]]] = top
+            back[end[edge[ends_at]]] = edge[first]  # of equal ones the smallest id
+
+        after = np.full(len(codes), _NONE)
+        after[stops] = 0.0
+        order = np.argsort(start - place[start] * len(codes), kind="stable")
+        for group, starts_at in _steps(-place[start][order], start[order]):
+            edge = order[group]
+            after[start[edge[starts_at]]] = np.maximum.reduceat(score[edge] + after[end[edge]], starts_at)
+
+        used = np.zeros(len(ids), bool)
+        at = stops
+        while len(at):
+            used[back[at]] = True
+            at = start[back[at]]
+            at = at[place[at] > 0]
+        through = np.where(used, _NONE, best[start] + score + after[end])
+        order = np.argsort(start, kind="stable")
+        owner = of[start[order]]
+        second = np.maximum.reduceat(through[order], np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
+        path = order[used[order]]
+        counts = np.bincount(of[start[path]], minlength=len(segments))
+        flat, found, to = ids[path].tolist(), [], 0
+        for total, other, n in zip(best[stops].tolist(), second.tolist(), counts.tolist(), strict=True):
+            found.append((total, self.ids(tuple(flat[to : to + n])), total - other))
+            to += n
+        return found
 
     def ids(self, path: tuple[int, ...]) -> tuple[int, ...]:
         """The piece ids of lattice edges: an unknown character is its bytes."""
@@ -177,11 +264,29 @@ class Pieces:
                 out += [self.byte_id.get(b, self.unknown) for b in data] if self.byte_id else [self.unknown]
         return tuple(out)
 
+    def split(self, text: str | None) -> list[str]:
+        """The segments of a text's lattice."""
+        return self.segments.findall(self.normalise((text or "").replace("\0", "\ufffd")))
+
     def nbest(self, text: str | None, n: int) -> list[tuple[float, np.ndarray]]:
         """The n best (score, piece ids) of a text, best first."""
-        segments = self.segments.findall(self.normalise(text or ""))
-        get, first = self.known.get, self.first
-        firsts = [get(s) or first(s) for s in segments]
+        segments = self.split(text)
+        return self.combined(segments, self.learn(set(segments)), n)
+
+    def paths(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best (score, piece ids) of one segment; short ones are remembered."""
+        found = self.searched.get((segment, n))
+        if found is None:
+            found = [(s, self.ids(path)) for s, path in self.search(segment, n)]
+            if len(self.searched) >= REMEMBERED // 10:
+                self.searched.clear()
+            if len(segment) <= LONG:
+                self.searched[segment, n] = found
+        return found
+
+    def combined(self, segments: list[str], learned: dict[str, Entry], n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best (score, piece ids) of a text from its segments' best paths."""
+        firsts = [learned[s] for s in segments]
         base = sum([e[0] for e in firsts])
         best = np.fromiter(chain.from_iterable([e[1] for e in firsts]), np.int32)
         if n == 1 or not firsts:
@@ -190,7 +295,7 @@ class Pieces:
         limit = np.partition(cost, n - 2)[n - 2] if len(cost) >= n else np.inf
         cheap = sorted((cost[k], k) for k in np.flatnonzero(cost <= limit).tolist() if cost[k] < np.inf)[: n - 1]
         chosen = sorted(k for _, k in cheap)  # by place
-        options = [[(s, self.ids(path)) for s, path in self.search(segments[k], n)] for k in chosen]
+        options = [self.paths(segments[k], n) for k in chosen]
         # search backward over the chosen segments; the others keep their best path
         heap: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]  # cost so far, ranks from the last segment
         found: list[tuple[float, tuple[int, ...]]] = []
@@ -216,6 +321,9 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of piece ids: bytes joined, control pieces left out, marks as spaces."""
+        if isinstance(ids, np.ndarray) and not self.part_of_character[ids].any():
+            joined = "".join(self.shown[ids].tolist())
+            return joined[1:] if joined.startswith(" ") else joined
         words: list[str] = []
         pending = b""
         hidden, byte_of, text = self.hidden, self.byte_of, self.text
@@ -253,25 +361,63 @@ def nbest_encode(
     model = model or read_model()
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            rows, size = [], 0
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                for rank, (score, ids) in enumerate(pieces.nbest(text, n), 1):
-                    rows.append((key, rank, score, len(ids), ids, pieces.decode(ids) == (text or "")))
-                    size += len(ids)
-                if size > 1 << 20:
-                    yield pd.DataFrame(rows, columns=COLUMNS)
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=COLUMNS)
+            for part in _parts(batch):
+                split = [pieces.split(text) for _, text in part]
+                learned = pieces.learn({x for segments in split for x in segments})
+                keys, ranks, scores, paths, right = [], [], [], [], []
+                for (key, text), segments in zip(part, split, strict=True):
+                    for rank, (score, ids) in enumerate(pieces.combined(segments, learned, n), 1):
+                        keys.append(key)
+                        ranks.append(rank)
+                        scores.append(score)
+                        paths.append(ids)
+                        right.append(pieces.decode(ids) == (text or ""))
+                yield _batch(keys, ranks, scores, paths, right)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     schema = "id string, rank int, score double, n_pieces long, ids array<int>, round_trip boolean"
-    return rows.mapInPandas(run, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
-
-
-COLUMNS = ["id", "rank", "score", "n_pieces", "ids", "round_trip"]
+    return rows.mapInArrow(run, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+
+
+def _batch(keys: list, ranks: list, scores: list, paths: list, right: list) -> pa.RecordBatch:
+    sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+    flat = np.concatenate(paths) if paths else np.empty(0, np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat, pa.int32()))
+    columns = {
+        "id": pa.array(keys, pa.string()),
+        "rank": pa.array(ranks, pa.int32()),
+        "score": pa.array(scores, pa.float64()),
+        "n_pieces": pa.array(sizes, pa.int64()),
+        "ids": ids,
+        "round_trip": pa.array(right, pa.bool_()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """Rows (id, text) of a batch, a few megabytes of text at a time."""
+    part, size = [], 0
+    for key, text in zip(batch.column("id"), batch.column("text"), strict=True):
+        key, text = key.as_py(), text.as_py()
+        part.append((key, text))
+        size += len(text or "")
+        if size > 1 << 21:
+            yield part
+            part, size = [], 0
+    yield part
+
+
+def _steps(keys: np.ndarray, groups: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The runs of equal sorted ``keys`` as slices, each with where its runs of ``groups`` begin."""
+    cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else [0]
+    new = np.append(True, groups[1:] != groups[:-1]) if len(keys) else np.empty(0, bool)
+    for a, b in pairwise(cuts):
+        begin = new[a:b].copy()
+        begin[0] = True
+        yield slice(a, b), np.flatnonzero(begin)
 
 
 def decode(ids: Column, model: bytes | None = None) -> Column:
