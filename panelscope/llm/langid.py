@@ -7,8 +7,8 @@ each is hashed to a bucket with an embedding. The mean embedding gives the logit
 softmax is linear, prediction adds up one row of logits per subword (embeddings times weights)
 over the whole text, in tasks that hold one Arrow batch; only the model goes to the tasks.
 
-Training reads a bounded sample: at most ``max_docs`` labelled documents, the first of every
-language by a hash, and of each at most FRAGMENTS pieces of PIECE characters drawn from all
+Training reads a bounded sample: at most ``max_docs`` labelled documents, shared evenly among
+the languages, the first of each by a hash, and of each at most FRAGMENTS pieces of PIECE characters drawn from all
 over its text. A fifth of these documents calibrate: the softmax temperature that fits their
 pieces best, and the score below which a text is rejected. That is the score that all but
 ``rejected`` of the calibration pieces that are right reach, and at most one and a half even
@@ -41,6 +41,7 @@ FRAGMENTS = 4
 PIECE = 200
 EPOCHS = 4
 RATE = 0.5
+SPAN = 1 << 31
 TEXT_PART = 1 << 20
 BATCH_CHARS = 1 << 19
 UNKNOWN = "und"
@@ -100,7 +101,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(valid)
         mixed = (h[start] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         found.append((mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
-        owners.append(owner[start + (1 if n > 1 else 0)])  # the second character is never a text's left border
+        owners.append(owner[start + (x[start] == 0)])  # of the n-gram's first letter
     if not found:
         return np.empty(0, np.int32), counts
     ids, own = np.concatenate(found), np.concatenate(owners)
@@ -231,18 +232,21 @@ def fit(
     rejected: float = 0.001,
 ) -> Model | None:
     """Fit a model on a sample of at most ``max_docs`` labelled documents (see above)."""
-    label = F.col(label_col)
-    rows = docs.where(~held_out(id_col) & label.isNotNull() & F.col(text_col).isNotNull())
+    label = F.col(label_col).cast("string")
     place = F.xxhash64(F.col(id_col), F.lit("langid"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
-    # the limit per label lets Spark cut each task's rows before the shuffle; languages take turns
-    first = (
-        rows.select(F.col(text_col).alias("text"), label.alias("label"), place.alias("place"))
-        .withColumn("nth", nth)
-        .where(F.col("nth") <= max_docs)
-        .orderBy("nth", "place")
-        .limit(max_docs)
+    rows = docs.where(~held_out(id_col) & label.isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(text_col).alias("text"), label.alias("label"), place.alias("place")
     )
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_docs).collect()
+    if not counts:
+        return None
+    # a range of the hash that holds about twice each language's share: only these rows are ordered
+    quota = -(-max_docs // len(counts))
+    spans = [(r["label"], int(min(1.0, 2 * quota / r["count"] + 0.01) * SPAN)) for r in counts]
+    spans = F.broadcast(docs.sparkSession.createDataFrame(spans, "of string, span long"))
+    near = rows.join(spans, F.col("label") == F.col("of")).where(F.shiftrightunsigned("place", 33) <= F.col("span"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
+    first = near.withColumn("nth", nth).where(F.col("nth") <= quota).orderBy("nth", "place").limit(max_docs)
     pieces = first.select("text", "label", "place").mapInPandas(_pieces, "piece string, label string, place long, nth int")
     sample = pieces.toPandas().sort_values(["place", "label", "nth", "piece"])
     if not len(sample):
