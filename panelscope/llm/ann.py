@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import blocks_for, kept
 
 DIMS = 8  # even: the chi-square distribution then has a closed form
-CERTAINTY = 0.95
+CERTAINTY = 0.98
 SAMPLE = 20_000
 CELL = 8192  # vectors per cell
 LEAF = 512

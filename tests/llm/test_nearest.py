@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from panelscope.llm import ann
@@ -89,3 +90,26 @@ def test_chi_square_against_simulation():
     for at in (3.0, 8.0, 15.0):
         assert abs(chi_square(at) - (x <= at).mean()) < 0.005
     assert abs(chi_square(ann.STOP) - ann.CERTAINTY) < 1e-6
+
+
+def test_stopping_test_loses_no_more_than_its_certainty(monkeypatch):
+    """One vector a leaf, so that the search of a cell ends by the stopping test alone."""
+    monkeypatch.setattr(ann, "LEAF", 1)
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(4000, 6)) @ rng.normal(size=(6, 32))
+    rows = rows + 0.05 * rng.normal(size=rows.shape)
+    asked = np.arange(0, len(rows), 4)
+    scores = unit(rows)[asked] @ unit(rows).T
+    scores[np.arange(len(asked)), asked] = -9
+    queries = pd.DataFrame({"id": asked, "vec": list(rows[asked]), "bound": -np.inf})
+    got = {q: v for q, v, _ in ann.search_cell(np.arange(len(rows)), rows, queries, 1)}
+    assert np.mean([got[q] == v for q, v in zip(asked.tolist(), scores.argmax(axis=1), strict=True)]) >= 0.985
+
+
+def test_recall_over_many_cells_of_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 500)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(clusters(4000, 32, 5))]
+    got, want = results(nearest(frame(spark, rows), F.col("vec_id") % 50 == 0)), brute(rows, 5)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hits / (5 * len(want)) >= 0.98
