@@ -5,8 +5,8 @@ kind. Other candidate strings are runs of key characters. Per character class, a
 fixed length slides over each of the run's stretches of that class; the counts of its
 characters, and with them the sum of c log2 c, change by one character in and one out. Windows
 whose entropy reaches the class's bound and that mix letters and digits are joined to spans of
-the kind ``entropy``. Spans that an allow-list pattern covers, or that meet a known pattern's
-span, are left out.
+the kind ``entropy``. Spans that an allow-list pattern covers are left out; known patterns'
+spans are cut out of the others, and every part that remains is a span.
 
 Each text is read whole by one Python call; a task holds one Arrow batch. Spans are code
 points with the end exclusive.
@@ -127,15 +127,26 @@ def entropy_spans(text: str, known: list[Span]) -> list[Span]:
                 found[-1] = (found[-1][0], max(b, found[-1][1]))
             else:
                 found.append((a, b))
-    taken = sorted((a, b) for _, a, b in known)
+    taken: list[tuple[int, int]] = []  # the known spans' union
+    for _, a, b in sorted(known, key=lambda s: s[1:]):
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     out, k = [], 0
-    reach = 0
     for a, b in found:
-        while k < len(taken) and taken[k][0] < b:
-            reach = max(reach, taken[k][1])
+        if allowed.fullmatch(text, a, b):
+            continue
+        while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if reach <= a and not allowed.fullmatch(text, a, b):
-            out.append(("entropy", a, b))
+        at, j = a, k
+        while j < len(taken) and taken[j][0] < b:
+            if at < taken[j][0]:
+                out.append(("entropy", at, taken[j][0]))
+            at = taken[j][1]
+            j += 1
+        if at < b:
+            out.append(("entropy", at, b))
     return out
 
 
@@ -159,7 +170,7 @@ def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     """``text`` with every span, or group of spans that meet, replaced by ``mark``."""
     out, at = [], 0
     for _, a, b in sorted(spans, key=lambda s: s[1:]):
-        if a >= at:
+        if a > at or not out:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]])
