@@ -6,7 +6,8 @@ fixed length slides over each of the run's stretches of that class; the counts o
 characters, and with them the sum of c log2 c, change by one character in and one out. Windows
 whose entropy reaches the class's bound and that mix letters and digits are joined to spans of
 the kind ``entropy``. Spans that an allow-list pattern covers are left out; known patterns'
-spans are cut out of the others, and every part that remains is a span.
+spans are cut out of the others, and every part that remains is a span. An allow-list word
+(example, changeme ..) allows the segment between / and = that holds it, not the run around it.
 
 Each text is read whole by one Python call; a task holds one Arrow batch. Spans are code
 points with the end exclusive.
@@ -44,11 +45,15 @@ CLASSES = {
 }
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
-    r"(?i:[A-Za-z0-9+/_=-]*(?:example|placeholder|xxxxx|changeme)[A-Za-z0-9+/_=-]*)",
     r"[0-9+/_=-]+",  # numbers, dates, rules
     r"(?:[A-Za-z]+[-_/+=])+[A-Za-z]+\d{0,4}",  # words joined by marks
 )
 
+# A segment between / and = with one of these words is allowed, but not a long string of letters and digits in it that has none.
+ALLOWED_WORDS = r"(?i:example|placeholder|xxxxx|changeme)"
+SEGMENT = r"[A-Za-z0-9+_-]+"
+STRING = r"[A-Za-z0-9]{20,}"
+
 Span = tuple[str, int, int]
 
 
@@ -61,6 +66,11 @@ def _patterns():
     return kinds, re.compile(CANDIDATE, re.ASCII), classes, re.compile("|".join(ALLOWED), re.ASCII)
 
 
+@lru_cache(maxsize=1)
+def _words():
+    return tuple(re.compile(p, re.ASCII) for p in (ALLOWED_WORDS, SEGMENT, STRING))
+
+
 def known_spans(text: str) -> list[Span]:
     """Spans of the known patterns, by kind."""
     found: list[Span] = []
@@ -111,16 +121,28 @@ def entropy_windows(run: str, bound: float, window: int = WINDOW) -> list[tuple[
     return spans
 
 
+def stretches(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of the run ``text[start:end]`` outside the strings that an allow-list word allows."""
+    word, segment, string = _words()
+    if word.search(text, start, end):
+        for part in segment.finditer(text, start, end):
+            if word.search(text, *part.span()):
+                yield start, part.start()
+                yield from (m.span() for m in string.finditer(text, *part.span()) if not word.search(text, *m.span()))
+                start = part.end()
+    yield start, end
+
+
 def entropy_spans(text: str, known: list[Span]) -> list[Span]:
     """Spans of high entropy outside the known ones and the allow list."""
     _, candidate, classes, allowed = _patterns()
     found: list[tuple[int, int]] = []
-    for run in candidate.finditer(text):
-        if run.group().isalpha() or any(m.span() == run.span() for m in [allowed.fullmatch(text, *run.span())] if m):
+    for start, end in (s for run in candidate.finditer(text) for s in stretches(text, *run.span())):
+        if end - start < WINDOW or text[start:end].isalpha() or allowed.fullmatch(text, start, end):
             continue
         inside: list[tuple[int, int]] = []
         for pattern, bound in classes:
-            for part in pattern.finditer(text, *run.span()):
+            for part in pattern.finditer(text, start, end):
                 inside += [(part.start() + a, part.start() + b) for a, b in entropy_windows(part.group(), bound)]
         for a, b in sorted(inside):
             if found and a <= found[-1][1]:

@@ -94,3 +94,12 @@ def test_parts_of_a_key_beside_known_spans_are_found():
         spans = spans_of(text)[1]
         assert [k for k, *_ in spans] == kinds and redacted(text, spans) == left
         assert all(b <= c for (_, _, b), (_, c, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_an_allowed_word_suppresses_its_own_segment_only():
+    key = "q8Zr2LkVn5Tx0WbYc7Jd4Hs9Mf3GpA6uEi1Xo5Rt"
+    for word in ("example", "PLACEHOLDER", "xxxxx", "changeme"):
+        for text in (f"docs/{word}/config={key}", f"{key}/{word}", f"{word}={key}", f"a/{word}-{key}", f"token/{key}={word}1/{key}"):
+            assert key not in redacted(text, spans_of(text)[1]) and word in redacted(text, spans_of(text)[1])
+        for text in (f"a/my-{word}-key-a1b2c3d4e5f6g7/b", f"{word}KEY1234567890abcdefXYZ", f"{word}_key_1234567890abcdef/{word}"):
+            assert spans_of(text)[1] == []
