@@ -12,7 +12,9 @@ windows always do, and at the smallest scale, one shingle, windows are equal or
 
 Each retrieved place is verified with the shingles themselves: the share of the template's
 shingles that occur in the document's words at that place, and about a fifth of the template's
-length around it, must be at least ``threshold``. A template with fewer than SHINGLE words has
+length around it, must be at least ``threshold``. Of places that overlap, the one with the most
+common shingles is reported: a BSD-3-Clause text holds nearly all of BSD-2-Clause, and a whole
+GPL its own header. A template with fewer than SHINGLE words has
 one shingle, all its words, and is found as such.
 
 The templates' bands are broadcast when their counted size is small, else joined by a shuffle.
@@ -26,6 +28,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +43,11 @@ BLOCK = 4  # shingles; divides half of every larger scale
 BANDS, ROWS = 6, 2
 SEED_STEP = 0x9E3779B97F4A7C15
 
-# Notices and license texts to look for (public texts): identifier, text.
+# Notices and license texts to look for (public texts): identifier, text. Notices and headers are named
+# so; every other text is whole, the long ones in the folder licenses.
+LONG_TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
 TEMPLATES = [
+    *((name, pkgutil.get_data("panelscope.llm", f"licenses/{name}.txt").decode()) for name in LONG_TEXTS),
     ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -70,11 +76,67 @@ TEMPLATES = [
     ),
     (
         "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
-        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
-        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
-        "with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        'CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+        "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+        "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+        "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of "
+        "its contributors may be used to endorse or promote products derived from this software without specific "
+        'prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND '
+        "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT "
+        "NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+        "THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "GPL-2.0-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 2 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details.",
+    ),
+    (
+        "LGPL-2.1-header",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 2.1 of the License, or "
+        "(at your option) any later version. This library is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "LGPL-3.0-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        "the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        "the GNU Affero General Public License for more details.",
     ),
     (
         "GPL-3.0-header",
@@ -86,8 +148,13 @@ TEMPLATES = [
     ),
     (
         "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+        "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
     (
         "MPL-2.0-notice",
@@ -96,9 +163,18 @@ TEMPLATES = [
     ),
     (
         "Unlicense",
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
-        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
-        "purpose, commercial or non-commercial, and by any means.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize "
+        "copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the "
+        "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+        "perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+        '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For "
+        "more information, please refer to <http://unlicense.org/>",
     ),
 ]
 
@@ -258,11 +334,32 @@ def scan_licenses(
     place = F.greatest(begin + F.array_position(there, shingle) - F.array_position("t_hashes", shingle), F.lit(0))
     found = (
         hits.join(small(known.select(F.col("license").alias("of"), "t_hashes")), F.col("license") == F.col("of"))
-        .select("row", "id", "license", place.alias("place"), share.alias("containment"))
+        .select("row", "id", "license", place.alias("place"), n.alias("length"), F.size(common).alias("common"), share.alias("containment"))
         .where(F.col("containment") >= threshold)
     )
+    places = found.groupBy("row", "id", "license", "place", "length").agg(F.max("common").alias("common"), F.max("containment").alias("containment"))
     return (
-        found.groupBy("row", "id", "license")
+        _largest(places)
+        .groupBy("row", "id", "license")
         .agg(F.max("containment").alias("containment"), F.min("place").alias("first_word"), F.count_distinct("place").alias("n_places"))
         .select(F.col("id").alias(id_col), "license", "containment", "first_word", "n_places")
     )
+
+
+def _largest(places: DataFrame) -> DataFrame:
+    """The matches that share no more than half of the shorter one's shingles' places with a larger
+    match of another license: of a row's matches, by most common shingles, then containment, then
+    license, each stays unless one that stays overlaps it."""
+    one = F.struct((-F.col("common")).alias("rank"), (-F.col("containment")).alias("share"), "license", F.col("place").cast("int").alias("place"), "length")
+    none = F.array().cast("array<struct<rank:int,share:double,license:string,place:int,length:int>>")
+
+    def overlap(x: Column, y: Column) -> Column:
+        both = F.least(x["place"] + x["length"], y["place"] + y["length"]) - F.greatest(x["place"], y["place"])
+        return (x["license"] != y["license"]) & (2 * both > F.least(x["length"], y["length"]))
+
+    def stay(kept_: Column, x: Column) -> Column:
+        return F.when(F.exists(kept_, lambda y: overlap(x, y)), kept_).otherwise(F.concat(kept_, F.array(x)))
+
+    rows = places.groupBy("row", "id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    rows = rows.select("row", "id", F.explode(F.aggregate("m", none, stay)).alias("m"))
+    return rows.select("row", "id", "m.license", (-F.col("m.share")).alias("containment"), "m.place")

@@ -65,3 +65,14 @@ def test_edges(spark):
 def test_runs_without_python(spark):
     plan = scan_licenses(edge.docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_siblings_are_told_apart_and_whole_texts_are_asked_for(spark):
+    texts = dict(TEMPLATES)
+    heads = ["GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header"]
+    names = [*heads, "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-2.1"]
+    parts = [texts["BSD-2-Clause"].split(" THIS SOFTWARE")[0], texts["ISC"].split(" THE SOFTWARE")[0], texts["Unlicense"].split(" In jurisdictions")[0]]
+    both = f"{texts['GPL-2.0-header']} {filler(60, 3)} {texts['AGPL-3.0-header']}"
+    got = found(frame(spark, [*(f"{filler(20, k)} {texts[n]}" for k, n in enumerate(names)), both, *parts]))
+    want = {(k, n) for k, n in enumerate(names)} | {(len(names), "GPL-2.0-header"), (len(names), "AGPL-3.0-header")}
+    assert got.keys() == want and all(r["containment"] == 1.0 and r["n_places"] == 1 for r in got.values())
