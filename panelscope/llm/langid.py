@@ -10,10 +10,19 @@ over the whole text, in tasks that hold one Arrow batch; only the model goes to
 Training reads a bounded sample: at most ``max_docs`` labelled documents, shared evenly among
 the languages, the first of each by a hash, and of each at most FRAGMENTS pieces of PIECE characters drawn from all
 over its text. A fifth of these documents calibrate: the softmax temperature that fits their
-pieces best, and the score below which a text is rejected. That is the score that all but
-``rejected`` of the calibration pieces that are right reach, and at most one and a half even
-shares, so that whole documents, which are longer than pieces, are rejected only when they
-resemble no learned language.
+pieces best, and the bounds below which a text is rejected, which all but ``rejected`` of the calibration
+pieces reach:
+
+- its score, of the pieces that are right; a text in two languages has about half for each, so
+  it stays when its two best scores together reach the bound, or its familiarity is less than half
+  way to its own bound;
+- its familiarity, the mean of its subwords' log frequencies, each in the learned language that
+  has it most often: high in any mix of learned languages, low in others, however sure the softmax
+  is. The deviation from the calibration pieces' median, times the root of the number of subwords
+  (short texts vary more; longer ones count as a whole piece), is bounded. Passages in another
+  language than the label's are left out of this bound: what lies beyond STRAY deviations.
+
+With fewer than LEAST_PIECES calibration pieces there is no bound on familiarity.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled
 row every text is; rows with a null label are not learned from; texts over 2^20 characters are
@@ -41,6 +50,8 @@ FRAGMENTS = 4
 PIECE = 200
 EPOCHS = 4
 RATE = 0.5
+LEAST_PIECES = 50  # for a bound on familiarity
+STRAY = 8  # standard deviations, by the median: calibration pieces beyond are of another language than their label
 SPAN = 1 << 31
 TEXT_PART = 1 << 20
 BATCH_CHARS = 1 << 19
@@ -52,7 +63,11 @@ class Model:
     labels: list[str]
     logits: np.ndarray  # BUCKETS x labels: embeddings times weights, over the temperature
     bias: np.ndarray
-    least: float  # scores below are rejected
+    least: float  # scores below are rejected, unless the two best together reach it or the text is familiar
+    logs: np.ndarray  # of each bucket: log frequency in the language that has it most often
+    usual: float  # median familiarity of the calibration pieces
+    spread: float  # familiarity below usual - spread / sqrt(subwords, at most full) is rejected
+    full: int  # subwords of a whole piece
 
 
 @lru_cache(maxsize=1)
@@ -167,24 +182,43 @@ def train(pieces: list[str], labels: list[str], calibrate: list[bool], rejected:
     t = min(loss, key=loss.get) if len(test) else 1.0
     p = _softmax(z[test] / t) if len(test) else np.ones((0, len(names)))
     good = p[np.arange(len(test)), right][p.argmax(axis=1) == right] if len(test) else np.empty(0)
-    even = min(0.5, 1.5 / len(names))  # texts in two languages have about half for each: they stay
-    least = min(even, float(np.quantile(good, rejected))) if len(good) else 0.0
-    return Model(names, (logits / t).astype(np.float32), bias / t, least)
-
-
-def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """(label, score) of each text."""
+    least = float(np.quantile(good, rejected)) if len(good) else 0.0
+    logs = _log_frequencies(ids, counts, y, np.flatnonzero(~held & (counts > 0)), len(names))
+    usual, spread, full = 0.0, math.inf, 1
+    if held.any() and len(test) >= LEAST_PIECES:
+        own = _averages(logs[ids][:, None], counts)[test, 0]
+        full = int(counts[test].max())
+        usual = float(np.median(own))
+        off = (own - usual) * np.sqrt(counts[test])
+        spread = -float(np.quantile(off, rejected))
+        scale = 1.4826 * float(np.median(np.abs(off)))  # of a normal distribution, the standard deviation
+        if scale > 0:
+            spread = min(spread, STRAY * scale)
+    return Model(names, (logits / t).astype(np.float32), bias / t, least, logs.astype(np.float32), usual, spread, full)
+
+
+def _log_frequencies(ids: np.ndarray, counts: np.ndarray, y: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Log frequency of every bucket, add-one smoothed, in the language that has it most often."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    mine = np.isin(owner, rows)
+    seen = np.bincount(y[owner[mine]] * BUCKETS + ids[mine], minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return np.log((seen + 1) / (seen.sum(axis=1, keepdims=True) + BUCKETS)).max(axis=0)
+
+
+def judged(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    """(label, score, rejected) of each text."""
     n = len(texts)
     if model is None:
-        return [UNKNOWN] * n, [0.0] * n
-    sums, counts = np.zeros((n, len(model.labels))), np.zeros(n, np.int64)
+        return [UNKNOWN] * n, [0.0] * n, [True] * n
+    rows_of = np.column_stack([model.logits, model.logs])  # one gather for both
+    sums, counts = np.zeros((n, rows_of.shape[1])), np.zeros(n, np.int64)
     group: list[tuple[int, str]] = []
     size = 0
 
     def flush() -> None:
         if group:
             ids, found = subwords([p for _, p in group])
-            means = _averages(model.logits[ids], found)
+            means = _averages(rows_of[ids], found)
             rows = [i for i, _ in group]
             np.add.at(sums, rows, means * found[:, None])
             np.add.at(counts, rows, found)
@@ -198,15 +232,27 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
                 flush()
                 size = 0
     flush()
-    p = _softmax(sums / np.maximum(counts, 1)[:, None] + model.bias)
-    best = p.argmax(axis=1)
     known = counts > 0
+    sums /= np.maximum(counts, 1)[:, None]
+    p = _softmax(sums[:, :-1] + model.bias)
+    best = p.argmax(axis=1)
+    two = np.sort(p, axis=1)[:, -2:].sum(axis=1)  # a text in two languages has about half for each
+    short = (model.usual - sums[:, -1]) * np.sqrt(np.clip(counts, 1, model.full)) - 1e-6
+    bounded = math.isfinite(model.spread)
+    doubtful = short > model.spread / 2 if bounded else known
+    unsure = (two < model.least - 1e-6) & doubtful
     return (
         [model.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
         np.where(known, p[np.arange(n), best], 0.0).tolist(),
+        (~known | unsure | (short > model.spread)).tolist(),
     )
 
 
+def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """(label, score) of each text."""
+    return judged(model, texts)[:2]
+
+
 def held_out(id_col: str) -> Column:
     """Documents that are never learned from: crc32(id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -258,26 +304,22 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """One row per document: id, held_out, lang_pred, score, rejected."""
     found = predicted(F.col(text_col), model)
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), found.alias("p")).select(
-        id_col, "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), is_rejected(model, F.col("p")).alias("rejected")
+        id_col, "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected")
     )
 
 
 def predicted(text: Column, model: Model | None) -> Column:
-    """Struct of lang and score."""
+    """Struct of lang, score and rejected."""
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, rejected boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        lang, score = predict(model, texts.tolist())
-        return pd.DataFrame({"lang": lang, "score": score})
+        lang, score, rejected = judged(model, texts.tolist())
+        return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
     return run(text)
 
 
-def is_rejected(model: Model | None, found: Column) -> Column:
-    return (found["lang"] == UNKNOWN) | (found["score"] < (model.least if model else 0.0))
-
-
 def drop_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is recognised."""
     rows = docs.select(F.struct("*").alias("row"), predicted(F.col(text_col), model).alias("found"))
-    return rows.where(~is_rejected(model, F.col("found"))).select("row.*")
+    return rows.where("not found.rejected").select("row.*")

@@ -83,3 +83,19 @@ def test_long_texts_are_read_whole(spark, monkeypatch):
     monkeypatch.setattr(langid, "TEXT_PART", 100)
     assert langid.predict(model, [edge.EN + edge.DE * 9])[0] == ["de"]
     assert "".join(langid._parts("ab cd " * 99)) == "ab cd " * 99 and "".join(langid._parts("x" * 999)) == "x" * 999
+
+
+def test_unlearned_languages_are_rejected_and_mixtures_stay(spark):
+    rows = [r for r in corpus(1500, 4) if len(r[1]) > 60]
+    for learned in (["de", "en", "fr"], ["de", "en"], ["fr"]):
+        df = spark.createDataFrame([r for r in rows if r[2] in learned], edge.DOCS)
+        model = langid.fit(df)
+        at = {l: [r[1] for r in rows if r[2] == l] for l in SYLLABLES}
+        for lang, texts in at.items():
+            rejected = np.mean(langid.judged(model, texts)[2])
+            assert rejected <= 0.02 if lang in learned else rejected >= 0.9
+        both = [f"{a} {b}" for a, b in zip(at[learned[0]], at[learned[-1]], strict=False)]
+        assert np.mean(langid.judged(model, both)[2]) <= 0.02
+        random.seed(5)
+        noise = ["".join(random.choices("bcdfghjklmnpqrstvwxz    ", k=200)) for _ in range(50)]
+        assert np.mean(langid.judged(model, noise)[2]) == 1.0
