@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelscope.llm import langid
+from panelscope.llm import langid, oracle
 from panelscope.llm.ann import nearest
+from panelscope.llm.conversation_repair import repair_reports
+from panelscope.llm.decontamination import decontaminate
 from panelscope.llm.divergence import quality
+from panelscope.llm.filter_audit import audit_filters
 from panelscope.llm.license_scan import scan_licenses
 from panelscope.llm.mixing import mix
 from panelscope.llm.pieces import nbest_encode
@@ -67,6 +70,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_reports(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality,
         op10_secret_scan,
+        op11_filter_audit,
+        op12_decontamination,
+        op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -123,4 +141,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM written JOIN firsts ON d = payload_digest
 """,
+    "op11_filter_audit": oracle.FILTER_AUDIT,
+    "op12_decontamination": oracle.DECONTAMINATION,
+    "op13_conversation_repair": oracle.CONVERSATION_REPAIR,
 }
