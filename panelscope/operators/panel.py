@@ -7,7 +7,7 @@ is one scan plus one aggregation by unit instead of a self-join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +34,18 @@ def period_delta(
     pct_digits: int = 2,
     direction: str = "lag",
     tiebreak: str | None = None,
+    segmented: bool = False,
 ) -> DataFrame:
     """Previous (``lag``) or next (``lead``) value of ``measure`` per unit along the
     period order, with optional absolute and percent change (NULL when previous is 0).
-    Without ``unit`` the window is global: use it only on frames aggregated per period."""
-    w = _w(unit, period, tiebreak)
-    other = F.lag(measure).over(w) if direction == "lag" else F.lead(measure).over(w)
-    out = df.withColumn(prev, other)
+    Without ``unit`` the window is global: use it only on frames aggregated per period. With
+    ``segmented`` by ``unit_scan``, for data where one unit may be hot (``tiebreak`` must then
+    be a unique column)."""
+    if segmented:
+        out = unit_scan(df, unit, [period, tiebreak], measure, **{"prev" if direction == "lag" else "next": prev})
+    else:
+        w = _w(unit, period, tiebreak)
+        out = df.withColumn(prev, F.lag(measure).over(w) if direction == "lag" else F.lead(measure).over(w))
     if delta:
         out = out.withColumn(delta, F.col(measure) - F.col(prev))
     if pct:
@@ -57,12 +62,26 @@ def running_total(df: DataFrame, unit: str, period: str, measure: str, out: str,
     return df.withColumn(out, F.sum(measure).over(w))
 
 
-def moving_avg(df: DataFrame, unit: str, period: str, measure: str, n: int, out: str, digits: int | None = None) -> DataFrame:
+def moving_avg(
+    df: DataFrame,
+    unit: str,
+    period: str,
+    measure: str,
+    n: int,
+    out: str,
+    digits: int | None = None,
+    tiebreak: str | None = None,
+    segmented: bool = False,
+) -> DataFrame:
     """AVG over the current and n-1 preceding rows per unit (the frame shrinks at the
-    start); rounded when ``digits`` is given."""
-    w = _w(unit, period).rowsBetween(-(n - 1), Window.currentRow)
-    val = F.avg(measure).over(w)
-    return df.withColumn(out, round_half_up(val, digits) if digits is not None else val)
+    start; NULLs don't count, a frame of NULLs alone has none); rounded when ``digits`` is given.
+    With ``segmented`` by ``unit_frame``, for data where one unit may be hot (``tiebreak`` must
+    then be a unique column)."""
+    if segmented:
+        framed = unit_frame(df, unit, [period, tiebreak], measure, {out: F.avg}, n - 1)
+    else:
+        framed = df.withColumn(out, F.avg(measure).over(_w(unit, period, tiebreak).rowsBetween(-(n - 1), Window.currentRow)))
+    return framed.withColumn(out, round_half_up(F.col(out), digits)) if digits is not None else framed
 
 
 def period_compare(
@@ -128,6 +147,27 @@ def top_trajectories(df: DataFrame, unit: str, score: Column, k: int, score_name
     return df.join(F.broadcast(top), unit)
 
 
+def _segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned on (keys, order) with its range as ``_seg``, written once into the
+    shared checkpoint folder, so that everything that reads it sees the same segments."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_SEGMENT))
+    return df.repartitionByRange(n, *keys, *order).withColumn("_seg", F.spark_partition_id()).checkpoint()
+
+
+def _same_segment(keys: Sequence[str]) -> Column:
+    """Rows (keys, _seg) meet the segment table's (_u0.., _s); null keys are a unit like any other."""
+    same = F.col("_seg") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_u{i}"))
+    return same
+
+
+def _unit_names(keys: Sequence[str]) -> list[str]:
+    return [f"_u{i}" for i in range(len(keys))]
+
+
 def unit_scan(
     df: DataFrame,
     unit: str | Sequence[str],
@@ -136,47 +176,105 @@ def unit_scan(
     prev: str | None = None,
     cum: str | None = None,
     partitions: int | None = None,
+    next: str | None = None,
 ) -> DataFrame:
-    """LAG(value) and the running SUM(value) per unit along ``order`` without putting a
-    unit's rows into one task, for data where one unit may hold a large share of the rows.
+    """LAG(value), LEAD(value) and the running SUM(value) per unit along ``order`` without
+    putting a unit's rows into one task, for data where one unit may hold a large share of the
+    rows.
 
     ``order`` must end in a unique tie-break. The rows are range-partitioned on
     (unit, *order), which splits a hot unit over many tasks, and written once with their
     segment (the range) into the shared checkpoint folder, so that everything below reads
     the same segments. The windows then run per (unit, segment), and a window over the small
-    per-segment table (one row per segment) carries the previous segment's last value and
-    running total across segment borders. Equal to the plain window (``period_delta`` /
-    ``running_total``) with the same ordering; all columns of ``df`` are kept.
+    per-segment table (one row per segment) carries the last value and the running total of the
+    segments before, and the first value of the next one that has rows of the unit, across
+    segment borders. Equal to the plain window (``period_delta`` / ``running_total``) with the
+    same ordering; all columns of ``df`` are kept.
     """
     order = list(order)
     keys = [unit] if isinstance(unit, str) else list(unit)
-    spark = df.sparkSession
-    shared_dir(spark)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_SEGMENT))
-    r = df.repartitionByRange(n, *keys, *order).withColumn("_seg", F.spark_partition_id()).checkpoint()
+    r = _segments(df, keys, order, partitions)
     w = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    seg = r.groupBy(*keys, "_seg").agg(F.max_by(value, F.struct(*order)).alias("_last"), F.sum(value).alias("_tot"))
+    place = F.struct(*order)
+    seg = r.groupBy(*keys, "_seg").agg(
+        F.max_by(value, place).alias("_last"), F.min_by(value, place).alias("_first"), F.sum(value).alias("_tot")
+    )
     ws = Window.partitionBy(*keys).orderBy("_seg")
     seg = seg.select(
-        *[F.col(k).alias(f"_u{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(u) for k, u in zip(keys, _unit_names(keys), strict=True)],
         F.col("_seg").alias("_s"),
         F.lag("_last").over(ws).alias("_prev_last"),
+        F.lead("_first").over(ws).alias("_next_first"),
         F.sum("_tot").over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"),
     )
     r = r.withColumn("_rn", F.row_number().over(w))
     if prev:
         r = r.withColumn("_lag", F.lag(value).over(w))
+    if next:
+        r = r.withColumn("_lead", F.lead(value).over(w)).withColumn("_ends", F.lead(F.lit(1)).over(w).isNull())
     if cum:
         r = r.withColumn("_cum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    same = F.col("_seg") == F.col("_s")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_u{i}"))
-    out = r.join(seg, same)
+    out = r.join(seg, _same_segment(keys))
     if prev:
         out = out.withColumn(prev, F.when(F.col("_rn") == 1, F.col("_prev_last")).otherwise(F.col("_lag")))
+    if next:
+        out = out.withColumn(next, F.when(F.col("_ends"), F.col("_next_first")).otherwise(F.col("_lead")))
     if cum:
         both_null = F.col("_cum").isNull() & F.col("_offset").isNull()
         out = out.withColumn(
             cum, F.when(~both_null, F.coalesce(F.col("_cum"), F.lit(0)) + F.coalesce(F.col("_offset"), F.lit(0)))
         )
-    return out.drop("_seg", "_s", "_rn", "_lag", "_cum", "_prev_last", "_offset", *[f"_u{i}" for i in range(len(keys))])
+    inner = ["_seg", "_s", "_rn", "_lag", "_lead", "_ends", "_cum", "_prev_last", "_next_first", "_offset"]
+    return out.drop(*inner, *_unit_names(keys))
+
+
+def unit_frame(
+    df: DataFrame,
+    unit: str | Sequence[str],
+    order: Sequence[str],
+    value: str,
+    aggregates: dict[str, Callable[[Column], Column]],
+    preceding: int,
+    following: int = 0,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Aggregates of ``value`` over ROWS BETWEEN preceding AND following per unit, for data where
+    one unit may hold a large share of the rows (a halo exchange).
+
+    ``order`` must end in a unique tie-break; ``aggregates`` maps an output name to a function of
+    the value, as F.avg. The rows are split into segments as in ``unit_scan``. A segment's frames
+    reach at most ``preceding`` rows back and ``following`` ahead of it; those rows, by their
+    position in the unit, are the halo. They lie at the borders of the segments next to it, or
+    of several where one is shorter than the frame, so only border rows are sent, each by a join
+    on (unit, position), and the window then runs per (unit, segment) over its rows and its halo.
+    """
+    order = list(order)
+    keys = [unit] if isinstance(unit, str) else list(unit)
+    names = _unit_names(keys)
+    r = _segments(df, keys, order, partitions)
+    sizes = r.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    seg = sizes.select(
+        *[F.col(k).alias(u) for k, u in zip(keys, names, strict=True)],
+        F.col("_seg").alias("_s"),
+        "_size",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+    )
+    numbered = r.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)))
+    placed = numbered.join(seg, _same_segment(keys)).withColumn("_pos", F.col("_offset") + F.col("_rn"))
+    border = (F.col("_rn") <= following) | (F.col("_rn") > F.col("_size") - preceding)
+    edges = placed.where(border).select(*[F.col(u).alias(f"_e{i}") for i, u in enumerate(names)], F.col("_pos").alias("_at"), F.col(value).alias("_edge"))
+    start, end = F.col("_offset"), F.col("_offset") + F.col("_size")
+    reach = [F.sequence(start - preceding + 1, start)] if preceding else []
+    reach += [F.sequence(end + 1, end + following)] if following else []
+    if reach:
+        needed = seg.select(*names, "_s", F.explode(F.concat(*reach)).alias("_pos")).where("_pos > 0")
+        same = F.col("_pos") == F.col("_at")
+        for i, u in enumerate(names):
+            same = same & F.col(u).eqNullSafe(F.col(f"_e{i}"))
+        halo = needed.join(edges, same).select(*[F.col(u).alias(k) for k, u in zip(keys, names, strict=True)], F.col("_s").alias("_seg"), "_pos", F.col("_edge").alias("_value"))
+    own = placed.withColumn("_own", F.lit(True)).withColumn("_value", F.col(value)).drop("_rn", "_s", "_size", "_offset", *names)
+    every = own.unionByName(halo, allowMissingColumns=True) if reach else own
+    w = Window.partitionBy(*keys, "_seg").orderBy("_pos").rowsBetween(-preceding, following)
+    found = every.withColumns({name: of(F.col("_value")).over(w) for name, of in aggregates.items()})
+    return found.where("_own").drop("_seg", "_pos", "_own", "_value")

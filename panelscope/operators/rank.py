@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.operators.panel import unit_scan
+from panelscope.operators.panel import _same_segment, _segments, _unit_names, unit_scan
 
 
 def _better(h_val: Column, r_val: Column, desc: bool) -> Column:
@@ -84,6 +84,101 @@ def rank_rows(
     return pairs.groupBy(*cols).agg((F.sum(better) + 1).cast("long").alias(out))
 
 
+def _falling(df: DataFrame, column: str) -> Column:
+    """A key that rises where ``column`` falls: the bitwise complement of integers (it cannot
+    overflow), the negative of other numbers."""
+    integral = df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.bitwise_not(column) if integral else -F.col(column)
+
+
+def positions(
+    df: DataFrame,
+    value: str,
+    tiebreak: str,
+    group: Sequence[str] = (),
+    desc: bool = True,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Adds ``row_no`` (place in the order of value and the unique ``tiebreak``), ``first_row`` and
+    ``last_row`` (places of the first and last row of equal value) and ``n_rows``, all of the row's
+    group, for frames of any size: no window holds more than a range of the rows.
+
+    The rows are range-partitioned on (group, value, tiebreak) and written once with their
+    segment. Windows within a segment give local places; the per-segment table (one row per
+    group and segment) carries row counts across borders, and the border of the last tied value:
+    a run of equal values may start some segments before and end some after. Falling orders put
+    NULLs last, rising ones first. Every ranking function follows from these columns: RANK is
+    first_row, ROW_NUMBER is row_no, see ``ntile_from`` and ``percent_rank_from``.
+    """
+    # One group of all rows where none is asked for: its constant key only heads the order.
+    keys = list(group) or ["_all"]
+    rows = df if group else df.withColumn("_all", F.lit(0))
+    key = _falling(df, value) if desc else F.col(value)
+    rows = rows.withColumn("_null", F.col(value).isNull() if desc else F.col(value).isNotNull()).withColumn("_key", key)
+    r = _segments(rows, keys, ["_null", "_key", tiebreak], partitions)
+    here = Window.partitionBy(*keys, "_seg").orderBy("_null", "_key")
+    tied = Window.partitionBy(*keys, "_seg", "_null", "_key")
+    r = r.withColumns(
+        {
+            "_rn": F.row_number().over(here.orderBy("_null", "_key", tiebreak)),
+            "_rank": F.rank().over(here),
+            "_ties": F.count(F.lit(1)).over(tied),
+        }
+    )
+    at = F.struct("_null", "_key")
+    seg = r.groupBy(*keys, "_seg").agg(
+        F.count(F.lit(1)).alias("_size"), F.min(at).alias("_low"), F.max(at).alias("_high"), F.max("_rank").alias("_top"), F.min_by("_ties", "_rank").alias("_run")
+    )
+    along = Window.partitionBy(*keys).orderBy("_seg")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    offset = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    seg = seg.withColumn("_offset", offset).withColumn("_fresh", ~F.coalesce(F.lag("_high").over(along) == F.col("_low"), F.lit(False)))
+    begins = F.when(F.col("_top") > 1, F.col("_offset") + F.col("_top")).when(F.col("_fresh"), F.col("_offset") + 1)  # of its last run
+    ends = F.when(F.col("_fresh"), F.col("_offset")).when(F.col("_run") < F.col("_size"), F.col("_offset") + F.col("_run"))  # the first end from its start on
+    seg = seg.withColumn("_begins", begins).withColumn("_ends", ends)
+    total = F.sum("_size").over(Window.partitionBy(*keys))
+    seg = seg.select(
+        *[F.col(k).alias(u) for k, u in zip(keys, _unit_names(keys), strict=True)],
+        F.col("_seg").alias("_s"),
+        "_size",
+        "_offset",
+        "_fresh",
+        total.alias("n_rows"),
+        F.last("_begins", ignorenulls=True).over(earlier).alias("_run_start"),
+        F.coalesce(F.first("_ends", ignorenulls=True).over(later), total).alias("_run_end"),
+    )
+    out = r.join(seg, _same_segment(keys))
+    starts_here = (F.col("_rank") > 1) | F.col("_fresh")
+    local_end = F.col("_rank") + F.col("_ties") - 1
+    out = out.withColumns(
+        {
+            "row_no": (F.col("_offset") + F.col("_rn")).cast("long"),
+            "first_row": F.when(starts_here, F.col("_offset") + F.col("_rank")).otherwise(F.col("_run_start")).cast("long"),
+            "last_row": F.when(local_end < F.col("_size"), F.col("_offset") + local_end).otherwise(F.col("_run_end")).cast("long"),
+        }
+    )
+    inner = ["_all", "_null", "_key", "_seg", "_s", "_rn", "_rank", "_ties", "_size", "_offset", "_fresh", "_run_start", "_run_end"]
+    return out.drop(*inner, *_unit_names(keys))
+
+
+def ntile_from(n: int, row_no: str = "row_no", n_rows: str = "n_rows") -> Column:
+    """NTILE(n) from a row's place and the number of rows: the first (rows mod n) tiles hold one
+    row more than the others."""
+    row, rows = F.col(row_no) - 1, F.col(n_rows)
+    short = F.floor(rows / n)
+    longer = (rows % n) * (short + 1)  # rows in the longer tiles
+    # Spark evaluates the second branch only beyond them, where the short tiles have rows.
+    tile = F.when(row < longer, F.floor(row / (short + 1))).otherwise(rows % n + F.floor((row - longer) / F.greatest(short, F.lit(1))))
+    return (tile + 1).cast("long")
+
+
+def percent_rank_from(reverse: bool = False, n_rows: str = "n_rows") -> Column:
+    """PERCENT_RANK in [0, 1] from ``positions``; with ``reverse`` that of the opposite order."""
+    before = F.col(n_rows) - F.col("last_row") if reverse else F.col("first_row") - 1
+    return F.when(F.col(n_rows) > 1, before / (F.col(n_rows) - 1)).otherwise(F.lit(0.0))
+
+
 def top_n_per(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, out: str = "rn") -> DataFrame:
     """ROW_NUMBER() top-n per group. ``order`` must end in a unique tie-break. Catalyst
     plans a partial WindowGroupLimit before the shuffle, so each map task sends at most

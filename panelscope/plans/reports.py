@@ -51,10 +51,26 @@ from panelscope.operators.panel import (
     top_units,
     unit_scan,
 )
-from panelscope.operators.rank import composite_rank, global_rank, ntile_of, pct_rank_of, rank_in, top_n_per
+from panelscope.operators.rank import (
+    composite_rank,
+    global_rank,
+    ntile_from,
+    ntile_of,
+    pct_rank_of,
+    percent_rank_from,
+    positions,
+    rank_in,
+    top_n_per,
+)
 from panelscope.operators.score import composite_index
+from panelscope.operators.space import Box, box_filter
+from panelscope.operators.stats import kth_in
 from panelscope.plans import views
+from panelscope.plans.store import ViewStore
+from panelscope.sources.checked import load_checked
+from panelscope.sources.clustering import write_clustered, write_gridded
 from panelscope.sources.flat import normalize_flat
+from panelscope.sources.flat_store import FlatStore
 from panelscope.sources.schema import TABLE_NAMES
 from panelscope.sources.tables import Tables, load_tables, scratch_path
 
@@ -513,7 +529,30 @@ def lead_next_round(t: Tables) -> DataFrame:
     """Each observation with its settlement's value in the next round."""
     rows = _obs(t).select("observation_id", "settlement_id", "round_id", "idp_arrivals")
     return period_delta(
-        rows, "idp_arrivals", "round_id", unit="settlement_id", prev="next_round_arrivals", direction="lead", tiebreak="observation_id"
+        rows,
+        "idp_arrivals",
+        "round_id",
+        unit="settlement_id",
+        prev="next_round_arrivals",
+        direction="lead",
+        tiebreak="observation_id",
+        segmented=t.unit_key_bounded is False,  # a settlement may hold a third of all rows
+    )
+
+
+def w2_moving_avg_settlement(t: Tables) -> DataFrame:
+    """Each observation with the mean security level of its settlement's last three rows."""
+    rows = _obs(t).select("observation_id", "settlement_id", "round_id", "security_situation")
+    return moving_avg(
+        rows,
+        "settlement_id",
+        "round_id",
+        "security_situation",
+        3,
+        "moving_avg_3_rounds",
+        digits=4,
+        tiebreak="observation_id",
+        segmented=t.unit_key_bounded is False,
     )
 
 
@@ -543,6 +582,26 @@ def w3_province_percentiles(t: Tables) -> DataFrame:
     ).orderBy(_down("total_idps"), "province_id").drop("province_id")
 
 
+def w3_settlement_percentiles(t: Tables) -> DataFrame:
+    """The ranks of w3 for settlements: as many rows as the panel has units, so the places come
+    from a segmented order of them all instead of a window in one task."""
+    totals = _obs(t).groupBy("settlement_id").agg(F.sum("idp_arrivals").cast("long").alias("total_idps"))
+    return positions(totals, "total_idps", "settlement_id").select(
+        "settlement_id",
+        "total_idps",
+        F.col("first_row").alias("rank_by_total"),
+        ntile_from(4).alias("quartile"),
+        round_half_up(percent_rank_from(reverse=True) * F.lit(100.0), 1).alias("percentile"),
+    )
+
+
+def d2_median_by_province_round(t: Tables) -> DataFrame:
+    """The positional median of arrivals (the value at COUNT(*) div 2) of every province and round."""
+    rows = with_geo(_obs(t), t).select("province_id", "round_id", "idp_arrivals")
+    medians = kth_in(rows, ["province_id", "round_id"], "idp_arrivals", out="median_arrivals")
+    return medians.join(province_labels(t), "province_id").orderBy("province_id", "round_id").select("province_name", "round_id", "median_arrivals")
+
+
 def w4_top3_per_province(t: Tables, round_id: int = LATEST_ROUND, n: int = 3) -> DataFrame:
     o = with_geo(_obs(t).where(F.col("round_id") == round_id), t).select(
         "settlement_id", "district_id", "province_id", "idp_arrivals", "security_situation", "humanitarian_aid_delivered"
@@ -871,9 +930,7 @@ def s2_csv_province_burden(t: Tables) -> DataFrame:
 
 def s9_flat_roundtrip(t: Tables) -> DataFrame:
     """The panel flattened, normalised again, and shown by codes: every observation comes back."""
-    more = t.settlements.select("settlement_code", "adm2_code", "pashtun_greg", "pashtun_ethno")
-    flat = views.v2_observations_full(t).join(more, "settlement_code")
-    n = normalize_flat(flat)
+    n = normalize_flat(_flat(t))
     places = n.settlements.join(n.districts, "adm2_code").select("settlement_id", "settlement_code", "adm2_code")
     rows = n.observations.join(places, "settlement_id").join(n.small("survey_rounds"), "round_id")
     return rows.select(
@@ -881,6 +938,112 @@ def s9_flat_roundtrip(t: Tables) -> DataFrame:
     )
 
 
+def _flat(t: Tables) -> DataFrame:
+    more = t.settlements.select("settlement_code", "adm2_code", "pashtun_greg", "pashtun_ethno")
+    return views.v2_observations_full(t).join(more, "settlement_code")
+
+
+def s9_incremental_load(t: Tables) -> DataFrame:
+    """The flattened panel in two loads: first without the settlements whose code ends in 1, 2 or 3,
+    then all of it, with some codes and labels missing. Every row of both loads comes back once,
+    with its ids or the reason why it was rejected."""
+    spark = t.observations.sparkSession
+    flat, last = _flat(t), F.right("settlement_code", F.lit(1))
+    store = FlatStore(spark, scratch_path(spark, "flat-store"))
+    store.append(flat.where(~last.isin("1", "2", "3")))
+    no_code = F.when(last != "7", F.col("settlement_code"))
+    no_label = F.when(last != "8", F.col("round_label"))
+    store.append(flat.withColumns({"settlement_code": no_code, "round_label": no_label}))
+    n = store.tables()
+    codes = n.settlements.select("settlement_id", "settlement_code")
+    taken = store.observations().join(codes, "settlement_id").join(n.small("survey_rounds"), "round_id")
+    ids = ["settlement_id", "round_id", "observation_id"]
+    shown = ["load", "settlement_code", "round_label", "idp_arrivals", *ids]
+    away = store.rejected().select(*[c for c in shown if c not in ids], "reason")
+    return taken.select(*shown).unionByName(away, allowMissingColumns=True)
+
+
+def s2_checked_load(t: Tables) -> DataFrame:
+    """The tables as CSV, with faults in rows picked by id, loaded with a reject table: accepted
+    and rejected lines by table and rule."""
+    spark = t.observations.sparkSession
+    path = scratch_path(spark, "faulty-csv")
+    faults = {
+        "observations": {
+            "idp_arrivals": F.when(F.col("observation_id") % 101 == 0, "n/a"),
+            "security_situation": F.when(F.col("observation_id") % 103 == 0, "9"),
+            "round_id": F.when(F.col("observation_id") % 107 == 0, "99"),
+            "settlement_id": F.when(F.col("observation_id") % 109 == 0, ""),
+        },
+        "settlements": {"adm2_code": F.when(F.col("settlement_id") % 53 == 0, "nowhere")},
+    }
+    for name in TABLE_NAMES:
+        rows = t[name]
+        if name == "observations":
+            copies = F.when(F.col("observation_id") % 113 == 0, 2).otherwise(1)
+            rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+        wrong = faults.get(name, {})
+        shown = [F.coalesce(wrong[c], F.col(c).cast("string")).alias(c) if c in wrong else F.col(c) for c in rows.columns]
+        rows.select(*shown).write.option("header", True).option("emptyValue", "").csv(f"{path}/{name}.csv")
+    load = load_checked(spark, path)
+    accepted = None
+    for name in TABLE_NAMES:
+        counted = load.tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.lit("accepted").alias("rule"), "n")
+        accepted = counted if accepted is None else accepted.unionByName(counted)
+    rejected = load.rejected.groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return accepted.where("n > 0").unionByName(rejected).select("table_name", "rule", F.col("n").alias("lines"))
+
+
+# ── lookups in layouts that skip ─────────────────────────────────────────────────────
+
+
+def s6_clustered_lookup(t: Tables) -> DataFrame:
+    """One province's observations of the latest round, from the fact in z-order of round and place."""
+    spark = t.observations.sparkSession
+    path = scratch_path(spark, "clustered")
+    write_clustered(t, path)
+    rows = spark.read.parquet(path).where((F.col("round_id") == LATEST_ROUND) & (F.col("province_id") == 3))
+    return rows.select("observation_id", "settlement_id", "district_id", "idp_arrivals", "security_situation")
+
+
+def p15_box_lookup(t: Tables) -> DataFrame:
+    """Settlements within a four-sided box, from the settlements in grid order."""
+    spark = t.observations.sparkSession
+    path = scratch_path(spark, "gridded")
+    write_gridded(t.settlements, path)
+    box = Box(south=31.5, north=36.0, west=62.5, east=66.25)
+    return box_filter(spark.read.parquet(path), box).select("settlement_id", "settlement_code", "latitude", "longitude")
+
+
+# ── the summary views from stored states ─────────────────────────────────────────────
+
+
+def _stored(t: Tables) -> ViewStore:
+    """A store of the panel whose latest round was incomplete, then refreshed."""
+    spark = t.observations.sparkSession
+    store = ViewStore(spark, scratch_path(spark, "view-store"))
+    early = (F.col("round_id") != LATEST_ROUND) | (F.col("observation_id") % 2 == 0)
+    store.refresh(t.with_observations(t.observations.where(early)))
+    store.refresh(t)
+    return store
+
+
+def v3_stored(t: Tables) -> DataFrame:
+    return _stored(t).province_summary(t)
+
+
+def v4_stored(t: Tables) -> DataFrame:
+    return _stored(t).national_dashboard(t).orderBy("round_id")
+
+
+def q2a_stored(t: Tables) -> DataFrame:
+    return _stored(t).province_burden(t).orderBy(_down("total_idp_arrivals"), "province_name")
+
+
+def s1_stored(t: Tables) -> DataFrame:
+    return _stored(t).top_provinces(t, LATEST_ROUND, 10)
+
+
 # ── declared constraints as audits ───────────────────────────────────────────────────
 
 
@@ -916,6 +1079,7 @@ REPORTS = {
         ("c2_null_by_round", c2_null_by_round),
         ("d1_security_distribution", d1_security_distribution),
         ("d2_idp_summary", d2_idp_summary),
+        ("d2_median_by_province_round", d2_median_by_province_round),
         ("d3_aid_type_shares", d3_aid_type_shares),
         ("d4_did_group_sizes", d4_did_group_sizes),
         ("q1a_idp_by_round", q1a_idp_by_round),
@@ -938,7 +1102,9 @@ REPORTS = {
         ("w1_panel_full", w1_panel_full),
         ("lead_next_round", lead_next_round),
         ("w2_moving_avg_security", w2_moving_avg_security),
+        ("w2_moving_avg_settlement", w2_moving_avg_settlement),
         ("w3_province_percentiles", w3_province_percentiles),
+        ("w3_settlement_percentiles", w3_settlement_percentiles),
         ("w4_top3_per_province", w4_top3_per_province),
         ("c1x_deteriorated", c1x_deteriorated),
         ("c2x_vulnerability_index", c2x_vulnerability_index),
@@ -963,6 +1129,14 @@ REPORTS = {
         ("v4_by_name", v4_by_name),
         ("s2_csv_province_burden", s2_csv_province_burden),
         ("s9_flat_roundtrip", s9_flat_roundtrip),
+        ("s9_incremental_load", s9_incremental_load),
+        ("s2_checked_load", s2_checked_load),
+        ("s6_clustered_lookup", s6_clustered_lookup),
+        ("p15_box_lookup", p15_box_lookup),
+        ("v3_stored", v3_stored),
+        ("v4_stored", v4_stored),
+        ("q2a_stored", q2a_stored),
+        ("s1_stored", s1_stored),
         ("dq_not_null", dq_not_null),
         ("dq_unique_keys", dq_unique_keys),
         ("dq_foreign_keys", dq_foreign_keys),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelscope.functions.expr import SECURITY_LABELS, count_where, label_levels, mean_r, pct
 from panelscope.operators.geo import province_labels, settlement_full, with_geo, with_rounds
 from panelscope.operators.score import priority_score
-from panelscope.sources.schema import AID_FLAGS, RESOLUTION_COLS, SERVICE_FLAGS
+from panelscope.sources.schema import AID_FLAGS, RESOLUTION_COLS, SERVICE_FLAGS, TABLE_NAMES
 from panelscope.sources.tables import LABEL_BROADCAST_MAX_ROWS, Tables
 
 
@@ -167,12 +167,17 @@ VIEWS = {
 }
 
 
-def register_views(t: Tables) -> None:
-    """CREATE OR REPLACE TEMP VIEW for the five tables and the five views."""
-    for name in ("provinces", "districts", "settlements", "survey_rounds", "observations"):
-        t[name].createOrReplaceTempView(name)
-    for name, fn in VIEWS.items():
-        fn(t).createOrReplaceTempView(name)
+def register_views(t: Tables, replace: bool = True) -> list[str]:
+    """Register the five tables and the five views as temp views, replacing those of the names;
+    with ``replace`` off as CREATE VIEW IF NOT EXISTS does: a name that exists stays as it is.
+    Returns the names registered."""
+    spark = t.observations.sparkSession
+    made = []
+    for name in [*TABLE_NAMES, *VIEWS]:
+        if replace or not spark.catalog.tableExists(name):
+            (t[name] if name in TABLE_NAMES else VIEWS[name](t)).createOrReplaceTempView(name)
+            made.append(name)
+    return made
 
 
 def register_reports(t: Tables, prefix: str = "report_") -> list[str]:

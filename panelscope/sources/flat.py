@@ -10,11 +10,15 @@ Ids are the same however often the tables are read: provinces, districts and rou
 there are few, are numbered in the order of their codes; settlements, which grow with the
 panel, by a running count over ranges of their codes (``unit_scan``); an observation's id is
 made of its settlement's and its round's, so rows that repeat both show as duplicate keys.
+
+A row without one of the four codes has no place in the panel: ``normalize_flat`` leaves it out and
+``flat_rejects`` lists it with the reason, so normalised rows and rejected ones are all rows.
+Ids that stay over several loads: ``FlatStore`` (flat_store.py).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.operators.panel import unit_scan
@@ -32,6 +36,17 @@ DIMENSIONS = {
 }
 
 
+def reject_reason() -> Column:
+    """Why a flat row can't be normalised (its first missing code), NULL when it can."""
+    codes = [code for code, _ in DIMENSIONS.values()]
+    return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"missing: {c}")) for c in codes])
+
+
+def flat_rejects(flat: DataFrame) -> DataFrame:
+    """The rows that ``normalize_flat`` leaves out, with ``reason``."""
+    return flat.withColumn("reason", reject_reason()).where("reason IS NOT NULL")
+
+
 def _dimension(flat: DataFrame, table: str) -> DataFrame:
     """The codes of a dimension with their (smallest) attributes and ``variants``."""
     code, attributes = DIMENSIONS[table]
@@ -57,8 +72,9 @@ def _numbered(rows: DataFrame, id_name: str, kind: str, *order) -> DataFrame:
 
 def normalize_flat(flat: DataFrame, num_partitions: int | None = None) -> Tables:
     """Split ``flat`` (geography, settlement and round columns, and the measures) into Tables.
-    Rounds are ordered by the number in ``round_label``. Write the result with
-    ``write_tables`` before using it repeatedly."""
+    Rounds are ordered by the number in ``round_label``; rows of ``flat_rejects`` are left out.
+    Write the result with ``write_tables`` before using it repeatedly."""
+    flat = flat.where(reject_reason().isNull())
     provinces = _numbered(_dimension(flat, "provinces"), "province_id", "long", "adm1_code")
     districts = _dimension(flat, "districts").join(broadcast_if_small(provinces.select("province_id", "adm1_code")), "adm1_code")
     districts = _numbered(districts, "district_id", "long", "adm2_code")

@@ -111,14 +111,17 @@ def test_hot_group_of_copies_uses_segmented_scans(spark, tmp_path):
     fixtures.duck(con, src)
     assert_same(REPORTS["w1_panel_longitudinal"](t), con.sql(REPORT_SQL["w1_panel_longitudinal"]))
     assert_same(REPORTS["w1_panel_full"](t), con.sql(REPORT_SQL["w1_panel_full"]))
-    for key in ("l2_surges",):
+    assert_same(REPORTS["d2_median_by_province_round"](t), con.sql(REPORT_SQL["d2_median_by_province_round"]))
+    for key in ("l2_surges", "lead_next_round", "w2_moving_avg_settlement"):
         df = REPORTS[key](t)
+        if key != "l2_surges":
+            assert_same(df, con.sql(REPORT_SQL[key]))
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "_seg" in plan
         # Windows partitioned by settlement_id alone only run over the per-segment table.
         for line in plan.splitlines():
             if re.search(r"Window \[[^\n]*\], \[settlement_id#\d+L?\], ", line):
-                assert "_tot" in line or "_last" in line, line
+                assert any(c in line for c in ("_tot", "_last", "_first", "_size")), line
         assert df.count() > 0
     # l2 equals the plain window with the same tie-break (brute force on the same tables).
     w = Window.partitionBy("settlement_id").orderBy("round_id", "observation_id")
