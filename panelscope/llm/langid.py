@@ -8,8 +8,8 @@ softmax is linear, prediction adds up one row of logits per subword (embeddings
 over the whole text, in tasks that hold one Arrow batch; only the model goes to the tasks.
 
 Training reads a bounded sample: at most ``max_docs`` labelled documents, shared evenly among
-the languages, the first of each by a hash, and of each at most FRAGMENTS pieces of PIECE characters drawn from all
-over its text. A fifth of these documents calibrate: the softmax temperature that fits their
+the languages, the first of each by a hash, and of each at most ``fragments`` pieces of ``piece``
+characters drawn from all over its text (so that no long document outweighs the others). A fifth of these documents calibrate: the softmax temperature that fits their
 pieces best, and the bounds below which a text is rejected, which all but ``rejected`` of the calibration
 pieces reach:
 
@@ -22,12 +22,14 @@ pieces reach:
   (short texts vary more; longer ones count as a whole piece), is bounded. Passages in another
   language than the label's are left out of this bound: what lies beyond STRAY deviations.
 
-With fewer than LEAST_PIECES calibration pieces there is no bound on familiarity.
+With fewer than LEAST_PIECES calibration pieces there is no bound on familiarity: the lowest of so
+few says little about a quantile of 0.001, and a bound that is too high would reject clean texts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled
-row every text is; rows with a null label are not learned from; texts over 2^20 characters are
-read in pieces cut at a separator where there is one; repeated rows count as often as they
-appear in the sample; other columns are never inputs.
+row every text is; rows with a null label are not learned from; texts over TEXT_PART characters are
+read in parts that end at a space or line break, or else at another border, so no subword is lost
+and memory is bounded by the part (or by one word that is longer); an empty table has no
+rows; repeated rows count as often as they appear in the sample; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -46,15 +48,15 @@ BUCKETS = 1 << 15
 DIM = 16
 ORDERS = (1, 2, 3, 4)
 MAX_DOCS = 1600
-FRAGMENTS = 4
+FRAGMENTS = 4  # parameters of fit, as is the next
 PIECE = 200
 EPOCHS = 4
 RATE = 0.5
 LEAST_PIECES = 50  # for a bound on familiarity
 STRAY = 8  # standard deviations, by the median: calibration pieces beyond are of another language than their label
 SPAN = 1 << 31
-TEXT_PART = 1 << 20
-BATCH_CHARS = 1 << 19
+TEXT_PART = 1 << 17
+BATCH_CHARS = 1 << 17  # texts are judged together up to so many characters
 UNKNOWN = "und"
 
 
@@ -76,11 +78,18 @@ def _letters() -> np.ndarray:
 
 
 def _parts(text: str) -> Iterator[str]:
-    """``text`` in pieces of at most TEXT_PART characters."""
+    """``text`` in parts that end before a border: of at most TEXT_PART characters, or one word."""
     at = 0
     while len(text) - at > TEXT_PART:
         cut = max(text.rfind(" ", at + 1, at + TEXT_PART), text.rfind("\n", at + 1, at + TEXT_PART))
-        cut = cut if cut > at else at + TEXT_PART
+        if cut <= at:
+            cut = at + TEXT_PART
+            while cut > at and text[cut].isalpha():
+                cut -= 1
+        if cut <= at:
+            cut = at + TEXT_PART
+            while cut < len(text) and text[cut].isalpha():
+                cut += 1
         yield text[at:cut]
         at = cut
     yield text[at:] if at else text
@@ -226,11 +235,11 @@ def judged(model: Model | None, texts: list[str | None]) -> tuple[list[str], lis
 
     for i, text in enumerate(texts):
         for part in _parts(text or ""):
-            group.append((i, part))
-            size += len(part)
-            if size > BATCH_CHARS:
+            if size + len(part) > BATCH_CHARS:
                 flush()
                 size = 0
+            group.append((i, part))
+            size += len(part)
     flush()
     known = counts > 0
     sums /= np.maximum(counts, 1)[:, None]
@@ -258,15 +267,20 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text, label, place in zip(batch["text"], batch["label"], batch["place"], strict=True):
-            rng = np.random.default_rng(abs(int(place)))
-            starts = rng.integers(0, max(1, len(text) - PIECE + 1), FRAGMENTS) if len(text) > PIECE else [0]
-            sizes = [PIECE, PIECE, PIECE // 2, PIECE // 5]
-            rows += [(text[s : s + sizes[i % 4]], label, place, i) for i, s in enumerate(sorted({int(s) for s in starts}))]
-        yield pd.DataFrame(rows, columns=["piece", "label", "place", "nth"])
+def _cut_pieces(fragments: int, piece: int):
+    """The first two of a text's pieces have ``piece`` characters, then half and a fifth of them in turn."""
+    sizes = [piece, piece, piece // 2, piece // 5]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, label, place in zip(batch["text"], batch["label"], batch["place"], strict=True):
+                rng = np.random.default_rng(abs(int(place)))
+                starts = rng.integers(0, max(1, len(text) - piece + 1), fragments) if len(text) > piece else [0]
+                rows += [(text[s : s + sizes[i % 4]], label, place, i) for i, s in enumerate(sorted({int(s) for s in starts}))]
+            yield pd.DataFrame(rows, columns=["piece", "label", "place", "nth"])
+
+    return run
 
 
 def fit(
@@ -276,8 +290,11 @@ def fit(
     text_col: str = "text",
     label_col: str = "lang",
     rejected: float = 0.001,
+    fragments: int = FRAGMENTS,
+    piece: int = PIECE,
 ) -> Model | None:
-    """Fit a model on a sample of at most ``max_docs`` labelled documents (see above)."""
+    """Fit a model on a sample of at most ``max_docs`` labelled documents, and of each text at most
+    ``fragments`` pieces of ``piece`` characters (see above)."""
     label = F.col(label_col).cast("string")
     place = F.xxhash64(F.col(id_col), F.lit("langid"))
     rows = docs.where(~held_out(id_col) & label.isNotNull() & F.col(text_col).isNotNull()).select(
@@ -293,7 +310,7 @@ def fit(
     near = rows.join(spans, F.col("label") == F.col("of")).where(F.shiftrightunsigned("place", 33) <= F.col("span"))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
     first = near.withColumn("nth", nth).where(F.col("nth") <= quota).orderBy("nth", "place").limit(max_docs)
-    pieces = first.select("text", "label", "place").mapInPandas(_pieces, "piece string, label string, place long, nth int")
+    pieces = first.select("text", "label", "place").mapInPandas(_cut_pieces(fragments, piece), "piece string, label string, place long, nth int")
     sample = pieces.toPandas().sort_values(["place", "label", "nth", "piece"])
     if not len(sample):
         return None

@@ -78,11 +78,51 @@ def test_subword_counts_match_the_definition():
         assert np.array_equal(np.sort(a), np.sort(ids[s : s + c]))
 
 
+def plain_scores(model, text):
+    """The softmax of the mean logits, subword by subword: n-grams of a bordered word without crossing its ends."""
+    total, n = np.zeros(len(model.labels)), 0
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        codes = [0, *map(ord, word), 0]
+        for size in langid.ORDERS:
+            for at in range(len(codes) - size + 1):
+                gram = codes[at : at + size]
+                if size == 1 and gram == [0]:
+                    continue
+                h = 0
+                for c in gram:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                bucket = ((h + size) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BUCKETS.bit_length() + 1)
+                total, n = total + model.logits[bucket], n + 1
+    z = total / n + model.bias
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_match_a_plain_recomputation(monkeypatch):
+    rows = [r for r in corpus(400, 6) if r[2]]
+    model = langid.train([r[1] for r in rows], [r[2] for r in rows], [i % 5 == 0 for i in range(len(rows))])
+    texts = [r[1] for r in rows[:25]] + ["é", "a1b", "Straße, STRASSE!", edge.EN + edge.DE, "x" * 700 + "1" + "th" * 50]
+    for limit in (1 << 17, 100, 7):  # parts and batches of any size give the same
+        monkeypatch.setattr(langid, "TEXT_PART", limit)
+        monkeypatch.setattr(langid, "BATCH_CHARS", limit)
+        labels, scores, _ = langid.judged(model, texts)
+        for text, label, score in zip(texts, labels, scores, strict=True):
+            want = plain_scores(model, text)
+            assert label == model.labels[int(want.argmax())] and abs(score - want.max()) < 1e-5
+
+
+def test_fewer_and_shorter_pieces_are_parameters(spark):
+    df = spark.createDataFrame(corpus(200, 7), edge.DOCS)
+    few, many = langid.fit(df, fragments=1, piece=20), langid.fit(df, fragments=8, piece=400)
+    assert few.labels == many.labels == ["de", "en", "fr"] and not np.array_equal(few.logits, many.logits)
+
+
 def test_long_texts_are_read_whole(spark, monkeypatch):
     model = langid.train([edge.EN, edge.DE] * 20, ["en", "de"] * 20, [False] * 30 + [True] * 10)
     monkeypatch.setattr(langid, "TEXT_PART", 100)
     assert langid.predict(model, [edge.EN + edge.DE * 9])[0] == ["de"]
     assert "".join(langid._parts("ab cd " * 99)) == "ab cd " * 99 and "".join(langid._parts("x" * 999)) == "x" * 999
+    assert max(map(len, langid._parts("ab1cd2" * 99))) <= 100 and list(langid._parts("x" * 999 + "1y" * 60))[0] == "x" * 999
 
 
 def test_unlearned_languages_are_rejected_and_mixtures_stay(spark):
