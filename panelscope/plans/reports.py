@@ -60,6 +60,7 @@ from panelscope.operators.rank import (
     percent_rank_from,
     positions,
     rank_in,
+    rank_rows,
     top_n_per,
 )
 from panelscope.operators.score import composite_index
@@ -480,23 +481,26 @@ def q5c_triple_deprivation(t: Tables, round_id: int = LATEST_ROUND) -> DataFrame
 # ── advanced: windows, CTE chains, DiD, trajectories ────────────────────────────────
 
 
-def _panel_windows(t: Tables) -> DataFrame:
-    """LAG, running SUM and RANK in province and round for every row of the panel."""
-    base = with_geo(_obs(t), t).join(t.small("survey_rounds").select("round_id"), "round_id", "left_semi").select(
+def _panel(t: Tables) -> DataFrame:
+    """Every row of the panel that has a place and a round."""
+    return with_geo(_obs(t), t).join(t.small("survey_rounds").select("round_id"), "round_id", "left_semi").select(
         "settlement_id", "round_id", "observation_id", "province_id", "idp_arrivals"
     )
+
+
+def _panel_windows(t: Tables, base: DataFrame) -> DataFrame:
+    """LAG and running SUM for every row of the panel."""
     if t.unit_key_bounded is False:  # a settlement may hold a third of all rows
-        run = unit_scan(
+        return unit_scan(
             base, "settlement_id", ["round_id", "observation_id"], "idp_arrivals", prev="prev_round_arrivals", cum="cumulative_idps"
         ).withColumn("round_change", F.col("idp_arrivals") - F.col("prev_round_arrivals"))
-    else:
-        run = period_delta(
-            base, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change", tiebreak="observation_id"
-        )
-        run = running_total(run, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps", tiebreak="observation_id")
-    return rank_in(run, ["province_id", "round_id"], "idp_arrivals", "rank_in_province")
+    run = period_delta(
+        base, "idp_arrivals", "round_id", unit="settlement_id", prev="prev_round_arrivals", delta="round_change", tiebreak="observation_id"
+    )
+    return running_total(run, "settlement_id", "round_id", "idp_arrivals", "cumulative_idps", tiebreak="observation_id")
 
 
+_PANEL_RANK = (["province_id", "round_id"], "idp_arrivals", "rank_in_province")
 _PANEL_ORDER = ["settlement_id", "round_id", "observation_id"]
 
 
@@ -516,13 +520,15 @@ def _panel_shown(t: Tables, rows: DataFrame) -> DataFrame:
 
 
 def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
-    """The windows over the whole panel; the report shows its first ``k`` rows."""
-    return _panel_shown(t, _panel_windows(t).orderBy(*_PANEL_ORDER).limit(k))
+    """The windows over the whole panel; the report shows its first ``k`` rows, whose ranks are read
+    off the value counts of all rows of their provinces and rounds."""
+    base = _panel(t)
+    return _panel_shown(t, rank_rows(_panel_windows(t, base).orderBy(*_PANEL_ORDER).limit(k), base, *_PANEL_RANK))
 
 
 def w1_panel_full(t: Tables) -> DataFrame:
     """The same for every row of the panel."""
-    return _panel_shown(t, _panel_windows(t))
+    return _panel_shown(t, rank_in(_panel_windows(t, _panel(t)), *_PANEL_RANK))
 
 
 def lead_next_round(t: Tables) -> DataFrame:

@@ -1,8 +1,9 @@
 """Normalise a flat (one row per settlement x round, geography repeated on every row) extract
 into the five canonical tables.
 
-Every dimension is one aggregation of the flat rows by its code, kept in the shared checkpoint
-folder and read from there by everything else. Rows of one code that disagree on an attribute
+The flat rows' distinct places (a row per settlement, unless rows disagree) and distinct rounds are
+found first and kept in the shared checkpoint folder; every dimension is an aggregation of these by
+its code, and is kept as well. Rows of one code that disagree on an attribute
 are not dropped in silence: the smallest variant (by the attributes in order) is taken, and
 ``flat_conflicts`` lists the codes with their number of variants.
 
@@ -47,20 +48,29 @@ def flat_rejects(flat: DataFrame) -> DataFrame:
     return flat.withColumn("reason", reject_reason()).where("reason IS NOT NULL")
 
 
-def _dimension(flat: DataFrame, table: str) -> DataFrame:
+def distinct_codes(flat: DataFrame) -> dict[str, DataFrame]:
+    """Distinct codes and attributes of the rows, by dimension: places serve three of them."""
+    shared_dir(flat.sparkSession)
+    columns = {t: [code, *attributes] for t, (code, attributes) in DIMENSIONS.items()}
+    of_place = dict.fromkeys(c for t in ("provinces", "districts", "settlements") for c in columns[t])
+    places = flat.select(*of_place).distinct().checkpoint()
+    rounds = flat.select(*columns["survey_rounds"]).distinct()
+    return {t: rounds if t == "survey_rounds" else places for t in DIMENSIONS}
+
+
+def dimension(distinct: dict[str, DataFrame], table: str) -> DataFrame:
     """The codes of a dimension with their (smallest) attributes and ``variants``."""
     code, attributes = DIMENSIONS[table]
-    shared_dir(flat.sparkSession)
-    one = F.struct(*attributes)
-    rows = flat.select(code, one.alias("a")).groupBy(code).agg(F.min("a").alias("a"), F.count_distinct("a").alias("variants"))
+    variants = distinct[table].select(code, F.struct(*attributes).alias("a")).distinct()
+    rows = variants.groupBy(code).agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("variants"))
     return rows.select(code, "a.*", "variants").checkpoint()
 
 
 def flat_conflicts(flat: DataFrame) -> DataFrame:
     """(table_name, code, variants) of the codes whose rows disagree on an attribute."""
-    out = None
+    out, distinct = None, distinct_codes(flat)
     for table, (code, _) in DIMENSIONS.items():
-        rows = _dimension(flat, table).where("variants > 1")
+        rows = dimension(distinct, table).where("variants > 1")
         rows = rows.select(F.lit(table).alias("table_name"), F.col(code).cast("string").alias("code"), "variants")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -75,13 +85,14 @@ def normalize_flat(flat: DataFrame, num_partitions: int | None = None) -> Tables
     Rounds are ordered by the number in ``round_label``; rows of ``flat_rejects`` are left out.
     Write the result with ``write_tables`` before using it repeatedly."""
     flat = flat.where(reject_reason().isNull())
-    provinces = _numbered(_dimension(flat, "provinces"), "province_id", "long", "adm1_code")
-    districts = _dimension(flat, "districts").join(broadcast_if_small(provinces.select("province_id", "adm1_code")), "adm1_code")
+    distinct = distinct_codes(flat)
+    provinces = _numbered(dimension(distinct, "provinces"), "province_id", "long", "adm1_code")
+    districts = dimension(distinct, "districts").join(broadcast_if_small(provinces.select("province_id", "adm1_code")), "adm1_code")
     districts = _numbered(districts, "district_id", "long", "adm2_code")
     number = F.regexp_extract("round_label", r"(\d+)", 1)
-    rounds = _numbered(_dimension(flat, "survey_rounds"), "round_id", "int", F.nullif(number, F.lit("")).cast("int"), "round_label")
+    rounds = _numbered(dimension(distinct, "survey_rounds"), "round_id", "int", F.nullif(number, F.lit("")).cast("int"), "round_label")
 
-    settlements = _dimension(flat, "settlements").withColumns({"one": F.lit(1), "all": F.lit(0)})
+    settlements = dimension(distinct, "settlements").withColumns({"one": F.lit(1), "all": F.lit(0)})
     settlements = unit_scan(settlements, "all", ["settlement_code"], "one", cum="settlement_id", partitions=num_partitions)
     settlements = settlements.withColumn("settlement_id", F.col("settlement_id").cast("long"))
 

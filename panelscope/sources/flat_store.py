@@ -22,11 +22,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelscope.operators.panel import unit_scan
-from panelscope.sources.flat import DIMENSIONS, MEASURES, flat_rejects, reject_reason
+from panelscope.sources.flat import DIMENSIONS, MEASURES, dimension, distinct_codes, flat_rejects, reject_reason
 from panelscope.sources.rejects import split_repeats
 from panelscope.sources.schema import SCHEMAS
 from panelscope.sources.tables import Tables, broadcast_if_small, shared_dir
@@ -102,12 +102,15 @@ class FlatStore:
     def _number_new(self, table: str, found: DataFrame, top: int) -> DataFrame:
         code, _ = DIMENSIONS[table]
         new = found.join(self.keys(table).select(code), code, "left_anti")
+        if table == "settlements":  # they grow with the panel: a running count over ranges of them
+            new = new.withColumns({"_one": F.lit(1), "_all": F.lit(0)})
+            new = unit_scan(new, "_all", [code], "_one", cum="id").drop("_one", "_all")
+            return new.withColumn("id", (F.col("id") + top).cast("long"))
         order = [code]
         if table == "survey_rounds":
             number = F.nullif(F.regexp_extract(code, r"(\d+)", 1), F.lit(""))
-            new, order = new.withColumn("_number", number.cast("long")), ["_number", code]
-        new = new.withColumns({"_one": F.lit(1), "_all": F.lit(0)})
-        return unit_scan(new, "_all", order, "_one", cum="id").withColumn("id", (F.col("id") + top).cast("long")).drop("_one", "_all", "_number")
+            order = [number.cast("long"), code]
+        return new.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + top).cast("long"))
 
     def append(self, flat: DataFrame) -> FlatLoad:
         """Take a flat extract (geography, settlement and round columns, measures) as a new load."""
@@ -119,16 +122,16 @@ class FlatStore:
         staged = spark.read.parquet(part("staged"))
         rows = staged.where(reject_reason().isNull())
 
-        tops, changed, keys = {}, None, {}
+        tops, changed, keys, distinct = {}, None, {}, distinct_codes(rows)
         for table, (code, attributes) in DIMENSIONS.items():
-            found = rows.select(code, F.struct(*attributes).alias("a")).groupBy(code).agg(F.min("a").alias("a")).select(code, "a.*")
+            found = dimension(distinct, table).drop("variants")
             known = self.keys(table)
             self._number_new(table, found, last[f"top_{table}"]).write.mode("overwrite").parquet(part(f"keys/{table}"))
             fresh = spark.read.parquet(part(f"keys/{table}"))
             tops[table] = fresh.agg(F.max("id")).first()[0] or last[f"top_{table}"]
             keys[table] = known.select("id", code).unionByName(fresh.select("id", code))
             old = known.select(code, F.struct(*attributes).alias("_stored"))
-            differs = rows.select(code, F.struct(*attributes).alias("_now")).distinct().join(old, code).where("_now <> _stored")
+            differs = distinct[table].select(code, F.struct(*attributes).alias("_now")).distinct().join(old, code).where("_now <> _stored")
             differs = differs.select(F.lit(table).alias("table_name"), F.col(code).cast("string").alias("code")).distinct()
             changed = differs if changed is None else changed.unionByName(differs)
         if tops["survey_rounds"] > ROUND_SLOTS:
