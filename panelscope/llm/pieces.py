@@ -39,14 +39,72 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_COST = 10.0  # below the lowest piece score
-REMEMBERED = 150_000  # segments per task process, in each of two halves
-LONG = 64  # longer segments are not remembered
+REMEMBERED = 250_000  # segments held per task, besides those in use
+REMEMBERED_CHARS = 1 << 23  # and their characters
+SEARCHED = 15_000  # segments whose n best paths are held
+LONG = 64  # longer ones are not
 TOGETHER = 20_000  # segments walked together
 NO_PIECE = -(1 << 40)  # marks the beginning of a piece that is none itself
 HASH = 0x9E3779B97F4A7C15
+SPREAD = 0xD6E8FEB86659FD93  # odd: different hashes stay different
+SLOT_BITS = 19
 _ALL = (1 << 64) - 1
 _NONE = float("-inf")
-Entry = tuple[float, tuple[int, ...], float]
+
+
+class Rows(dict):
+    """Row numbers by segment; one that is looked up for the first time gets the next number and
+    is listed as ``new``."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = row = len(self)
+        self.new.append(segment)
+        return row
+
+
+class Learned:
+    """The best paths of segments: a row each in arrays, ``rows`` by segment."""
+
+    def __init__(self):
+        self.rows = Rows()
+        self.chars = 0
+        self.score = np.empty(0)  # of the best path
+        self.cost = np.empty(0)  # what the second-best path costs more
+        self.length = np.empty(0, np.int64)  # piece ids of the best path, and where they begin in flat
+        self.start = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+        self.exact = np.empty(0, bool)  # whether they decode to the segment
+        self.again = np.empty(0, bool)  # met in more than one part of the texts
+
+    def add(self, score, cost, length, flat, exact) -> None:
+        """The next rows' paths."""
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
+        for name, more in (("score", score), ("cost", cost), ("length", length), ("flat", flat), ("exact", exact), ("again", np.zeros(len(score), bool))):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
+
+    def paths(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the best paths of ``rows``, one after the other."""
+        length = self.length[rows]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.start[rows] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def full(self) -> bool:
+        return len(self.rows) > REMEMBERED or self.chars > REMEMBERED_CHARS
+
+    def shrunk(self) -> Learned:
+        """Only what was met again; nothing, when that is most of what may be held."""
+        out = Learned()
+        stay = [(x, i) for x, i in self.rows.items() if self.again[i]]
+        chars = sum(len(x) for x, _ in stay)
+        if len(stay) <= REMEMBERED // 2 and chars <= REMEMBERED_CHARS // 2:
+            at = np.array([i for _, i in stay], np.int64)
+            out.rows, out.chars = Rows(zip([x for x, _ in stay], range(len(stay)), strict=True)), chars
+            out.add(self.score[at], self.cost[at], self.length[at], self.paths(at), self.exact[at])
+        return out
 
 
 class Pieces:
@@ -64,11 +122,14 @@ class Pieces:
         self.id_of = {self.text[i]: i for i in plain}
         self.steps = {p[:k]: NO_PIECE for p in self.id_of for k in range(1, len(p))} | self.id_of
         # the same as sorted hashes, for many segments at a time
-        hashed = sorted((self._hash(p), i) for p, i in self.steps.items())
+        hashed = sorted((self._hash(p) * SPREAD & _ALL, i) for p, i in self.steps.items())
         self.hashes = np.array([h for h, _ in hashed], np.uint64)
         self.found = np.array([i for _, i in hashed], np.int64)
         if len(np.unique(self.hashes)) < len(self.hashes):
             raise ValueError("two beginnings of pieces share a hash")
+        # the first hash of each value of the upper bits, to look hashes up in a few steps
+        upper = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot = np.searchsorted(upper, np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
         self.scores = np.array(self.score)
         self.byte_id = {int(self.text[i][1:-1], 16): i for i in ids if m.is_byte(i)}
         self.byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
@@ -89,9 +150,12 @@ class Pieces:
         marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not letter.match(c) and c not in after)
         word = f"{SPACE}*+[^\\W\\d_]++(?=[{marks}])|" if marks else ""
         self.segments = re.compile(f"{word}[{alone or SPACE}]|{SPACE}+(?:{rest})?|{rest}" if not crosses else r"(?s:.+)")
-        self.known: dict[str, Entry] = {}
-        self.older: dict[str, Entry] = {}
-        self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty what was remembered of segments."""
+        self.learned = Learned()
+        self.searched: dict[tuple[str, int], list[tuple[float, tuple[int, ...], bool]]] = {}
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -154,22 +218,31 @@ class Pieces:
                 heapq.heappush(heap, (-(best[start] + s + done), (*tail, piece), start, s + done))
         return found
 
-    def learn(self, segments: set[str]) -> dict[str, Entry]:
-        """Each segment's best path (score, piece ids) and how much its second-best path costs
-        more; what was found before is remembered, short segments only."""
-        known, older = self.known, self.older
-        found = {x: known.get(x) or older.get(x) for x in segments}
-        new = [x for x, entry in found.items() if entry is None]
+    def learn(self, split: list[list[str]]) -> np.ndarray:
+        """The rows of the segments of texts, one after the other; segments that are not known yet
+        are walked, what was found before is remembered."""
+        if self.learned.full():
+            self.learned = self.learned.shrunk()
+        known = self.learned
+        before = len(known.rows)
+        rows = np.fromiter(map(known.rows.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        known.again[rows[rows < before]] = True
+        new, known.rows.new = known.rows.new, []
+        known.chars += sum(map(len, new))
         for at in range(0, len(new), TOGETHER):
-            part = new[at : at + TOGETHER]
-            found.update(zip(part, self.firsts(part), strict=True))
-        if len(known) + len(found) > REMEMBERED:  # the older half goes; segments in use are kept
-            self.known, self.older = {}, known
-        self.known.update(found if len(found) <= REMEMBERED else ())
-        for x in new:
-            if len(x) > LONG:
-                self.known.pop(x, None)
-        return found
+            known.add(*self.firsts(new[at : at + TOGETHER]))
+        return rows
+
+    def _looked_up(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash would be among the known ones; another one's place if it isn't."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        k, last = self.slot[slot], self.slot[slot + 1] - 1
+        np.minimum(k, len(self.hashes) - 1, out=k)
+        open_ = np.flatnonzero((k < last) & (self.hashes[k] < h))
+        while len(open_):
+            k[open_] += 1
+            open_ = open_[(k[open_] < last[open_]) & (self.hashes[k[open_]] < h[open_])]
+        return k
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of all pieces in segments that are laid out with a 0 after each."""
@@ -182,9 +255,9 @@ class Pieces:
         while len(at):
             h = h * np.uint64(HASH) + codes[at + n] + np.uint64(1)
             n += 1
-            k = np.searchsorted(self.hashes, h)
-            k[k == len(self.hashes)] = 0
-            hit = self.hashes[k] == h
+            spread = h * np.uint64(SPREAD)
+            k = self._looked_up(spread)
+            hit = self.hashes[k] == spread
             at, h, k = at[hit], h[hit], self.found[k[hit]]
             piece = k != NO_PIECE
             starts.append(at[piece])
@@ -200,10 +273,11 @@ class Pieces:
         ids.append(-1 - codes[unknown].astype(np.int64))
         return np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
 
-    def firsts(self, segments: list[str]) -> list[Entry]:
-        """For each segment the best path's score and piece ids, and what the second-best costs
-        more: the best path through any edge that the best path does not use, by the forward
-        scores and the scores to the end. All segments are walked together, place by place."""
+    def firsts(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """The segments' best paths: score, what the second-best path costs more (the best one
+        through any edge that the best path does not use, by the forward scores and the scores to the
+        end), number of piece ids, the ids of all one after the other, and whether they decode to
+        the segment. All segments are walked together, place by place."""
         text = "\0".join(segments) + "\0"
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         stops = np.flatnonzero(codes == 0)  # the place after each segment
@@ -216,7 +290,10 @@ class Pieces:
         best = np.full(len(codes), _NONE)
         best[begins] = 0.0
         back = np.zeros(len(codes), np.int64)
-        order = np.lexsort((ids, end, place[end]))
+        if len(codes) < 1 << 20:  # one number for (place, end, id)
+            order = np.argsort((place[end] << 42) + (end << 22) + (ids + (1 << 21)))
+        else:
+            order = np.lexsort((ids, end, place[end]))
         for group, ends_at in _steps(place[end][order], end[order]):
             edge = order[group]
             s = best[start[edge]] + score[edge]
@@ -228,7 +305,7 @@ class Pieces:
 
         after = np.full(len(codes), _NONE)
         after[stops] = 0.0
-        order = np.argsort(start - place[start] * len(codes), kind="stable")
+        order = np.argsort(start - place[start] * len(codes))
         for group, starts_at in _steps(-place[start][order], start[order]):
             edge = order[group]
             after[start[edge[starts_at]]] = np.maximum.reduceat(score[edge] + after[end[edge]], starts_at)
@@ -240,16 +317,25 @@ class Pieces:
             at = start[back[at]]
             at = at[place[at] > 0]
         through = np.where(used, _NONE, best[start] + score + after[end])
-        order = np.argsort(start, kind="stable")
+        order = np.argsort(start)
         owner = of[start[order]]
         second = np.maximum.reduceat(through[order], np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
         path = order[used[order]]
-        counts = np.bincount(of[start[path]], minlength=len(segments))
-        flat, found, to = ids[path].tolist(), [], 0
-        for total, other, n in zip(best[stops].tolist(), second.tolist(), counts.tolist(), strict=True):
-            found.append((total, self.ids(tuple(flat[to : to + n])), total - other))
-            to += n
-        return found
+        flat, owner = ids[path], of[start[path]]
+        exact = np.ones(len(segments), bool)
+        unknown = np.unique(owner[flat < 0])
+        if len(unknown):  # their characters are written as bytes
+            cuts = np.searchsorted(owner, np.arange(1, len(segments)))
+            rows = np.split(flat, cuts)
+            for k in unknown.tolist():
+                rows[k] = np.array(self.ids(tuple(rows[k].tolist())), np.int64)
+                exact[k] = self._shows(rows[k].tolist(), segments[k])
+            lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.concatenate(rows)
+        else:
+            lengths = np.bincount(owner, minlength=len(segments))
+        total = best[stops]
+        return total, total - second, lengths, flat.astype(np.int32), exact
 
     def ids(self, path: tuple[int, ...]) -> tuple[int, ...]:
         """The piece ids of lattice edges: an unknown character is its bytes."""
@@ -271,27 +357,31 @@ class Pieces:
     def nbest(self, text: str | None, n: int) -> list[tuple[float, np.ndarray]]:
         """The n best (score, piece ids) of a text, best first."""
         segments = self.split(text)
-        return self.combined(segments, self.learn(set(segments)), n)
+        return [(score, ids) for score, ids, _ in self.combined(segments, self.learn([segments]), n)]
 
-    def paths(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, piece ids) of one segment; short ones are remembered."""
+    def paths(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...], bool]]:
+        """The n best (score, piece ids, whether they decode to it) of one segment; short ones are
+        remembered."""
         found = self.searched.get((segment, n))
         if found is None:
-            found = [(s, self.ids(path)) for s, path in self.search(segment, n)]
-            if len(self.searched) >= REMEMBERED // 10:
+            each = [(s, self.ids(path)) for s, path in self.search(segment, n)]
+            found = [(s, ids, self._shows(ids, segment)) for s, ids in each]
+            if len(self.searched) >= SEARCHED:
                 self.searched.clear()
             if len(segment) <= LONG:
                 self.searched[segment, n] = found
         return found
 
-    def combined(self, segments: list[str], learned: dict[str, Entry], n: int) -> list[tuple[float, np.ndarray]]:
-        """The n best (score, piece ids) of a text from its segments' best paths."""
-        firsts = [learned[s] for s in segments]
-        base = sum([e[0] for e in firsts])
-        best = np.fromiter(chain.from_iterable([e[1] for e in firsts]), np.int32)
-        if n == 1 or not firsts:
-            return [(base, best)]
-        cost = np.array([e[2] for e in firsts])
+    def combined(self, segments: list[str], rows: np.ndarray, n: int) -> list[tuple[float, np.ndarray, bool]]:
+        """The n best (score, piece ids, whether every segment's ids decode to it) of a text from
+        its segments' learned rows."""
+        known = self.learned
+        base = sum(known.score[rows].tolist())
+        best, exact = known.paths(rows), known.exact[rows]
+        sound = bool(exact.all())
+        if n == 1 or not segments:
+            return [(base, best, sound)]
+        cost = known.cost[rows]
         limit = np.partition(cost, n - 2)[n - 2] if len(cost) >= n else np.inf
         cheap = sorted((cost[k], k) for k in np.flatnonzero(cost <= limit).tolist() if cost[k] < np.inf)[: n - 1]
         chosen = sorted(k for _, k in cheap)  # by place
@@ -307,23 +397,38 @@ class Pieces:
             o = options[len(chosen) - 1 - len(ranks)]
             for r in range(len(o)):
                 heapq.heappush(heap, (paid + o[0][0] - o[r][0], (*ranks, r)))
-        lengths = np.fromiter((len(e[1]) for e in firsts), np.int64, len(firsts))
+        lengths = known.length[rows]
         starts = np.cumsum(lengths) - lengths
         out = []
         for paid, ranks in found:
-            parts, at = [], 0
+            parts, at, right = [], 0, sound
             for k, o, r in zip(chosen, options, ranks[::-1], strict=True):
                 if r:
                     parts += [best[at : starts[k]], np.array(o[r][1], np.int32)]
                     at = starts[k] + lengths[k]
-            out.append((base - paid, np.concatenate([*parts, best[at:]])))
+                    right = right and o[r][2]
+            out.append((base - paid, np.concatenate([*parts, best[at:]]) if parts else best, right))
         return out
 
+    def _shows(self, ids, segment: str) -> bool:
+        """Whether the ids decode to a segment (of whole characters, so its bytes stand alone)."""
+        return self._written(ids) == segment.replace(SPACE, " ")
+
+    def round_trips(self, text: str | None, segments: list[str], found: list[tuple[float, np.ndarray, bool]]) -> list[bool]:
+        """Whether each path's ids decode to the text. Where every segment's ids decode to the
+        segment, the whole decodes to the segments one after the other; else it is decoded."""
+        joined = "".join(segments).replace(SPACE, " ")
+        same = (joined[1:] if joined.startswith(" ") else joined) == (text or "")
+        return [same if sound else self.decode(ids) == (text or "") for _, ids, sound in found]
+
     def decode(self, ids) -> str:
         """The text of piece ids: bytes joined, control pieces left out, marks as spaces."""
+        joined = self._written(ids)
+        return joined[1:] if joined.startswith(" ") else joined
+
+    def _written(self, ids) -> str:
         if isinstance(ids, np.ndarray) and not self.part_of_character[ids].any():
-            joined = "".join(self.shown[ids].tolist())
-            return joined[1:] if joined.startswith(" ") else joined
+            return "".join(self.shown[ids].tolist())
         words: list[str] = []
         pending = b""
         hidden, byte_of, text = self.hidden, self.byte_of, self.text
@@ -338,8 +443,7 @@ class Pieces:
                 words.append(text[i])
         if pending:
             words.append(pending.decode("utf-8", "replace"))
-        joined = "".join(words).replace(SPACE, " ")
-        return joined[1:] if joined.startswith(" ") else joined
+        return "".join(words).replace(SPACE, " ")
 
 
 @lru_cache(maxsize=2)
@@ -363,19 +467,23 @@ def nbest_encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
-        for batch in batches:
-            for part in _parts(batch):
-                split = [pieces.split(text) for _, text in part]
-                learned = pieces.learn({x for segments in split for x in segments})
-                keys, ranks, scores, paths, right = [], [], [], [], []
-                for (key, text), segments in zip(part, split, strict=True):
-                    for rank, (score, ids) in enumerate(pieces.combined(segments, learned, n), 1):
-                        keys.append(key)
-                        ranks.append(rank)
-                        scores.append(score)
-                        paths.append(ids)
-                        right.append(pieces.decode(ids) == (text or ""))
-                yield _batch(keys, ranks, scores, paths, right)
+        try:
+            for batch in batches:
+                for part in _parts(batch):
+                    split = [pieces.split(text) for _, text in part]
+                    rows = pieces.learn(split)
+                    keys, ranks, scores, paths, right, at = [], [], [], [], [], 0
+                    for (key, text), segments in zip(part, split, strict=True):
+                        found = pieces.combined(segments, rows[at : at + len(segments)], n)
+                        at += len(segments)
+                        keys += [key] * len(found)
+                        ranks += range(1, len(found) + 1)
+                        scores += [score for score, _, _ in found]
+                        paths += [ids for _, ids, _ in found]
+                        right += pieces.round_trips(text, segments, found)
+                    yield _batch(keys, ranks, scores, paths, right)
+        finally:
+            pieces.forget()  # the process goes on to other tasks
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     schema = "id string, rank int, score double, n_pieces long, ids array<int>, round_trip boolean"

@@ -89,5 +89,5 @@ def test_the_memory_of_segments_is_bounded(pieces, monkeypatch):
     texts = [f"word{i} the thion{i}" for i in range(40)] + [" ".join(f"word{i} the" for i in range(200))]
     for text in texts:
         best = small.nbest(text, 3)
-        assert len(small.known) <= 10 and len(small.older) <= 10
+        assert len(small.learned.rows) <= 10 + len(set(small.split(text)))
         assert [(s, i.tolist()) for s, i in best] == [(s, i.tolist()) for s, i in pieces.nbest(text, 3)]
