@@ -11,7 +11,8 @@ come up before with that probability.
 The index is a kd-tree in two parts. Its top, fitted on a bounded sample (SAMPLE vectors), deals
 all vectors out to cells; each cell's tree is built in the task that searches it. A query first
 searches its own cell and takes from there its k-th distance; then it is sent to those cells
-only whose region the stopping test does not rule out. Queries of a cell come in blocks.
+only whose region the stopping test does not rule out. A cell with more than BLOCK queries of its
+own is searched in several tasks, so a cell is sent as often as its own queries ask for.
 
 Vectors that are equal component by component are searched as one: of each group only the k + 1
 smallest ids can be in a result, and are kept, by a limit that each task applies before the
@@ -20,7 +21,9 @@ shuffle.
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 with a null id, take no part; rows that repeat id and vector count once; a query whose id has
 several vectors uses the smallest; vectors of another length are never compared; a query with
-fewer candidates than k returns them all; other columns are not read.
+fewer candidates than k returns them all; components of any finite size are compared without
+overflow (vectors are scaled by powers of two); an empty table has no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import blocks_for, kept
+from panelscope.llm.common import BROADCAST_BYTES, blocks_for, kept
 
 DIMS = 8  # even: the chi-square distribution then has a closed form
 CERTAINTY = 0.98
@@ -67,7 +70,15 @@ def _stop_ratio() -> float:
 STOP = _stop_ratio()
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector over the power of two next to its largest component: its cosines stay what they
+    are to the last bit, and squares neither overflow nor vanish."""
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
@@ -86,6 +97,7 @@ class Split:
         self.first, self.cells = first, []
         lo, hi = np.full(DIMS, -np.inf), np.full(DIMS, np.inf)
         self.root = self._cut(points, cells, lo, hi)
+        self.lo, self.hi = np.array([c[0] for c in self.cells]), np.array([c[1] for c in self.cells])
 
     def _cut(self, points, cells, lo, hi):
         if cells > 1 and len(points) > 1:
@@ -116,8 +128,7 @@ class Split:
 
     def open_cells(self, point: np.ndarray, reach: float, home: int) -> list[int]:
         """Cells other than ``home`` whose region lies nearer than ``reach`` (squared)."""
-        lo, hi = np.array([c[0] for c in self.cells]), np.array([c[1] for c in self.cells])
-        gap = np.maximum(np.maximum(lo - point, point - hi), 0)
+        gap = np.maximum(np.maximum(self.lo - point, point - self.hi), 0)
         near = np.flatnonzero((gap * gap).sum(axis=1) <= reach) + self.first
         return [int(c) for c in near if c != home]
 
@@ -163,9 +174,10 @@ def _distance(score: float) -> float:
 
 def search_cell(ids: np.ndarray, vectors: np.ndarray, queries: pd.DataFrame, k: int) -> list[tuple]:
     """(query_id, vec_id, score) of each query's best in one cell."""
+    vectors = scaled(vectors)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     tree = Tree(project(vectors / norms[:, None]))
-    asked = _stack(queries["vec"])
+    asked = scaled(_stack(queries["vec"]))
     points = project(unit(asked))
     lengths = np.sqrt((asked * asked).sum(axis=1))
     out = []
@@ -195,6 +207,18 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0)).distinct()
 
 
+def dealt(cells: DataFrame, queries: DataFrame, few_cells: bool) -> tuple[DataFrame, DataFrame]:
+    """The vectors of cells that have queries, once per BLOCK of the cell's own queries, and the
+    queries in those blocks."""
+    sizes = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
+    sizes = F.broadcast(sizes) if few_cells else sizes
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    here = cells.join(sizes, F.col("cell") == F.col("of")).select("id", "vec", "cell", every.alias("block"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    asking = queries.join(sizes, F.col("cell") == F.col("of")).select("id", "vec", "cell", "bound", block.alias("block"))
+    return here, asking
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -228,20 +252,18 @@ def nearest(
         return one.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
     cells = kept(one.select("id", "vec", cell_of(F.col("vec")).alias("cell")))
     asked = kept(asked.select("id", "vec", cell_of(F.col("vec")).alias("cell")))
-    blocks = blocks_for(asked.count(), BLOCK)
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = cells.select("id", "vec", "cell", every.alias("block"))
+    few_cells = sum(len(split.cells) for split in splits.values()) * 32 <= BROADCAST_BYTES
 
     def found(queries: DataFrame) -> DataFrame:
         def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
             out = search_cell(mine["id"].to_numpy(), _stack(mine["vec"]), theirs, k) if len(mine) and len(theirs) else []
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-        pair = dealt.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block"))
+        here, asking = dealt(cells, queries, few_cells)
+        pair = here.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block"))
         return pair.applyInPandas(run, "query_id long, vec_id long, score double")
 
-    home = kept(found(asked.select("id", "vec", "cell", block.alias("block"), F.lit(float("-inf")).alias("bound"))))
+    home = kept(found(asked.select("id", "vec", "cell", F.lit(float("-inf")).alias("bound"))))
     reached = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     bound = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf")))
 
@@ -255,7 +277,7 @@ def nearest(
         return pd.Series(out)
 
     asked = asked.join(reached, asked["id"] == reached["query_id"], "left").select("id", "vec", "cell", F.coalesce(bound, F.lit(float("-inf"))).alias("bound"))
-    more = asked.select("id", "vec", "bound", F.explode(open_cells("vec", "cell", "bound")).alias("cell"), block.alias("block"))
+    more = kept(asked.select("id", "vec", "bound", F.explode(open_cells("vec", "cell", "bound")).alias("cell")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     both = home.union(found(more)).withColumn("rank", F.row_number().over(best))
     return both.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -113,3 +113,30 @@ def test_recall_over_many_cells_of_many_leaves(spark, monkeypatch):
     got, want = results(nearest(frame(spark, rows), F.col("vec_id") % 50 == 0)), brute(rows, 5)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert got.keys() == want.keys() and hits / (5 * len(want)) >= 0.98
+
+
+def test_cells_are_sent_as_often_as_their_own_queries_ask(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    cells = spark.range(300).select("id", F.array(F.lit(1.0)).alias("vec"), (F.col("id") % 3).alias("cell"))
+    asked = spark.range(126).select("id", F.array(F.lit(1.0)).alias("vec"), F.when(F.col("id") < 125, 0).otherwise(2).cast("long").alias("cell"), F.lit(0.0).alias("bound"))
+    for few in (True, False):
+        here, asking = ann.dealt(cells, asked, few)
+        # cell 0 has 125 queries: 13 blocks; cell 1 none; cell 2 one
+        assert {r["cell"]: r["count"] for r in here.groupBy("cell").count().collect()} == {0: 1300, 2: 100}
+        assert asking.count() == 126 and asking.select("cell", "block").distinct().count() <= 14
+
+
+def test_sizes_of_components_do_not_matter(spark):
+    """Doubles whose squares overflow or vanish: the same neighbours as of the vectors over their largest component."""
+    vectors = {i: v * 10.0 ** (i % 5 * 60 - 120) for i, v in enumerate(clusters(300, 8, 4).astype(float))}
+    vectors |= {50 * i + 3000: np.array([1e308, 1e307 * (i + 1), -1e300, 0.0, 5e-324, 1.0, 0.0, 0.0]) for i in range(4)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = results(nearest(df, F.col("vec_id") % 50 == 0))
+    ids = np.array(list(vectors))
+    units = unit(np.array([v / np.abs(v).max() for v in vectors.values()]))
+    assert sorted(got) == [i for i in ids.tolist() if i % 50 == 0]
+    for q, found in got.items():
+        scores = units @ units[ids == q][0]
+        order = [int(i) for _, i in sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) if i != q][:5]
+        assert [i for i, _ in found] == order
+        assert np.allclose([s for _, s in found], [scores[ids == i][0] for i in order], rtol=1e-9)
