@@ -17,13 +17,14 @@ common shingles is reported: a BSD-3-Clause text holds nearly all of BSD-2-Claus
 GPL its own header. A template with fewer than SHINGLE words has
 one shingle, all its words, and is found as such.
 
-The templates' bands are broadcast when their counted size is small, else joined by a shuffle.
-DataFrame functions only.
+The templates' bands are broadcast when their counted size is small, else joined by a shuffle of
+the bands, and only matched documents meet their shingles again. DataFrame functions only.
 
 Edge cases: null and empty texts, and documents that have fewer words than a shingle, match no
 longer template; templates without words match nothing; a license that a document repeats gives
 one row with the number of places; rows that repeat an id are scanned each and reported each;
-other columns are not read.
+a text of any length is scanned whole, as one row's array of hashes; no documents or no templates
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ THRESHOLD = 0.8
 SCALES = (1, 8, 32)  # shingles per window
 BLOCK = 4  # shingles; divides half of every larger scale
 BANDS, ROWS = 6, 2
+MAX_LISTED = 1000  # single shingles that are tested in a document before it is cut into them
 SEED_STEP = 0x9E3779B97F4A7C15
 
 # Notices and license texts to look for (public texts): identifier, text. Notices and headers are named
@@ -181,7 +183,7 @@ TEMPLATES = [
 
 def plain_words(text: Column) -> Column:
     """The lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingle_hashes(words: Column) -> Column:
@@ -292,6 +294,18 @@ def template_bands(templates: DataFrame) -> DataFrame:
     return rows.groupBy("license", "scale", "band").agg(F.min("t_start").alias("t_start"))
 
 
+def _single_bands(hashes: Column, bands: DataFrame) -> Column:
+    """``window_bands`` of single shingles; none for a document without a shingle of the templates
+    that are looked up so, when these are few enough to be looked for in the whole array at once."""
+    every = window_bands(hashes, 1, 1)
+    singles = bands.where("scale = 1").select("band").distinct()
+    if singles.count() > MAX_LISTED:
+        return every
+    listed = [r["band"] for r in singles.collect()]
+    none = F.array().cast("array<struct<scale:int,start:int,band:bigint>>")
+    return F.when(F.arrays_overlap(hashes, F.array(*map(F.lit, listed))), every).otherwise(none) if listed else none
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: Sequence[tuple[str, str]] | DataFrame = TEMPLATES,
@@ -305,24 +319,28 @@ def scan_licenses(
     known = kept(template_table(spark, templates))
     bands = kept(template_bands(known))
     n_bands, n_words = bands.count(), known.agg(F.sum(F.size("t_words"))).first()[0] or 0
-    small = F.broadcast if 64 * n_bands + 48 * n_words <= BROADCAST_BYTES else (lambda side: side)
+    is_small = 64 * n_bands + 48 * n_words <= BROADCAST_BYTES
+    small = F.broadcast if is_small else (lambda side: side)
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), plain_words(F.col(text_col)).alias("words")
     )
     rows = rows.select("row", "id", shingle_hashes(F.col("words")).alias("hashes"))
+    rows = rows if is_small else kept(rows)
+    carried = ["row", "id", "hashes"] if is_small else ["row"]
     windows = F.concat(
-        window_bands(F.col("hashes"), 1, 1), *[document_bands(F.size("hashes"), F.col("blocks"), s) for s in SCALES[1:]]
+        _single_bands(F.col("hashes"), bands), *[document_bands(F.size("hashes"), F.col("blocks"), s) for s in SCALES[1:]]
     )
     hits = (
-        rows.select("row", "id", "hashes", block_minima(F.col("hashes")).alias("blocks"))
-        .select("row", "id", "hashes", windows.alias("windows"))
+        rows.select(*carried, *([] if is_small else ["hashes"]), block_minima(F.col("hashes")).alias("blocks"))
+        .select(*carried, windows.alias("windows"))
         # outer: else Spark also filters on the size of the windows, below the projection, and
         # computes each document's hashes again for every window
-        .select("row", "id", "hashes", F.explode_outer("windows").alias("w"))
-        .select("row", "id", "hashes", F.col("w.scale").alias("w_scale"), F.col("w.start").alias("w_start"), F.col("w.band").alias("w_band"))
+        .select(*carried, F.explode_outer("windows").alias("w"))
+        .select(*carried, F.col("w.scale").alias("w_scale"), F.col("w.start").alias("w_start"), F.col("w.band").alias("w_band"))
         .join(small(bands), (F.col("w_band") == F.col("band")) & (F.col("w_scale") == F.col("scale")))
     )
+    hits = hits if is_small else kept(hits).join(rows, "row")  # windows are shuffled without their document
     n = F.size("t_hashes")
     slack = F.ceil(n / 5).cast("int")
     begin = F.greatest(F.col("w_start") - F.col("t_start") - slack, F.lit(0))

@@ -76,3 +76,49 @@ def test_siblings_are_told_apart_and_whole_texts_are_asked_for(spark):
     got = found(frame(spark, [*(f"{filler(20, k)} {texts[n]}" for k, n in enumerate(names)), both, *parts]))
     want = {(k, n) for k, n in enumerate(names)} | {(len(names), "GPL-2.0-header"), (len(names), "AGPL-3.0-header")}
     assert got.keys() == want and all(r["containment"] == 1.0 and r["n_places"] == 1 for r in got.values())
+
+
+@pytest.mark.parametrize("limit", ["BROADCAST_BYTES", "MAX_LISTED"])
+def test_every_way_of_joining_gives_the_same(spark, monkeypatch, limit):
+    texts = [f"{filler(k, k)} {text} {filler(9, k)}" for k, (_, text) in enumerate(TEMPLATES) if len(text) < 2000]
+    df = frame(spark, [*texts, filler(200, 1), "", texts[0] + texts[1]])
+    want = edge.listed(scan_licenses(df))
+    monkeypatch.setattr(f"panelscope.llm.license_scan.{limit}", 0)
+    assert len(want) > len(texts) - 5 and edge.listed(scan_licenses(df)) == want
+
+
+def exact_scan(words, templates):
+    """license -> (common shingles, containment) of the best place, every place of every template tried."""
+    shingles = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    out = {}
+    for name, own in templates.items():
+        at = [i for i, x in enumerate(shingles) if x in own]
+        length = len(own) + 2 * -(-len(own) // 5)
+        for i in at:
+            common = len({shingles[j] for j in range(i, min(i + length, len(shingles))) if shingles[j] in own})
+            if common >= 0.8 * len(own) and common > out.get(name, (0, 0))[0]:
+                out[name] = (common, common / len(own))
+    return out
+
+
+def test_recall_against_an_exact_scan_of_a_whole_table(spark):
+    """All documents of the given table, with near copies of templates planted in a tenth of them."""
+    random.seed(3)
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for k in range(0, len(rows), 10):
+        words = random.choice(TEMPLATES[:14])[1].split()
+        for at in random.sample(range(len(words)), len(words) // 60):
+            words[at] = "altered"
+        rows[k] = (rows[k][0], f"{rows[k][1]} {' '.join(words)} {rows[k][1][:300]}")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = {r["doc_id"]: r["w"] for r in df.select("doc_id", plain_words("text").alias("w")).collect()}
+    plain = frame(spark, [t for _, t in TEMPLATES]).select("doc_id", plain_words("text").alias("w")).collect()
+    templates = {TEMPLATES[r["doc_id"]][0]: {tuple(r["w"][i : i + 5]) for i in range(len(r["w"]) - 4)} for r in plain if len(r["w"]) > 4}
+    got = found(df)
+    want = set()
+    for doc_id, words in split.items():
+        places = exact_scan(words, templates)
+        if places:
+            want.add((doc_id, max(places, key=lambda n: (places[n], n))))
+    assert len(want) > 20 and len(want & got.keys()) >= 0.95 * len(want), want - got.keys()
+    assert all(k in {(d, n) for d, w in split.items() for n in exact_scan(w, templates)} for k in got if k[1] in templates)
