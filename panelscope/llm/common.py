@@ -44,6 +44,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row, whatever their names and types (maps by their JSON)."""
+    quoted = {f.name: F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema}
+    return F.xxhash64(
+        *[F.to_json(F.struct(quoted[f.name].alias("v"))) if "map<" in f.dataType.simpleString() else quoted[f.name] for f in df.schema]
+    )
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, -(-rows // per_block))
 

@@ -17,7 +17,8 @@ document plus the sources' open parts.
 Edge cases: a null text has size 0; a null source is a source of its own (last by order);
 documents of size 0 are never taken; repeated rows are documents of their own; the order is
 fixed by a hash of id and text, so reruns agree; no documents give no rows; no words at all
-give targets of 0; other columns are not read.
+give targets of 0; a text of any length is one document of its size; other columns are not read
+by the mix, and rows that repeat id and text are told apart by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -28,28 +29,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import BROADCAST_BYTES, blocks_for, kept, running_total, text_words
+from panelscope.llm.common import BROADCAST_BYTES, blocks_for, kept, row_hash, running_total, text_words
+from panelscope.operators.rank import positions
 
 ROWS_PER_BLOCK = 2048
 HASH_RANGE = 1 << 31
 
 
-def source_targets(sizes: dict[str | None, int], weights: Sequence[float], share: float, most: float) -> dict:
-    """Target words of each source. Sources by code point, null last, get the repeated
-    ``weights``; ``share`` times all words are dealt by weight, no source gets more than
-    ``most`` times its words, and what is over is dealt again among the others."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
-    total = share * sum(sizes.values())
-    full: dict = {}
+def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """sizes: source, n (words), one row per source. Adds weight and target, its words in the mix.
+
+    Sources by code point, null last, get the repeated ``weights``; ``share`` times all words are
+    dealt by weight, no source gets more than ``most`` times its words, and what is over is dealt
+    again among the others. The sources stay a table, however many there are: their places come from
+    ``positions``, and each round of dealing is one aggregate, of which a few sums reach the driver.
+    """
+    placed = positions(sizes, "source", "source", desc=False)  # nulls first: the null source goes from place 1 to the end
+    has_null = sizes.where("source IS NULL").limit(1).count()
+    nth = F.when(F.col("source").isNull(), F.col("n_rows") - 1).otherwise(F.col("row_no") - 1 - has_null)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights)).cast("int"))
+    table = kept(placed.select("source", "n", weight.alias("weight")))
+    limit = F.col("n") * most
+    total = share * (table.agg(F.sum("n")).first()[0] or 0)
+    full, level = F.lit(False), None
+    stopped = -1
     while True:
-        open_ = [s for s in names if s not in full]
-        rest, dealt = total - sum(full.values()), sum(weight[s] for s in open_)
-        target = {s: rest * weight[s] / dealt for s in open_}
-        above = [s for s in open_ if target[s] > most * sizes[s]]
-        if not above:
-            return full | target
-        full |= {s: most * sizes[s] for s in above}
+        row = table.agg(
+            F.sum(F.when(full, limit).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.count(F.when(full, 1))
+        ).first()
+        if row[2] == stopped or not row[1]:
+            break
+        rest, dealt, stopped = total - row[0], row[1], row[2]
+        level = F.lit(float(rest)) * F.col("weight") / F.lit(float(dealt))
+        full = full | (level > limit)
+    target = F.when(full, limit).otherwise(level) if level is not None else limit
+    return table.withColumn("target", target.cast("double"))
 
 
 def with_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -75,24 +89,21 @@ def mix(
     """One row per document: id, size, source_size, target (of its source), taken (words the
     mix takes: 0, size, .. max_repeats * size), and ``at``, its place in the shuffle."""
     sized = kept(with_sizes(docs, id_col, source_col, text_col))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    sizes = {r["source"]: r["n"] for r in per_source}
-    rows = sum(r["rows"] for r in per_source)
+    rows = sized.count()
     if not rows:
         return _result(sized.withColumns({c: F.lit(0) for c in ("source_size", "target", "taken")}), id_col)
-    targets = source_targets(sizes, weights, share, max_repeats)
-    spark = docs.sparkSession
-    facts = spark.createDataFrame(
-        [(s, sizes[s], float(targets[s])) for s in sizes], "of string, source_size long, target double"
-    )
-    budget = sum(targets.values())
+    per_source = kept(sized.groupBy("source").agg(F.sum("size").alias("n")))
+    targets = kept(source_targets(per_source, weights, share, max_repeats))
+    facts = targets.select(F.col("source").alias("of"), F.col("n").alias("source_size"), "target")
+    # decimals: their sum doesn't depend on the order of rows
+    n_sources, budget = targets.agg(F.count("*"), F.sum(F.col("target").cast("decimal(28,6)")).cast("double")).first()
     n_blocks = blocks_for(rows, ROWS_PER_BLOCK)
 
     place = F.pmod(F.shiftrightunsigned("at", 33), F.lit(HASH_RANGE))
     queue = sized.withColumn("block", F.floor(place * n_blocks / HASH_RANGE).cast("long")).withColumn("top", place)
     order = ["top", "at", F.col("id").asc_nulls_last(), "size"]
     sent = running_total(queue, "size", "sent", "block", order, ["source"])
-    if len(sizes) * 256 <= BROADCAST_BYTES:
+    if n_sources * 256 <= BROADCAST_BYTES:
         facts = F.broadcast(facts)
     sent = sent.join(facts, F.col("source").eqNullSafe(F.col("of"))).drop("of", "block", "top")
     taken = _until_budget(sent, budget, max_repeats, rows)
@@ -154,12 +165,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     taken = copies.where("taken > 0").select(
         F.col(id_col).alias("mix_id"), F.col("at").alias("mix_at"), (F.col("taken") / F.col("size")).cast("int").alias("times")
     )
-    # rows that repeat id and text share a place; the n-th of them is paired with the n-th taken
+    # rows that repeat id and text share a place; the n-th of them, by a hash of all columns, is paired
+    # with the n-th taken
     nth = F.row_number().over(Window.partitionBy("mix_id", "mix_at").orderBy(F.desc("times")))
     taken = taken.withColumn("mix_nth", nth)
     place = F.xxhash64(F.col(id_col), F.lit("mix"), F.col(text_col))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), place.alias("row_at"))
-    rows = rows.withColumn("row_nth", F.row_number().over(Window.partitionBy("row_id", "row_at").orderBy(F.lit(1))))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), place.alias("row_at"), row_hash(docs).alias("row_hash"))
+    rows = rows.withColumn("row_nth", F.row_number().over(Window.partitionBy("row_id", "row_at").orderBy("row_hash")))
     same = (
         F.col("row_id").eqNullSafe(F.col("mix_id"))
         & (F.col("row_at") == F.col("mix_at"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import kept
+from panelscope.llm.common import kept, row_hash
 from panelscope.llm.components import components
 
 SEED = 42
@@ -217,8 +217,7 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with the smallest id
     (null last), and of rows that share it the one that comes first by its columns' hash."""
-    hashed = F.xxhash64(*[F.col(c) for c in docs.columns])
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), hashed.alias("h"))
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), row_hash(docs).alias("h"))
     marked = kept(docs.select(key.alias("key"), F.col(id_col).alias("id"), fingerprint_of(F.col(text_col), shingle).alias("fp")))
     fps = marked.select(F.col("key").alias("id"), "fp")
     stay = component_map(fps, bits).select(F.col("component_id").alias("stay")).distinct()

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from panelscope.llm.mixing import mix, mixed_documents, source_targets
@@ -5,12 +7,38 @@ from panelscope.llm.mixing import mix, mixed_documents, source_targets
 from . import edge
 
 
-def test_targets_follow_weights_and_stop_at_the_most():
+def plain_targets(sizes, weights, share, most):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
+    total, full = share * sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in names if s not in full]
+        rest, dealt = total - sum(full.values()), sum(weight[s] for s in open_)
+        target = {s: rest * weight[s] / dealt for s in open_}
+        above = [s for s in open_ if target[s] > most * sizes[s]]
+        if not above:
+            return full | target
+        full |= {s: most * sizes[s] for s in above}
+
+
+def targets(spark, sizes, *args):
+    df = spark.createDataFrame(list(sizes.items()), "source string, n long")
+    return {r["source"]: r["target"] for r in source_targets(df, *args).collect()}
+
+
+def test_targets_follow_weights_and_stop_at_the_most(spark):
     sizes = {"b": 100, "a": 1000, None: 50, "c": 400}
-    got = source_targets(sizes, (3, 1, 2), 1.5, 2)
     # of 2325 words, by 3 : 1 : 2 : 3, b stops at 200 and null at 100; of the other 2025, by 3 : 2, c stops at 800
-    assert got == {"a": 1225.0, "b": 200, "c": 800, None: 100}
-    assert source_targets({"a": 0}, (1,), 1.5, 2) == {"a": 0}
+    assert targets(spark, sizes, (3, 1, 2), 1.5, 2) == {"a": 1225.0, "b": 200, "c": 800, None: 100}
+    assert targets(spark, {"a": 0}, (1,), 1.5, 2) == {"a": 0}
+    assert targets(spark, {"a": 5, "b": 7}, (1,), 2, 2) == {"a": 10, "b": 14}
+
+
+def test_targets_of_very_many_sources_match_plain_dealing(spark):
+    random.seed(1)
+    sizes = {f"site{i}\u00e9" if i % 3 else f"{i}": int(random.paretovariate(0.6)) for i in range(3000)} | {None: 77}
+    got, want = targets(spark, sizes, (3, 1, 2), 1.5, 2), plain_targets(sizes, (3, 1, 2), 1.5, 2)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * want[s] for s in want)
 
 
 def corpus(spark):
@@ -79,3 +107,10 @@ def test_taken_rows_come_as_often_as_they_are_taken(spark):
     out = mixed_documents(df)
     assert out.columns == df.columns and out.count() == taken
     assert mixed_documents(edge.empty(spark)).count() == 0
+
+
+def test_reruns_keep_the_same_of_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c d", "en", "s", n) for n in range(6)] + [(i, "w " * i, "en", "t", i) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, edge.DOCS).selectExpr("*", "map('a', n_chars) AS `m.ap`")
+    one = edge.listed(mixed_documents(df.repartition(5)))
+    assert one == edge.listed(mixed_documents(df.coalesce(1).orderBy("n_chars"))) and len(one) > 30

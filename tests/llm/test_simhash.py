@@ -95,3 +95,10 @@ def test_a_large_group_of_copies_is_one_fingerprint(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, F.lit(edge.EN)).otherwise(F.concat(F.lit("x y z "), F.col("id").cast("string"))).alias("text"))
     got = simhash_components(df).groupBy("component_id").count().orderBy(F.desc("count")).first()
     assert (got["component_id"], got["count"]) == (0, 2000)
+
+
+def test_columns_of_any_name_and_type(spark):
+    df = edge.docs(spark).selectExpr("*", "lang AS `meta.lang`", "map(coalesce(lang, '-'), doc_id) AS `a``b`", "struct(map('x', text) AS m) AS s")
+    left = drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == sorted(map(str, (r["doc_id"] for r in drop_near_duplicates(edge.docs(spark)).collect())))
