@@ -19,7 +19,7 @@ the path whose later segments keep their better paths comes first.
 
 Edge cases: a null or empty text has one path without pieces and the score 0; texts of any
 length are read whole, segment by segment; a segment has no length limit; repeated rows are
-encoded each; a text with fewer than N paths has fewer rows.
+encoded each; a text with fewer than N paths has fewer rows; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_COST = 10.0  # below the lowest piece score
-REMEMBERED = 250_000  # segments held per task, besides those in use
+REMEMBERED = 200_000  # segments held per task, besides those in use
 REMEMBERED_CHARS = 1 << 23  # and their characters
 SEARCHED = 15_000  # segments whose n best paths are held
 LONG = 64  # longer ones are not
@@ -506,13 +506,13 @@ def _batch(keys: list, ranks: list, scores: list, paths: list, right: list) -> p
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
-    """Rows (id, text) of a batch, a few megabytes of text at a time."""
+    """Rows (id, text) of a batch, half a million characters at a time (or one text)."""
     part, size = [], 0
     for key, text in zip(batch.column("id"), batch.column("text"), strict=True):
         key, text = key.as_py(), text.as_py()
         part.append((key, text))
         size += len(text or "")
-        if size > 1 << 21:
+        if size > 1 << 19:
             yield part
             part, size = [], 0
     yield part
