@@ -5,15 +5,17 @@ A rule is (verdict, host + path), e.g. ``("block", "example.com/de/")``. It fits
 every subdomain, if the url's path starts with the rule's path; of the rules that fit, the
 longest (then the one with the longer host) decides. A url that no rule fits gets the default.
 
-Each distinct (host, path) is expanded to the keys that could be listed: its host suffixes at
-label borders x its path prefixes of the lengths that occur in the list. Every key belongs to
+Each distinct (host, path) is expanded to the keys that could be listed: its host suffixes of as
+many labels as occur in the list x its path prefixes of the lengths that do. Every key belongs to
 one 256-bit block of the filter and sets one bit in each of the block's four words. The
 filter's blocks and the rules are broadcast only when their counted size is small; else both
 joins are shuffles. DataFrame functions only.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and gets the
-default; repeated rows are judged each; no rules: every url gets the default; rules that are
-null or have no ``/`` raise an error; the rows' other columns are not read.
+default; repeated rows are judged each; no rules: every url gets the default; no pages: no rows;
+rules that are null or have no ``/`` raise an error; of a rule listed with several verdicts the last
+in alphabetical order holds (block, not allow); very long hosts and paths are compared whole, at the
+listed lengths only; the rows' other columns are not read.
 """
 
 from __future__ import annotations
@@ -76,12 +78,12 @@ def blocked_bloom(rules: DataFrame, n_blocks: int) -> DataFrame:
     )
 
 
-def listed_keys(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """(host, path, key_host, key_path): the keys under which a url could be listed."""
+def listed_keys(urls: DataFrame, lengths: list[int], depths: list[int]) -> DataFrame:
+    """(host, path, key_host, key_path): the keys under which a url could be listed, host suffixes
+    of as many labels as listed hosts have (``depths``) with path prefixes of listed lengths."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    known = F.filter(F.array(*[F.lit(n) for n in depths]), lambda n: n <= F.size(labels))
+    suffixes = F.transform(known, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("path"))
     prefixes = F.transform(sizes, lambda n: F.col("path").substr(F.lit(1), n))
     parts = urls.select("host", "path", suffixes.alias("suffixes"), prefixes.alias("prefixes"))
@@ -95,9 +97,10 @@ def url_filter(
 ) -> DataFrame:
     """One row per row of ``pages``: the id, host, path, rule (null: none fits), verdict."""
     spark = pages.sparkSession
-    listed = rule_table(spark, rules).dropDuplicates(["rule_host", "rule_path"])
-    lengths = F.collect_set(F.char_length("rule_path"))  # as many as there are path lengths, not rules
-    n, chars, sizes = listed.agg(F.count("*"), F.sum(F.char_length("rule")), lengths).first()
+    listed = rule_table(spark, rules).groupBy("rule_host", "rule_path").agg(F.min("rule").alias("rule"), F.max("rule_verdict").alias("rule_verdict"))
+    # as many as there are path lengths and numbers of labels, not rules
+    lengths, labels = F.collect_set(F.char_length("rule_path")), F.collect_set(F.size(F.split("rule_host", r"\.")))
+    n, chars, sizes, depths = listed.agg(F.count("*"), F.sum(F.char_length("rule")), lengths, labels).first()
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     if not n:
@@ -108,7 +111,7 @@ def url_filter(
     n_blocks = max(1, -(-n * BITS_PER_KEY // BLOCK_BITS))
     bloom = blocked_bloom(listed, n_blocks)
     small = F.broadcast if max(n_blocks * 40, 4 * (chars or 0) + 64 * n) <= BROADCAST_BYTES else (lambda side: side)
-    keys = listed_keys(urls.where(F.col("host") != "").select("host", "path").distinct(), sorted(sizes))
+    keys = listed_keys(urls.where(F.col("host") != "").select("host", "path").distinct(), sorted(sizes), sorted(depths))
     probe = keys.select("*", *bloom_keys(F.col("key_host"), F.col("key_path"), n_blocks))
     possible = F.col("block") == F.col("filter_block")
     for i in range(WORDS_PER_BLOCK):

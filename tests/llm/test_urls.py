@@ -56,3 +56,11 @@ def test_edges(spark):
     assert [r["rule"] for r in url_filter(twice, URL_RULES).collect()] == ["net/"] * 2
     with pytest.raises(Exception, match="a rule is"):
         url_filter(frame(spark, URLS), [("block", "net")]).collect()
+
+
+def test_conflicting_rules_and_long_urls(spark):
+    for rules in ([("block", "a.net/"), ("allow", "a.net/"), ("allow", "A.net/")], [("allow", "a.net/"), ("block", "a.net/")]):
+        assert [r["verdict"] for r in url_filter(frame(spark, ["http://a.net/x"]), rules).collect()] == ["block"]
+    urls = [f"http://{'l.' * 20_000}example.net/{'p/' * 50_000}", f"http://{'x' * 100_000}.org/fr/{'y' * 100_000}?q", "http://" + "." * 3000]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter(frame(spark, urls), URL_RULES).collect()}
+    assert got == {i: plain(u, URL_RULES) for i, u in enumerate(urls)}
