@@ -5,6 +5,9 @@ at the smallest node of its component. No step gathers a node's neighbours: the
 a partial aggregation, and it is joined to the links by a shuffle whose large partitions Spark
 splits (the aggregate is kept first, so that both sides of the join are plain shuffles). Only
 two numbers per step reach the driver, to see that nothing changed.
+
+Edge cases: links of a node to itself and repeated links change nothing; a null end links
+nothing; no links give no rows.
 """
 
 from __future__ import annotations

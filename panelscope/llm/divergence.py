@@ -15,7 +15,8 @@ functions are used.
 Edge cases: a null or empty text has no words and fails the base rules; documents of an unknown
 or null language are compared by character classes with the reference of all documents; repeated
 rows are judged each; a language whose documents all fail the base rules has no reference and
-rejects none; other columns are not read.
+rejects none; a text of any length is counted whole, in one row; no documents give no rows;
+other columns are not read.
 """
 
 from __future__ import annotations

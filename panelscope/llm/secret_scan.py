@@ -13,7 +13,7 @@ Each text is read whole by one Python call; a task holds one Arrow batch. Spans
 points with the end exclusive.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each; a text of any
-length is scanned once, in linear time; other columns are not read.
+length is scanned once, in linear time; no documents give no rows; other columns are not read.
 """
 
 from __future__ import annotations

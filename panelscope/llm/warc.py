@@ -20,7 +20,8 @@ on one side and split their large partitions at run time.
 
 Edge cases: a null payload is empty; a null url has no WARC-Target-URI; a null id counts as the
 largest and is written as ``null``; rows that repeat the smallest id of a payload are all
-response records; an empty table makes an empty archive; other columns are not read.
+response records; a payload of any length is one record, as one cell; an empty table makes an
+empty archive; other columns are not read.
 """
 
 from __future__ import annotations

@@ -102,3 +102,11 @@ def test_columns_of_any_name_and_type(spark):
     left = drop_near_duplicates(df)
     assert left.columns == df.columns
     assert sorted(map(str, (r["doc_id"] for r in left.collect()))) == sorted(map(str, (r["doc_id"] for r in drop_near_duplicates(edge.docs(spark)).collect())))
+
+
+def test_components_of_repeated_loose_and_null_links(spark):
+    from panelscope.llm.components import components
+
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (2, 5), (None, 7), (9, 8), (8, None)], "a long, b long")
+    assert edge.listed(components(links)) == [(1, 1), (2, 1), (5, 1), (8, 8), (9, 8)]
+    assert components(links.where("false")).count() == 0
