@@ -115,10 +115,7 @@ def test_recall_against_an_exact_scan_of_a_whole_table(spark):
     plain = frame(spark, [t for _, t in TEMPLATES]).select("doc_id", plain_words("text").alias("w")).collect()
     templates = {TEMPLATES[r["doc_id"]][0]: {tuple(r["w"][i : i + 5]) for i in range(len(r["w"]) - 4)} for r in plain if len(r["w"]) > 4}
     got = found(df)
-    want = set()
-    for doc_id, words in split.items():
-        places = exact_scan(words, templates)
-        if places:
-            want.add((doc_id, max(places, key=lambda n: (places[n], n))))
+    exact = {doc_id: exact_scan(words, templates) for doc_id, words in split.items()}
+    want = {(doc_id, max(places, key=lambda n: (places[n], n))) for doc_id, places in exact.items() if places}
     assert len(want) > 20 and len(want & got.keys()) >= 0.95 * len(want), want - got.keys()
-    assert all(k in {(d, n) for d, w in split.items() for n in exact_scan(w, templates)} for k in got if k[1] in templates)
+    assert all(name in exact[doc_id] for doc_id, name in got if name in templates)
