@@ -74,12 +74,14 @@ def settlement_full(t: Tables) -> DataFrame:
     )
 
 
-def attach_labels(rows: DataFrame, t: Tables, settlement_cols=(), district=False, province=False) -> DataFrame:
-    """Attach names to a *small* result (a top-k or aggregated frame).
+def attach_labels(
+    rows: DataFrame, t: Tables, settlement_cols=(), district=False, province=False, bounded: bool = True
+) -> DataFrame:
+    """Attach names to a *small* result (a top-k or aggregated frame), or to any with ``bounded=False``.
 
-    ``rows`` must carry settlement_id / district_id / province_id as needed. The result
-    side is bounded (it is an aggregate or a LIMIT), so it is the side that is broadcast
-    when joining back to the settlement table.
+    ``rows`` must carry settlement_id / district_id / province_id as needed. A bounded result
+    (an aggregate or a LIMIT) is the side that is broadcast when joining back to a settlement
+    table too large for it; rows that grow with the panel are then joined by shuffle.
     """
     out = rows
     if settlement_cols:
@@ -87,7 +89,7 @@ def attach_labels(rows: DataFrame, t: Tables, settlement_cols=(), district=False
         if t.rows("settlements") <= LABEL_BROADCAST_MAX_ROWS:
             out = out.join(F.broadcast(s), "settlement_id")
         else:
-            out = F.broadcast(out).join(s, "settlement_id")
+            out = (F.broadcast(out) if bounded else out).join(s, "settlement_id")
     if district:
         out = out.join(t.small("districts").select("district_id", "district_name"), "district_id")
     if province:

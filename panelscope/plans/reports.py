@@ -504,8 +504,9 @@ _PANEL_RANK = (["province_id", "round_id"], "idp_arrivals", "rank_in_province")
 _PANEL_ORDER = ["settlement_id", "round_id", "observation_id"]
 
 
-def _panel_shown(t: Tables, rows: DataFrame) -> DataFrame:
-    out = attach_labels(with_rounds(rows, t, "round_label"), t, ("settlement_code", "settlement_name"), province=True)
+def _panel_shown(t: Tables, rows: DataFrame, bounded: bool) -> DataFrame:
+    labels = ("settlement_code", "settlement_name")
+    out = attach_labels(with_rounds(rows, t, "round_label"), t, labels, province=True, bounded=bounded)
     return out.orderBy(*_PANEL_ORDER).select(
         "settlement_code",
         "settlement_name",
@@ -523,12 +524,12 @@ def w1_panel_longitudinal(t: Tables, k: int = 60) -> DataFrame:
     """The windows over the whole panel; the report shows its first ``k`` rows, whose ranks are read
     off the value counts of all rows of their provinces and rounds."""
     base = _panel(t)
-    return _panel_shown(t, rank_rows(_panel_windows(t, base).orderBy(*_PANEL_ORDER).limit(k), base, *_PANEL_RANK))
+    return _panel_shown(t, rank_rows(_panel_windows(t, base).orderBy(*_PANEL_ORDER).limit(k), base, *_PANEL_RANK), bounded=True)
 
 
 def w1_panel_full(t: Tables) -> DataFrame:
     """The same for every row of the panel."""
-    return _panel_shown(t, rank_in(_panel_windows(t, _panel(t)), *_PANEL_RANK))
+    return _panel_shown(t, rank_in(_panel_windows(t, _panel(t)), *_PANEL_RANK), bounded=False)
 
 
 def lead_next_round(t: Tables) -> DataFrame:

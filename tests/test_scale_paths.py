@@ -69,6 +69,16 @@ def test_fact_geo_join_is_bucketed_merge_join(large_settlements, key):
     assert_same(df, con.sql(REPORT_SQL[key]))
 
 
+def test_full_panel_is_not_broadcast(large_settlements):
+    # Its rows are as many as the panel's; the 60 rows of the shortened report may be broadcast.
+    t, con = large_settlements
+    broadcast_rows = "leftHint=(strategy=broadcast)"
+    shown = {k: REPORTS[k](t)._jdf.queryExecution().optimizedPlan().toString() for k in ("w1_panel_full", "w1_panel_longitudinal")}
+    assert broadcast_rows not in shown["w1_panel_full"], shown["w1_panel_full"]
+    assert broadcast_rows in shown["w1_panel_longitudinal"]
+    assert_same(REPORTS["w1_panel_full"](t), con.sql(REPORT_SQL["w1_panel_full"]))
+
+
 def test_hot_group_of_copies_disables_bucketing(spark, tmp_path):
     # One (settlement, round) copied 300 times: about a third of the fact.
     obs = fixtures._observations()
