@@ -947,7 +947,7 @@ def s9_flat_roundtrip(t: Tables) -> DataFrame:
 
 def _flat(t: Tables) -> DataFrame:
     more = t.settlements.select("settlement_code", "adm2_code", "pashtun_greg", "pashtun_ethno")
-    return views.v2_observations_full(t).join(more, "settlement_code")
+    return views.v2_observations_full(t, more)
 
 
 def s9_incremental_load(t: Tables) -> DataFrame:

@@ -17,11 +17,14 @@ def v1_settlement_full(t: Tables) -> DataFrame:
     return settlement_full(t)
 
 
-def v2_observations_full(t: Tables) -> DataFrame:
-    """Flat, denormalised observations: geography, round labels, all measures."""
+def v2_observations_full(t: Tables, more: DataFrame | None = None) -> DataFrame:
+    """Flat, denormalised observations: geography, round labels, all measures. ``more`` columns by
+    settlement_code are joined to the settlements, before these meet their observations."""
     sf = settlement_full(t).select(
         "settlement_id", "settlement_code", "settlement_name", "district_name", "province_name", "adm1_code", "longitude", "latitude"
     )
+    if more is not None:
+        sf = sf.join(more, "settlement_code")
     # Above the limit: a sort-merge join of the two tables bucketed on settlement_id.
     if t.rows("settlements") <= LABEL_BROADCAST_MAX_ROWS:
         sf = F.broadcast(sf)
@@ -50,6 +53,7 @@ def v2_observations_full(t: Tables) -> DataFrame:
         "post_intervention",
         "diff_in_diff",
         *RESOLUTION_COLS,
+        *[c for c in (more.columns if more is not None else []) if c != "settlement_code"],
     )
 
 

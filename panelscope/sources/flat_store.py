@@ -6,9 +6,10 @@ rows, and a table of finished loads, each written as one part per load (``load=n
 1. stages its rows once, with the reason why a row can't be taken (a missing code);
 2. finds codes that the dictionaries lack by a left-anti join and numbers them after the largest id
    given out, in the order of the codes (rounds by the number in their label);
-3. gives the rows their ids by joins with the dictionaries, old and new parts together;
-4. rejects rows whose settlement and round an earlier load has (``already loaded``) or another
-   row of this load has (``repeated``: the smallest row stays);
+3. lists, by settlement, the rounds that earlier loads have and those that this load has repeatedly;
+4. gives the rows their ids and these lists by one join with the dictionaries, old and new parts
+   together, and rejects rows whose settlement and round an earlier load has (``already loaded``)
+   or another row of this load has (``repeated``: the smallest row stays);
 5. writes its parts, and its line in the table of loads last.
 
 Parts of a load that didn't get that far are not read and are overwritten by the next try, so a
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from panelscope.operators.panel import unit_scan
 from panelscope.sources.flat import DIMENSIONS, MEASURES, dimension, distinct_codes, flat_rejects, reject_reason
-from panelscope.sources.rejects import split_repeats
+from panelscope.sources.rejects import split_copies
 from panelscope.sources.schema import SCHEMAS
 from panelscope.sources.tables import Tables, broadcast_if_small, shared_dir
 
@@ -66,25 +67,25 @@ class FlatStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _finished(self, name: str, columns: str) -> DataFrame:
-        """The parts of finished loads."""
-        last = self._last()["load"]
+    def _finished(self, name: str, columns: str, last: int | None = None) -> DataFrame:
+        """The parts of finished loads, of which ``last`` is the last if the caller knows."""
+        last = self._last()["load"] if last is None else last
         return self._read(name, f"{columns}, load int").where(F.col("load") <= last)
 
     def _last(self) -> dict:
         row = self.loads().orderBy(F.desc("load")).first()
         return row.asDict() if row else dict.fromkeys(["load", *[f"top_{t}" for t in IDS]], 0)
 
-    def keys(self, table: str) -> DataFrame:
+    def keys(self, table: str, last: int | None = None) -> DataFrame:
         """The dictionary of a dimension: id, code, attributes, load."""
         code, attributes = DIMENSIONS[table]
         kinds = {f.name: f.dataType.simpleString() for f in SCHEMAS[table]}
         columns = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in [code, *attributes])
-        return self._finished(f"keys/{table}", f"id long, {columns}")
+        return self._finished(f"keys/{table}", f"id long, {columns}", last)
 
-    def observations(self) -> DataFrame:
+    def observations(self, last: int | None = None) -> DataFrame:
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMAS["observations"])
-        return self._finished("observations", columns)
+        return self._finished("observations", columns, last)
 
     def rejected(self) -> DataFrame:
         """Rejected rows of all loads as they came, with reason and load (codes and measures)."""
@@ -94,14 +95,15 @@ class FlatStore:
 
     def tables(self) -> Tables:
         """The five tables of all finished loads."""
-        keys = {t: self.keys(t).withColumn(i, F.col("id").cast(SCHEMAS[t][i].dataType)) for t, i in IDS.items()}
+        last = self._last()["load"]
+        keys = {t: self.keys(t, last).withColumn(i, F.col("id").cast(SCHEMAS[t][i].dataType)) for t, i in IDS.items()}
         provinces = keys["provinces"].select("province_id", "adm1_code")
         keys["districts"] = keys["districts"].join(broadcast_if_small(provinces), "adm1_code")
-        return Tables(**{n: (keys[n] if n in keys else self.observations()).select(*SCHEMAS[n].fieldNames()) for n in SCHEMAS})
+        return Tables(**{n: (keys[n] if n in keys else self.observations(last)).select(*SCHEMAS[n].fieldNames()) for n in SCHEMAS})
 
-    def _number_new(self, table: str, found: DataFrame, top: int) -> DataFrame:
+    def _number_new(self, table: str, found: DataFrame, known: DataFrame, top: int) -> DataFrame:
         code, _ = DIMENSIONS[table]
-        new = found.join(self.keys(table).select(code), code, "left_anti")
+        new = found.join(known.select(code), code, "left_anti")
         if table == "settlements":  # they grow with the panel: a running count over ranges of them
             new = new.withColumns({"_one": F.lit(1), "_all": F.lit(0)})
             new = unit_scan(new, "_all", [code], "_one", cum="id").drop("_one", "_all")
@@ -112,6 +114,17 @@ class FlatStore:
             order = [number.cast("long"), code]
         return new.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + top).cast("long"))
 
+    def _units(self, rows: DataFrame, rounds: DataFrame, settlements: DataFrame, last: int) -> DataFrame:
+        """Settlements by code with the lists of round ids that earlier loads have (``_loaded``)
+        and that several of ``rows`` have (``_repeated``), NULL for none; kept, as it is read
+        several times. Lists hold at most ROUND_SLOTS ids."""
+        units = settlements.select(F.col("id").alias("settlement_id"), "settlement_code")
+        before = self.observations(last).select("settlement_id", F.col("round_id").cast("long").alias("round_id"))
+        loaded = before.groupBy("settlement_id").agg(F.collect_set("round_id").alias("_loaded"))
+        counts = rows.groupBy("settlement_code", "round_label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        repeated = counts.join(rounds, "round_label").groupBy("settlement_code").agg(F.collect_set("round_id").alias("_repeated"))
+        return units.join(loaded, "settlement_id", "left").join(repeated, "settlement_code", "left").checkpoint()
+
     def append(self, flat: DataFrame) -> FlatLoad:
         """Take a flat extract (geography, settlement and round columns, measures) as a new load."""
         spark, last = self.spark, self._last()
@@ -125,8 +138,8 @@ class FlatStore:
         tops, changed, keys, distinct = {}, None, {}, distinct_codes(rows)
         for table, (code, attributes) in DIMENSIONS.items():
             found = dimension(distinct, table).drop("variants")
-            known = self.keys(table)
-            self._number_new(table, found, last[f"top_{table}"]).write.mode("overwrite").parquet(part(f"keys/{table}"))
+            known = self.keys(table, last["load"])
+            self._number_new(table, found, known, last[f"top_{table}"]).write.mode("overwrite").parquet(part(f"keys/{table}"))
             fresh = spark.read.parquet(part(f"keys/{table}"))
             tops[table] = fresh.agg(F.max("id")).first()[0] or last[f"top_{table}"]
             keys[table] = known.select("id", code).unionByName(fresh.select("id", code))
@@ -138,16 +151,24 @@ class FlatStore:
             raise ValueError(f"more than {ROUND_SLOTS} rounds: observation ids would meet")
 
         rounds = broadcast_if_small(keys["survey_rounds"].select(F.col("id").alias("round_id"), "round_label"))
-        units = keys["settlements"].select(F.col("id").alias("settlement_id"), "settlement_code")
-        placed = rows.join(rounds, "round_label").join(units, "settlement_code")
-        key = ["settlement_id", "round_id"]
-        before = self.observations().select("settlement_id", F.col("round_id").cast("long").alias("round_id"))
-        loaded = placed.join(before, key, "left_semi")
-        first, surplus = split_repeats(placed.join(before, key, "left_anti"), key)
+        units = self._units(rows, rounds, keys["settlements"], last["load"])
+        n_loaded, n_repeated = units.agg(F.count("_loaded"), F.count("_repeated")).first()
+        among = lambda rounds: F.coalesce(F.array_contains(rounds, F.col("round_id")), F.lit(False))
+        placed = lambda units: rows.join(rounds, "round_label").join(units, "settlement_code")
+        plain = lambda frame: frame.drop("_loaded", "_repeated")
+        first = plain(placed(units).where(~among("_loaded") & ~among("_repeated")))
+        away = [flat_rejects(staged)]
+        if n_loaded:
+            loaded = plain(placed(units.where("_loaded IS NOT NULL")).where(among("_loaded")))
+            away.append(loaded.withColumn("reason", F.lit("already loaded")))
+        if n_repeated:
+            repeats = placed(units.where("_repeated IS NOT NULL")).where(among("_repeated") & ~among("_loaded"))
+            least, surplus = split_copies(plain(repeats), ["settlement_id", "round_id"])
+            first = first.unionByName(least)
+            away.append(surplus.withColumn("reason", F.lit("repeated")))
         observation_id = (F.col("settlement_id") - 1) * ROUND_SLOTS + F.col("round_id")
         taken = first.withColumn("observation_id", observation_id).withColumn("round_id", F.col("round_id").cast("int"))
         taken.select(*SCHEMAS["observations"].fieldNames()).write.mode("overwrite").parquet(part("observations"))
-        away = [flat_rejects(staged), loaded.withColumn("reason", F.lit("already loaded")), surplus.withColumn("reason", F.lit("repeated"))]
         rejected = away[0].select(*needed, "reason")
         for frame in away[1:]:
             rejected = rejected.unionByName(frame.select(*needed, "reason"))

@@ -24,11 +24,19 @@ def split_repeats(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys).checkpoint()
     repeated = broadcast_if_small(repeated)
     alone = rows.join(repeated, keys, "left_anti").select(*columns)
-    counted = rows.join(repeated, keys, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    first, surplus = split_copies(rows.join(repeated, keys, "left_semi").select(*columns), keys)
+    return alone.unionByName(first), surplus
+
+
+def split_copies(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``split_repeats`` of rows whose keys are known to be repeated; ``rows`` is read once."""
+    keys, columns = list(keys), rows.columns
+    shared_dir(rows.sparkSession)
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     rest = F.struct(*[c for c in columns if c not in keys], F.lit(0))
     least = counted.groupBy(*keys).agg(F.min(rest).alias("_least"))
     marked = counted.join(least, keys).withColumn("_first", rest == F.col("_least")).checkpoint()
     first = marked.where("_first").select(*columns)
     spare = F.col("_n") - F.col("_first").cast("long")
     surplus = marked.where(spare > 0).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), spare)).alias("_copy")).drop("_copy")
-    return alone.unionByName(first), surplus
+    return first, surplus
