@@ -118,76 +118,65 @@ def _observations(customer: DataFrame, orders: DataFrame) -> DataFrame:
         "o_orderpriority",
     )
 
-    # Per-cell metrics as per-round conditional aggregates: one row per customer.
+    # Per-cell metrics as per-round conditional aggregates: one row per customer. What is only
+    # asked for as "any such order" is a bit of one mask.
+    bits = {"health": F.col("o_orderstatus") == STATUS_HEALTH, "schools": F.col("o_orderstatus") == STATUS_CONFLICT}
+    bits |= {flag: F.col("o_orderpriority") == prio for flag, prio in PRIORITY_FLAGS.items()}
+    place = {name: 1 << i for i, name in enumerate(bits)}
+    mask = sum((F.when(holds, place[name]).otherwise(0) for name, holds in bits.items()), F.lit(0))
+    o = o.select(
+        "c_custkey",
+        "r",
+        "arr",
+        F.when(F.col("o_orderstatus") == STATUS_CONFLICT, 1).otherwise(0).alias("conf"),
+        F.when(F.col("o_orderstatus") == STATUS_DISASTER, 1).otherwise(0).alias("dis"),
+        mask.alias("mask"),
+    )
     metrics = {
-        "arr": lambda: F.col("arr"),
-        "n": lambda: F.lit(1),
-        "n_conf": lambda: F.when(F.col("o_orderstatus") == STATUS_CONFLICT, 1).otherwise(0),
-        "n_dis": lambda: F.when(F.col("o_orderstatus") == STATUS_DISASTER, 1).otherwise(0),
-        "n_health": lambda: F.when(F.col("o_orderstatus") == STATUS_HEALTH, 1).otherwise(0),
-        **{
-            flag: (lambda p=prio: F.when(F.col("o_orderpriority") == p, 1).otherwise(0))
-            for flag, prio in PRIORITY_FLAGS.items()
-        },
+        "arr": lambda at: F.sum(F.when(at, F.col("arr"))),
+        "n": lambda at: F.count(F.when(at, 1)),
+        "n_conf": lambda at: F.sum(F.when(at, F.col("conf"))),
+        "n_dis": lambda at: F.sum(F.when(at, F.col("dis"))),
+        "any": lambda at: F.bit_or(F.when(at, F.col("mask"))),
     }
-    aggs = [
-        F.sum(F.when(F.col("r") == k, expr())).cast("long").alias(f"{m}_{k}")
-        for k in range(1, N_ROUNDS + 1)
-        for m, expr in metrics.items()
-    ]
+    aggs = [of(F.col("r") == k).cast("long").alias(f"{m}_{k}") for k in range(1, N_ROUNDS + 1) for m, of in metrics.items()]
     per_customer = o.groupBy("c_custkey").agg(*aggs)
 
     def cell(k: int) -> Column:
-        def g(m: str, kk: int = k) -> Column:
-            return F.coalesce(F.col(f"{m}_{kk}"), F.lit(0).cast("long"))
-
-        cur = g("arr")
+        """The sums of one round: the measures are made of them after the explode, as an array of
+        whole rows is too large an expression to be compiled."""
+        g = lambda m, kk=k: F.coalesce(F.col(f"{m}_{kk}"), F.lit(0).cast("long"))
         prev = g("arr", k - 1) if k > 1 else F.lit(None).cast("long")
-        change = F.when(prev != 0, (cur - prev).cast("double") * F.lit(100.0) / prev.cast("double"))
-        conf = F.least(F.lit(5).cast("long"), g("n_conf") * 2).cast("int")
-        dis = F.least(F.lit(5).cast("long"), g("n_dis") * 2).cast("int")
-        fields = [
-            F.lit(k).cast("int").alias("round_id"),
-            cur.alias("idp_arrivals"),
-            change.alias("change_idp_arrivals"),
-            conf.alias("idp_conflict_severity"),
-            dis.alias("idp_disaster_severity"),
-            F.least(F.lit(5).cast("long"), g("n")).cast("int").alias("security_situation"),
-            (g("n_health") > 0).cast("int").alias("health_clinics_available"),
-            (g("n_conf") > 0).cast("int").alias("schools_available"),
-            *[(g(flag) > 0).cast("int").alias(flag) for flag in PRIORITY_FLAGS],
-            F.lit(1 if k >= POST_FROM_ROUND else 0).cast("int").alias("post_intervention"),
-            *[(conf >= j).cast("int").alias(f"conflict_res_{j}") for j in range(1, 6)],
-            *[(dis >= j).cast("int").alias(f"disaster_res_{j}") for j in range(1, 6)],
-        ]
-        return F.struct(*fields)
+        return F.struct(F.lit(k).cast("int").alias("round_id"), prev.alias("prev"), *[g(m).alias(m) for m in metrics])
 
     # Left join: every customer is observed in every round; a cell without orders is 0.
     panel = customer.select("c_custkey", "c_acctbal").join(per_customer, "c_custkey", "left")
-    exploded = panel.select(
-        "c_custkey",
-        "c_acctbal",
-        F.explode(F.array(*[cell(k) for k in range(1, N_ROUNDS + 1)])).alias("c"),
-    )
+    cells = F.explode(F.array(*[cell(k) for k in range(1, N_ROUNDS + 1)])).alias("c")
+    exploded = panel.select("c_custkey", "c_acctbal", cells).select("c_custkey", "c_acctbal", "c.*")
     key = F.col("c_custkey").cast("long")
-    return exploded.select(
-        (key * N_ROUNDS + F.col("c.round_id")).alias("observation_id"),
+    cur, prev = F.col("arr"), F.col("prev")
+    upto_5 = lambda n: F.least(F.lit(5).cast("long"), n).cast("int")
+    any_of = lambda name: (F.col("any").bitwiseAND(F.lit(place[name])) > 0).cast("int")
+    conf, dis = F.col("idp_conflict_severity"), F.col("idp_disaster_severity")
+    rows = exploded.select(
+        (key * N_ROUNDS + F.col("round_id")).alias("observation_id"),
         key.alias("settlement_id"),
-        F.col("c.round_id").alias("round_id"),
+        "round_id",
         F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal").cast("long")).alias("host_population"),
-        "c.idp_arrivals",
-        "c.change_idp_arrivals",
-        "c.idp_conflict_severity",
-        "c.idp_disaster_severity",
-        "c.security_situation",
-        "c.health_clinics_available",
-        "c.schools_available",
-        *[f"c.{flag}" for flag in PRIORITY_FLAGS],
-        "c.post_intervention",
+        cur.alias("idp_arrivals"),
+        F.when(prev != 0, (cur - prev).cast("double") * F.lit(100.0) / prev.cast("double")).alias("change_idp_arrivals"),
+        upto_5(F.col("n_conf") * 2).alias("idp_conflict_severity"),
+        upto_5(F.col("n_dis") * 2).alias("idp_disaster_severity"),
+        upto_5(F.col("n")).alias("security_situation"),
+        any_of("health").alias("health_clinics_available"),
+        any_of("schools").alias("schools_available"),
+        *[any_of(flag).alias(flag) for flag in PRIORITY_FLAGS],
+        (F.col("round_id") >= POST_FROM_ROUND).cast("int").alias("post_intervention"),
         (key % 2).cast("int").alias("diff_in_diff"),
-        *[f"c.conflict_res_{j}" for j in range(1, 6)],
-        *[f"c.disaster_res_{j}" for j in range(1, 6)],
-    ).select(*SCHEMAS["observations"].fieldNames())
+    )
+    levels = {f"conflict_res_{j}": (conf >= j).cast("int") for j in range(1, 6)}
+    levels |= {f"disaster_res_{j}": (dis >= j).cast("int") for j in range(1, 6)}
+    return rows.withColumns(levels).select(*SCHEMAS["observations"].fieldNames())
 
 
 ROWS_PER_BUCKET = 1_000_000

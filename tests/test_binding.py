@@ -92,3 +92,17 @@ def test_a_cluster_must_name_its_shared_folder():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+def test_rows_are_made_after_the_explode(spark):
+    # An array of whole rows is too large an expression to be compiled; the sums are exploded.
+    shown = "spark.sql.debug.maxToStringFields"
+    old = spark.conf.get(shown)
+    spark.conf.set(shown, "1000")
+    try:
+        plan = derive(spark, f"{TESTDATA}/sf0.001").observations._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(shown, old)
+    exploded = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(exploded) == 1 and "n_conf" in exploded[0], plan
+    assert "conflict_res_1" not in exploded[0] and "change_idp_arrivals" not in exploded[0], exploded[0]

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import fixtures
@@ -203,6 +204,30 @@ def test_an_unfinished_load_is_not_read_and_is_done_again(spark, panel, tmp_path
     assert again.load == 2 and store.observations().count() == flat.count()
 
 
+def test_a_load_joins_its_rows_once(spark, panel, tmp_path, monkeypatch):
+    # What earlier loads have comes with the dictionary: no joins with all their observations.
+    flat, plans = flat_of(panel), {}
+    again = flat.where("round_id >= 2").unionByName(flat.where("settlement_code = 'C111' AND round_id IN (1, 6)"))
+    again = again.unionByName(flat.where("settlement_code = 'C111' AND round_id IN (1, 6)"))
+    store = FlatStore(spark, str(tmp_path / "store"))
+    store.append(flat.where("round_id <= 3"))
+    write = DataFrameWriter.parquet
+
+    def noted(self, path, *a, **k):
+        plans[path.split("/store/")[1].split("/")[0]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    two = store.append(again)
+    for name in ("observations", "rejected"):
+        assert "Join LeftAnti" not in plans[name] and "Join LeftSemi" not in plans[name], plans[name]
+        assert "store/observations" not in plans[name]
+    assert plans["observations"].count("Join Inner") == 2  # rounds and settlements
+    assert two.accepted == flat.where("round_id >= 4").count() and two.accepted + two.rejected == again.count()
+    reasons = {r["reason"]: r["count"] for r in store.rejected().groupBy("reason").count().collect()}
+    assert reasons == {"already loaded": flat.where("round_id IN (2, 3)").count() + 2, "repeated": 2}
+
+
 def test_an_empty_load(spark, panel, tmp_path):
     store = FlatStore(spark, str(tmp_path / "store"))
     assert store.loads().count() == store.observations().count() == store.rejected().count() == 0
